@@ -21,4 +21,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op2_decontaminate": OP2}
+
+_ASSIGN = """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _pairs(kind: int, pattern: str, group: int) -> str:
+    """Gaps and matches of a pattern alternate; running lengths give the positions."""
+    return rf"""
+ SELECT doc_id, source, {kind} AS kind, s + glen AS b, s + glen + len(hit) AS e, value FROM (
+  SELECT *, len(gap) AS glen, coalesce(sum(len(gap) + len(hit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+   SELECT doc_id, source, unnest(range(1, len(h) + 1)) AS i, unnest(g[:len(h)]) AS gap, unnest(h) AS hit, unnest(v) AS value FROM (
+    SELECT doc_id, source, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS h, regexp_extract_all(t, '{pattern}', {group}) AS v FROM d)))"""
+
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+ a AS ({_pairs(0, _ASSIGN.replace(chr(92) + '"', '"').replace("(?:", "(?:"), 1)}), k AS ({_pairs(1, "AKIA[A-Z0-9]{16,}", 0)}), x AS ({_pairs(2, "[0-9a-f]{24,}", 0)}), r AS ({_pairs(3, "[A-Za-z0-9+/_-]{20,}", 0)}),
+ base AS (SELECT * FROM a WHERE len(value) >= 6 UNION ALL SELECT * FROM k UNION ALL SELECT * FROM x),
+ bare AS (SELECT * FROM r WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.b < r.e AND r.b < base.e)),
+ cand AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+ own AS (SELECT value FROM cand GROUP BY value HAVING count(DISTINCT source) < 3),
+ spans AS (SELECT * FROM base UNION ALL SELECT * FROM bare WHERE value IN (FROM own)),
+ lst AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+  string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS bs,
+  string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, kind) AS al FROM spans GROUP BY doc_id),
+ live AS (SELECT doc_id, count(DISTINCT value) AS n FROM cand WHERE value IN (FROM own) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+ sha256(coalesce(bs, '')) AS base_sha256, coalesce(al, '') AS spans, CAST(coalesce(n, 0) AS BIGINT) AS n_live
+FROM d LEFT JOIN lst USING (doc_id) LEFT JOIN live USING (doc_id)
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from canopyrank.llm import decontaminate
+from canopyrank.llm import decontaminate, secrets_scan
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2,
+    "op3_secret_scan": secrets_scan.op3,
 }
