@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from canopyrank.llm import decontaminate, secrets_scan
+from canopyrank.llm import decontaminate, secrets_scan, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2,
     "op3_secret_scan": secrets_scan.op3,
+    "op6_simhash": simhash.op6,
 }
