@@ -21,6 +21,7 @@ sequence_id is unique, not dense.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ END_ID = 1
 #: Pieces longer than this are cut in two before they are packed.
 CUT = 512
 #: Pieces of a bucket, on average.
-BUCKET = 768
+BUCKET = 1024
 #: Distinct chunks remembered by a task.
 REMEMBER = 1 << 19
 
@@ -50,6 +51,7 @@ class Tokens:
     gap = re.compile("[ \n\t\r]+")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,10 +69,19 @@ class Tokens:
             new = list({c for c in chunks if c})
             seen.clear()
             seen[""] = b""
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            seen[c] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(new), 1024):
+            self._learn(new[at : at + 1024])
         return b"".join([seen[c] for c in chunks])
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Tokenize chunks joined by spaces in one call, and part the ids by where each token starts."""
+        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        at = np.searchsorted(np.array([a for a, _ in e.offsets] or [0]), starts) if e.ids else np.zeros(len(starts), dtype=int)
+        ids = np.array(e.ids, dtype="<u4")
+        for c, a, z in zip(chunks, at, at[1:]):
+            self.seen[c] = ids[a:z].tobytes()
+
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
     """k subsets of near-equal sum: indexes of lengths, by Karmarkar-Karp differencing."""
@@ -99,8 +110,6 @@ def differencing(lengths: list[int], k: int) -> list[list[int]]:
         order = sorted(range(len(loads)), key=loads.__getitem__)
         loads, parts = [loads[o] for o in order], [parts[o] for o in order]
         low = loads[0] if len(loads) == k else 0
-        if low and len(loads) == k:
-            pass
         heapq.heappush(heap, (low - loads[-1], at, loads, parts))
         at += 1
     return heap[0][3] + [[] for _ in range(k - len(heap[0][3]))]

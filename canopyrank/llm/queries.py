@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from canopyrank.llm import decontaminate, secrets_scan, simhash
+from canopyrank.llm import decontaminate, langid, packing, quality, secrets_scan, simhash, toxicity, urls
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2,
     "op3_secret_scan": secrets_scan.op3,
+    "op5_toxicity": toxicity.op5,
     "op6_simhash": simhash.op6,
+    "op7_url_filter": urls.op7,
+    "op8_quality": quality.op8,
+    "op9_packing": packing.op9,
+    "op10_language": langid.op10,
 }
