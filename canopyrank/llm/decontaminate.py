@@ -200,6 +200,17 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, terms: int = 3, slop
     return hits.withColumn("seen", seen).filter(F.col("seen") == F.col("k")).select("doc_id", "text_key", "item_id", F.col("pos").cast("long").alias("from"))
 
 
+def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows that are not contaminated; all columns stay."""
+    found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).filter("contaminated")
+    bad = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    if bad.count() <= 10 * BROADCAST_ROWS:  # 16 bytes a row
+        bad = F.broadcast(bad)
+    marked = docs.withColumn("__text_key", F.xxhash64(text_of(text_col)))
+    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    return marked.join(bad, same, "left_anti").drop("__text_key")
+
+
 def op2(spark, sf_dir) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items)

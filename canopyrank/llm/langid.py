@@ -212,20 +212,45 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, keep: list[str] | None = None) -> DataFrame:
-    """One row for each input row: doc_id, held_out, lang_pred, score; or the columns of keep with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """One row for each input row: doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Labeller(model, penalty)
         for b in batches:
-            got = [of.label(t.as_py()) for t in b.column("__text")]
-            cols = [*(c for n, c in zip(b.schema.names, b.columns) if n != "__text"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*(n for n in b.schema.names if n != "__text"), "lang_pred", "score"])
-
-    own = [F.col(c) for c in keep] if keep else [F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out")]
-    rows = docs.select(*own, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+            got = [of.label(t.as_py()) for t in b.column("text")]
+            cols = [b.column("doc_id"), b.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+
+
+def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """One row for each stretch of words in one language: doc_id, start, end, lang."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Labeller(model, penalty)
+        for b in batches:
+            got = [(i, *x) for i, t in enumerate(b.column("text")) for x in of.spans(t.as_py())]
+            ids = b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
+            cols = [ids, pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "lang"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, lang string")
+
+
+def accept(docs: DataFrame, model: Model, *, text_col: str = "text", least_score: float = 0.0, penalty: float = PENALTY) -> DataFrame:
+    """The rows whose text has a language, with a score of least_score at least; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Labeller(model, penalty)
+        for b in batches:
+            got = [of.label(t.as_py()) for t in b.column(text_col)]
+            yield b.filter(pa.array([lang != UND and s >= least_score for lang, s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir) -> DataFrame:

@@ -52,4 +52,12 @@ SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0)
 FROM d LEFT JOIN lst USING (doc_id) LEFT JOIN live USING (doc_id)
 """
 
-SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3}
+
+# the tables hold no tool calls; a message of JSON with calls or results is left to the tests
+OP4 = """
+SELECT conv_id, turn, turn AS place, 0 AS depth, coalesce(role, '') AS role, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_errors, CAST(NULL AS VARCHAR) AS link,
+ '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}' AS json
+FROM conversations
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3, "op4_chat": OP4}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from canopyrank.llm import decontaminate, langid, packing, quality, secrets_scan, simhash, toxicity, urls
+from canopyrank.llm import attribution, chat, decontaminate, langid, packing, quality, secrets_scan, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_token_counts": attribution.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_secret_scan": secrets_scan.op3,
+    "op4_chat": chat.op4,
     "op5_toxicity": toxicity.op5,
     "op6_simhash": simhash.op6,
     "op7_url_filter": urls.op7,

@@ -106,8 +106,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     )
 
 
-def redact(docs: DataFrame, mask: str = "<secret>", **names) -> DataFrame:
-    """The input with every span replaced by the mask; rows without spans are unchanged. All columns stay."""
+def redact(docs: DataFrame, mask: str = "<secret>", length_col: str | None = None, **names) -> DataFrame:
+    """The input with every span replaced by the mask; rows without spans are unchanged. All columns stay.
+
+    length_col: a column that holds the text's length, put right where the text has changed.
+    """
     text_col, id_col = names.get("text_col", "text"), names.get("id_col", "doc_id")
     found = scan(docs, **names).filter(F.size("spans") > 0)
     keys = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
@@ -126,7 +129,10 @@ def redact(docs: DataFrame, mask: str = "<secret>", **names) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, gap).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(c, acc["at"] + 1, F.length(c))))
-    hit = hit.withColumn(text_col, F.when(F.col("__spans").isNull(), c).otherwise(masked))
+    new = {text_col: F.when(F.col("__spans").isNull(), c).otherwise(masked)}
+    if length_col:
+        new[length_col] = F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length(masked)).cast(docs.schema[length_col].dataType)
+    hit = hit.withColumns(new)
     return clean.unionByName(hit.select(*docs.columns))
 
 
