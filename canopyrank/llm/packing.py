@@ -153,7 +153,7 @@ def _pieces_of(path: str, capacity: int, cut: int) -> Callable:
 
 
 def _pack_bucket(capacity: int) -> Callable:
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = table.column("length").to_pylist()
         bucket = key[0].as_py()
         seq, offset = [0] * len(length), [0] * len(length)
