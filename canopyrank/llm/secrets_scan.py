@@ -129,10 +129,11 @@ def redact(docs: DataFrame, mask: str = "<secret>", length_col: str | None = Non
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, gap).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(c, acc["at"] + 1, F.length(c))))
-    new = {text_col: F.when(F.col("__spans").isNull(), c).otherwise(masked)}
+    hit = hit.withColumn("__masked", F.when(F.col("__spans").isNull(), c).otherwise(masked))
     if length_col:
-        new[length_col] = F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length(masked)).cast(docs.schema[length_col].dataType)
-    hit = hit.withColumns(new)
+        now = F.length("__masked").cast(docs.schema[length_col].dataType)
+        hit = hit.withColumn(length_col, F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(now))
+    hit = hit.drop(text_col).withColumnRenamed("__masked", text_col)
     return clean.unionByName(hit.select(*docs.columns))
 
 
