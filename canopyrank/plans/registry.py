@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from canopyrank.plans import evaluation, routing  # noqa: F401
+    from canopyrank.plans import evaluation, routing, scalar_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
