@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyrank.llm.common import kept_by_worker
+
 RULES = ("first", "majority", "split")
-#: Distinct chunks remembered by a task.
-REMEMBER = 1 << 19
+#: Distinct chunks remembered by a Python worker.
+REMEMBER = 600_000
 
 
 class ByteTokens:
@@ -119,7 +121,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, *, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteTokens(tokenizer, pattern)
+        tokens = kept_by_worker("byte_tokens", (tokenizer, pattern), lambda: ByteTokens(tokenizer, pattern))
         for b in batches:
             at, no, lo, hi, n, total = [], [], [], [], [], []
             for i, t in enumerate(b.column("text")):

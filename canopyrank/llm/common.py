@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,17 @@ def between(c: Column, gap: str) -> Column:
     return F.array_remove(F.split(c, gap, -1), "")
 
 
+def kept_by_worker(kind: str, key, make):
+    """What make() gives, kept for the next tasks of this Python worker; a new key takes the kind's place.
+
+    Functions reach workers by value, so a module's own globals would start anew with every task.
+    """
+    home = sys.modules.setdefault("_canopyrank_worker", types.ModuleType("_canopyrank_worker"))
+    if getattr(home, kind, (None, None))[0] != key:
+        setattr(home, kind, (key, make()))
+    return getattr(home, kind)[1]
+
+
 def text_of(c: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(c), F.lit(""))

@@ -10,8 +10,8 @@ exceed the capacity. Pieces over CUT are halved first ("cut freely"), as
 smaller parts balance better.
 
 Tokenizing is one pass over the texts; only piece lengths and checksums move
-on. Chunks between spaces are tokenized once for each task, as the tokenizer
-drops white space and no merge crosses it.
+on. Chunks between spaces are tokenized once for each Python worker, as the
+tokenizer drops white space and no merge crosses it.
 
 Defined cases. A null or empty text has the end id alone. Rows that repeat are
 packed as documents of their own. Columns beyond the named ones are ignored.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import materialise
+from canopyrank.llm.common import kept_by_worker, materialise
 
 CAPACITY = 2048
 END_ID = 1
@@ -40,45 +40,73 @@ END_ID = 1
 CUT = 512
 #: Pieces of a bucket, on average.
 BUCKET = 1024
-#: Distinct chunks remembered by a task.
-REMEMBER = 1 << 19
+#: Distinct chunks remembered by a Python worker.
+REMEMBER = 600_000
 
 
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes, remembered chunk by chunk."""
 
-    #: White space to every reader of text; other white space stays within a chunk for the tokenizer to drop.
-    gap = re.compile("[ \n\t\r]+")
+    #: str.split() takes these for white space, the tokenizer does not.
+    separators = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = self.gap.split(text)
+        self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
+
+    def chunks(self, text: str) -> list[str]:
+        if any(c in text for c in self.separators):
+            return [c for c in re.split("[ \n\t\r]+", text) if c]
+        return text.split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lists = [self.chunks(t) for t in texts]
+        if len(self.seen) > REMEMBER:
+            self.seen.clear()
         seen = self.seen
-        try:
-            return b"".join([seen[c] for c in chunks])
-        except KeyError:
-            pass
-        new = list({c for c in chunks if c not in seen})
-        if len(seen) + len(new) > REMEMBER:
-            new = list({c for c in chunks if c})
-            seen.clear()
-            seen[""] = b""
-        for at in range(0, len(new), 1024):
-            self._learn(new[at : at + 1024])
-        return b"".join([seen[c] for c in chunks])
+        new = set().union(*lists) - seen.keys()
+        # chunks that differ in A-Z, or in a point or comma behind a letter, share their ids
+        plain = {c: self._plain(c) for c in new}
+        learn = {k for k, _ in plain.values()} - seen.keys()
+        for part in (sorted(k for k in learn if k.isalpha()), sorted(k for k in learn if not k.isalpha())):
+            for at in range(0, len(part), 4096):
+                self._learn(part[at : at + 4096])
+        for c, (k, mark) in plain.items():
+            seen[c] = seen[k] + mark
+        return [b"".join(map(seen.__getitem__, x)) for x in lists]
+
+    def _plain(self, chunk: str) -> tuple[str, bytes]:
+        """A chunk with the same ids up to the mark's, which are given."""
+        if "<" in chunk:  # it may be a special token's name, which has its case
+            return chunk, b""
+        if chunk.isascii():
+            chunk = chunk.lower()
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
+            return chunk[:-1], self.marks[chunk[-1]]
+        return chunk, b""
 
     def _learn(self, chunks: list[str]) -> None:
-        """Tokenize chunks joined by spaces in one call, and part the ids by where each token starts."""
-        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        at = np.searchsorted(np.array([a for a, _ in e.offsets] or [0]), starts) if e.ids else np.zeros(len(starts), dtype=int)
+        """Tokenize chunks joined by spaces in one call, and part the ids by word ends or by where tokens start."""
+        whole = " ".join(chunks)
+        if all(c.isalpha() for c in chunks):
+            # a run of letters is one word to the tokenizer, and its last token alone ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(chunks):
+                for c, a, z in zip(chunks, [0, *ends], ends):
+                    self.seen[c] = ids[a:z].tobytes()
+                return
+        e = self.tokenizer.encode(whole, add_special_tokens=False)
         ids = np.array(e.ids, dtype="<u4")
+        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        at = np.searchsorted(np.array([a for a, _ in e.offsets], dtype=np.int64), starts)
         for c, a, z in zip(chunks, at, at[1:]):
             self.seen[c] = ids[a:z].tobytes()
 
@@ -128,14 +156,26 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += max(1, k // 400)
 
 
+def _by_size(tokens: Tokens, texts: pa.Array, most: int = 8_000_000) -> Iterator[bytes]:
+    """Ids of a batch's texts, so many characters at a time."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size >= most:
+            yield from tokens(part)
+            part, size = [], 0
+    yield from tokens(part)
+
+
 def _pieces_of(path: str, capacity: int, cut: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = kept_by_worker("word_tokens", path, lambda: Tokens(path))
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, t in enumerate(b.column("text")):
-                ids = tokens(t.as_py() or "") + end
+            for i, ids in enumerate(_by_size(tokens, b.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 full = n // capacity * capacity
                 cuts = list(range(0, full, capacity))
