@@ -49,9 +49,10 @@ def segments(docs: DataFrame, id_col: str, text_col: str, pad: int) -> DataFrame
 
     def block(b: Column) -> Column:
         at = b * BLOCK
-        rest = F.slice(F.col("all"), F.greatest(at - pad, F.lit(0)) + 1, F.lit(BLOCK + 2 * pad))
+        first = F.greatest(at - pad, F.lit(0))
+        rest = F.slice(F.col("all"), first + 1, at + BLOCK + pad - first)
         return F.struct(
-            F.when(b == 0, F.lit(-1)).otherwise(at - pad).cast("long").alias("first"),
+            F.when(b == 0, F.lit(-1)).otherwise(first).cast("long").alias("first"),
             F.when(b == 0, F.lit(-1)).otherwise(at).cast("long").alias("lo"),
             (at + BLOCK).cast("long").alias("hi"),
             F.when(b == 0, F.concat(F.array(F.lit(HEADER)), F.slice(F.col("all"), 1, BLOCK + pad))).otherwise(rest).alias("w"),

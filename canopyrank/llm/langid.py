@@ -101,6 +101,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     """Count words and trigrams by language."""
     languages = sorted(set(labels))
     n = len(languages)
+    if not n:
+        return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)), {}, 0)
     word, tri = [Counter() for _ in languages], [Counter() for _ in languages]
     use: dict[str, np.ndarray] = {}
     docs = Counter(labels)
@@ -121,7 +123,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     share = {s: v >= SCRIPT_SHARE * v.sum() for s, v in use.items()}
     return Model(
         languages, {w: k for k, w in enumerate(known)}, {g: k for k, g in enumerate(known_grams)}, table(word, known), table(tri, known_grams),
-        share, languages.index(min(docs, key=lambda x: (-docs[x], x))) if n else 0,
+        share, languages.index(min(docs, key=lambda x: (-docs[x], x))),
     )
 
 

@@ -219,10 +219,10 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         rows += [(q, k) for q in range(p << (CUT_BITS - d), (p + 1) << (CUT_BITS - d)) if q in histogram]
     prefixes = spark.createDataFrame(rows or [(0, 0)], "p int, node int")  # as many rows as the histogram
     tasks = spark.createDataFrame([(k, [list(x) for x in v]) for k, v in own.items()] or [(0, [])], "node int, tasks array<array<int>>")
-    table = F.broadcast(prefixes.join(F.broadcast(tasks), "node").select("p", "tasks"))  # at most 2 ** 14 rows
     copies = sum(len(own.get(k, ())) * sum(histogram.get(q, 0) for q in range(p << (CUT_BITS - d), (p + 1) << (CUT_BITS - d))) for k, (d, p) in enumerate(nodes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), copies // TASK_ROWS + 1)
-    fps = distinct.select("fp", top.alias("p")).join(table, "p").select("fp", F.explode("tasks").alias("t"))
+    # at most 2 ** CUT_BITS prefixes, and nodes in the order of NODES
+    fps = distinct.select("fp", top.alias("p")).join(F.broadcast(prefixes), "p").join(F.broadcast(tasks), "node").select("fp", F.explode("tasks").alias("t"))
     fps = fps.select("fp", F.col("t")[0].alias("task"), F.col("t")[1].alias("side")).repartition(parts, "task")
     first_bit = np.array([63 - min(nodes[a][0], nodes[b][0]) for a, b in pairs] or [63], dtype=np.int64)
 
@@ -279,24 +279,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, text_key, fp, component_id (smallest doc_id that links lead to)."""
+    """One row for each input row: doc_id, text_key, fp, root (a fingerprint that names the class), component_id.
+
+    component_id is the smallest doc_id that links lead to; where ids repeat, two classes may share it, but no root.
+    """
     fps = materialise(fingerprints(docs, id_col, text_col), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(near_pairs(distinct, budget))
     named = distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # roots without links name a class of one fingerprint; only the others are summed
     name = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialise(materialise(named, "named").join(materialise(name, "names"), "root").select("fp", "component_id"), "classes")
+    by_fp = materialise(materialise(named, "named").join(materialise(name, "names"), "root").select("fp", "root", "component_id"), "classes")
     # a fingerprint that a large part of the rows share is split by the adaptive join: both sides are plain scans
-    return fps.join(by_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, all columns kept: the smallest doc_id, and of rows that share it the smallest text_key."""
     found = materialise(classes(docs, budget, id_col, text_col), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    lone = F.when(F.col("component_id").isNull(), F.col("fp"))  # classes without any id keep one row for each fingerprint
-    keep = found.groupBy("component_id", lone.alias("lone")).agg(first.alias("k"))
+    keep = found.groupBy("root").agg(first.alias("k"))
     keep = materialise(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")), "keepers")
     same = docs[id_col].eqNullSafe(keep["__id"]) & (F.xxhash64(docs[text_col]) == keep["__key"])
     out = docs.join(keep, same, "left_semi")
