@@ -85,17 +85,22 @@ def rat09(spark, sf):
 _TWO = "xy AS (SELECT p_brand AS k, p_partkey AS id, p_size::DOUBLE AS x, round(p_retailprice / 50)::DOUBLE AS y FROM part WHERE p_partkey <= 600)"
 
 
+def pearson(x, y):
+    """Correlation over a group, 0 where a side is constant (corr itself fails there in ANSI mode)."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))), F.lit(0.0))
+
+
 def two_scores(spark, sf):
     return table(spark, sf, "part").filter("p_partkey <= 600").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))
 
 
-@register("sta01_spearman", f"WITH {_TWO}, r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0::DOUBLE AS ry FROM xy) SELECT k, round(coalesce(corr(rx, ry), 0), 6) AS rho FROM r GROUP BY k")
+@register("sta01_spearman", f"WITH {_TWO}, r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0::DOUBLE AS ry FROM xy) SELECT k, round(coalesce(nullif(corr(rx, ry), 'NaN'::DOUBLE), 0), 6) AS rho FROM r GROUP BY k")
 def sta01(spark, sf):
     def mean_rank(c):
         return F.rank().over(W.partitionBy("k").orderBy(c)) + (F.count("*").over(W.partitionBy("k", c)) - 1) / F.lit(2.0)
 
     r = two_scores(spark, sf).select("k", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"))
-    return r.groupBy("k").agg(r6(F.coalesce(F.corr("rx", "ry"), F.lit(0.0))).alias("rho"))
+    return r.groupBy("k").agg(r6(pearson("rx", "ry")).alias("rho"))
 
 
 def _pairs(spark, sf):
@@ -151,9 +156,9 @@ def sta09(spark, sf):
     return c.select("b", "c", r6(k * k / (F.col("b") + F.col("c"))).alias("chi2"))
 
 
-@register("sta11_pearson", f"WITH {_TWO} SELECT k, round(coalesce(corr(x, y), 0), 6) AS r FROM xy GROUP BY k")
+@register("sta11_pearson", f"WITH {_TWO} SELECT k, round(coalesce(nullif(corr(x, y), 'NaN'::DOUBLE), 0), 6) AS r FROM xy GROUP BY k")
 def sta11(spark, sf):
-    return two_scores(spark, sf).groupBy("k").agg(r6(F.coalesce(F.corr("x", "y"), F.lit(0.0))).alias("r"))
+    return two_scores(spark, sf).groupBy("k").agg(r6(pearson("x", "y")).alias("r"))
 
 
 @register("tun01_orthogonal_array", "SELECT r AS run, r // 3 AS a, r % 3 AS b, (r // 3 + r % 3) % 3 AS c, (r // 3 + 2 * (r % 3)) % 3 AS d FROM range(9) t(r)")
