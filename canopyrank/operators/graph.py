@@ -50,3 +50,19 @@ def strongly_connected(edges: DataFrame, vertices: int) -> DataFrame:
     reach = closure(edges, cap=vertices).select("node", "anc")
     back = reach.select(F.col("anc").alias("node"), F.col("node").alias("anc"))
     return reach.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("scc"))
+
+
+def merge_groups(pairs: DataFrame, a: str, b: str, node: str, group: str) -> DataFrame:
+    """Groups of nodes joined by pairs, named by the smallest member. Pairs of taxonomy nodes: as small as the topology, which the driver holds."""
+    up: dict = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for r in pairs.select(a, b).collect():
+        x, y = sorted((find(r[0]), find(r[1])))
+        up[y] = x
+    kind = dict(pairs.dtypes)[a]
+    return pairs.sparkSession.createDataFrame([(x, find(x)) for x in sorted(up)], f"{node} {kind}, {group} {kind}")

@@ -49,3 +49,9 @@ def test_lowest_common_ancestor_is_the_deepest(spark):
     pair = spark.createDataFrame([("p", "q")], "x string, y string")
     got = graph.lowest_common(pair, reach.select("node", "anc"), graph.depths(e)).first()
     assert (got.lca, got.depth) == ("y", 2)
+
+
+def test_pairs_join_into_groups_named_by_the_smallest(spark):
+    p = spark.createDataFrame([(5, 3), (3, 9), (7, 8), (2, 9)], "x long, y long")
+    got = {r.n: r.g for r in graph.merge_groups(p, "x", "y", "n", "g").collect()}
+    assert got == {2: 2, 3: 2, 5: 2, 9: 2, 7: 7, 8: 7}
