@@ -114,3 +114,29 @@ def ratings(matches: DataFrame) -> DataFrame:
 
     got = matches.select("domain", "ts", "event_id", "a", "b", "wa", "wb").groupBy("domain").applyInPandas(run, "domain string, agent string, mu double, sigma double")
     return got.withColumn("ordinal", F.col("mu") - 2 * F.col("sigma"))
+
+
+def permutation_p(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: int = 10000, seed: int = 42) -> tuple[float, float]:
+    """Difference of two scores' rank correlations with the truth, and how often swaps within items give one as large."""
+    def rho(m: np.ndarray) -> np.ndarray:
+        r = pd.DataFrame(m).rank(axis=1).to_numpy()
+        t = pd.Series(truth).rank().to_numpy()
+        r, t = r - r.mean(axis=1, keepdims=True), t - t.mean()
+        scale = np.sqrt((r * r).sum(axis=1) * (t @ t))
+        return np.where(scale > 0, (r @ t) / np.where(scale > 0, scale, 1), 0.0)
+
+    base = float((rho(one[None]) - rho(two[None]))[0])
+    swap = np.random.default_rng(seed).random((rounds, len(truth))) < 0.5
+    delta = rho(np.where(swap, one, two)) - rho(np.where(swap, two, one))
+    # swapped sums differ in the last bit
+    return base, float((np.abs(delta) >= abs(base) - 1e-12).mean())
+
+
+def permutation_test(items: DataFrame, key: str, truth: str, one: str, two: str, rounds: int = 10000) -> DataFrame:
+    """permutation_p of every key: key, delta, p. A group is a list of rated models, which is short."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([truth, one, two])
+        d, p = permutation_p(*[pdf[c].to_numpy(dtype=float) for c in (truth, one, two)], rounds)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "delta": [d], "p": [p]})
+
+    return items.select(key, truth, one, two).groupBy(key).applyInPandas(run, f"{key} {dict(items.dtypes)[key]}, delta double, p double")

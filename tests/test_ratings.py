@@ -55,3 +55,10 @@ def test_pairs_join_into_groups_named_by_the_smallest(spark):
     p = spark.createDataFrame([(5, 3), (3, 9), (7, 8), (2, 9)], "x long, y long")
     got = {r.n: r.g for r in graph.merge_groups(p, "x", "y", "n", "g").collect()}
     assert got == {2: 2, 3: 2, 5: 2, 9: 2, 7: 7, 8: 7}
+
+
+def test_permutation_of_equal_scores_is_never_significant_and_of_opposite_ones_is():
+    t = np.arange(12.0)
+    assert ratings.permutation_p(t, t, t, 200) == (0.0, 1.0)
+    delta, p = ratings.permutation_p(t, t, -t, 2000)
+    assert math.isclose(delta, 2.0) and p < 0.01
