@@ -52,7 +52,14 @@ def dominance(spark, sf):
     """Edges winner to loser over pooled pairs: p, c."""
     pool = pair_stats(matches(spark, sf)).groupBy("a", "b").agg(F.sum("wins_a").alias("x"), F.sum("wins_b").alias("y")).filter("x <> y")
     first = F.col("x") > F.col("y")
-    return pool.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"))
+    e = pool.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"))
+    # an edge for two models at most: kept as values, so that the closure's levels do not read the matches again
+    return spark.createDataFrame(e.collect(), e.schema).coalesce(1)
+
+
+def models_of(edges) -> int:
+    """How many models the edges name: no path without a circle is longer."""
+    return edges.select("p").union(edges.select("c")).distinct().count()
 
 
 @register("grf15_dominance_graph", f"WITH RECURSIVE {_DOM} SELECT p AS winner, c AS loser FROM dom")
@@ -62,7 +69,8 @@ def grf15(spark, sf):
 
 @register("grf13_strong_components", f"WITH RECURSIVE {_DOM}, v AS (SELECT p AS m FROM dom UNION SELECT c FROM dom) SELECT m AS node, least(m, coalesce(min(r.y), m)) AS scc FROM v LEFT JOIN (SELECT a.x, a.y FROM rc a JOIN rc b ON a.x = b.y AND a.y = b.x) r ON r.x = m GROUP BY m")
 def grf13(spark, sf):
-    return G.strongly_connected(dominance(spark, sf), 16)
+    e = dominance(spark, sf)
+    return G.strongly_connected(e, models_of(e))
 
 
 @register("rat18_resolved_pairs", f"WITH RECURSIVE {_BT}, z AS (SELECT domain, i, s FROM bt WHERE it = 30) SELECT x.domain, x.i AS a, y.i AS b, round(abs(x.s - y.s), 6) AS gap FROM z x JOIN z y ON x.domain = y.domain AND x.i < y.i WHERE round(abs(x.s - y.s), 6) > 0.1")
