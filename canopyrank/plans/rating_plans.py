@@ -99,7 +99,7 @@ def pearson(x, y):
 
 
 def two_scores(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey <= 600").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))
+    return table(spark, sf, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.round(F.col("p_retailprice") / 50).alias("y"))
 
 
 @register("sta01_spearman", f"WITH {_TWO}, r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0::DOUBLE AS ry FROM xy) SELECT k, round(coalesce(nullif(corr(rx, ry), 'NaN'::DOUBLE), 0), 6) AS rho FROM r GROUP BY k")
@@ -111,11 +111,23 @@ def sta01(spark, sf):
     return r.groupBy("k").agg(r6(pearson("rx", "ry")).alias("rho"))
 
 
-def _pairs(spark, sf):
-    t = two_scores(spark, sf)
-    a, b = t.alias("a"), t.alias("b")
-    sx, sy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.k").alias("k"), sx.alias("sx"), sy.alias("sy"))
+def pair_counts(scores):
+    """Pairs within a group, counted without forming them: k, n (all), nx and ny (a side differs), up and down (concordant and discordant).
+
+    Equal (k, x, y) are counted first; what lies below and beside a cell is summed over the grid of the group's values.
+    """
+    cells = scores.groupBy("k", "x", "y").agg(F.count("*").alias("n"))
+    side = lambda c: cells.groupBy("k", c).agg(F.sum("n").alias(c + "n"))
+    grid = side("x").join(side("y"), "k").join(cells, ["k", "x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = lambda c, by: W.partitionBy("k", by).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("k", "x").orderBy("y").rowsBetween(1, W.unboundedFollowing)
+    left = grid.withColumn("left", F.coalesce(F.sum("n").over(before("x", "y")), F.lit(0)))
+    near = left.select("k", "n", F.coalesce(F.sum("left").over(before("y", "x")), F.lit(0)).alias("under"), F.coalesce(F.sum("left").over(after), F.lit(0)).alias("over"))
+    pairs = lambda c: F.sum(F.expr(f"{c} * ({c} - 1) div 2"))
+    same = lambda c: side(c).groupBy("k").agg(pairs(c + "n").alias("t" + c))
+    total = scores.groupBy("k").agg(F.count("*").alias("m")).select("k", F.expr("m * (m - 1) div 2").alias("n")).filter("n > 0")
+    c = near.groupBy("k").agg(F.sum(F.col("n") * F.col("under")).alias("up"), F.sum(F.col("n") * F.col("over")).alias("down"))
+    return total.join(same("x"), "k").join(same("y"), "k").join(c, "k").select("k", "n", (F.col("n") - F.col("tx")).alias("nx"), (F.col("n") - F.col("ty")).alias("ny"), "up", "down")
 
 
 _PR = "pr AS (SELECT a.k, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM xy a JOIN xy b ON a.k = b.k AND a.id < b.id)"
@@ -123,19 +135,18 @@ _PR = "pr AS (SELECT a.k, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM xy a
 
 @register("sta02_kendall_tau_b", f"WITH {_TWO}, {_PR}, c AS (SELECT k, sum(sx * sy)::DOUBLE AS s, count(*) FILTER (WHERE sx <> 0)::DOUBLE AS nx, count(*) FILTER (WHERE sy <> 0)::DOUBLE AS ny FROM pr GROUP BY k) SELECT k, round(CASE WHEN nx * ny > 0 THEN s / sqrt(nx * ny) ELSE 0 END, 6) AS tau FROM c")
 def sta02(spark, sf):
-    c = _pairs(spark, sf).groupBy("k").agg(F.sum(F.col("sx") * F.col("sy")).alias("s"), F.count_if(F.col("sx") != 0).alias("nx"), F.count_if(F.col("sy") != 0).alias("ny"))
     d = F.sqrt(F.col("nx").cast("double") * F.col("ny"))
-    return c.select("k", r6(F.when(d > 0, F.col("s") / d).otherwise(0.0)).alias("tau"))
+    return pair_counts(two_scores(spark, sf)).select("k", r6(F.when(d > 0, (F.col("up") - F.col("down")) / d).otherwise(0.0)).alias("tau"))
 
 
 @register("sta03_kendall_tau_a", f"WITH {_TWO}, {_PR} SELECT k, round(sum(sx * sy) / count(*)::DOUBLE, 6) AS tau FROM pr GROUP BY k")
 def sta03(spark, sf):
-    return _pairs(spark, sf).groupBy("k").agg(r6(F.sum(F.col("sx") * F.col("sy")) / F.count("*")).alias("tau"))
+    return pair_counts(two_scores(spark, sf)).select("k", r6((F.col("up") - F.col("down")) / F.col("n")).alias("tau"))
 
 
 @register("sta04_pairwise_accuracy", f"WITH {_TWO}, {_PR} SELECT k, round(count(*) FILTER (WHERE sx = sy) / count(*)::DOUBLE, 6) AS accuracy FROM pr WHERE sx <> 0 GROUP BY k")
 def sta04(spark, sf):
-    return _pairs(spark, sf).filter("sx <> 0").groupBy("k").agg(r6(F.count_if(F.col("sx") == F.col("sy")) / F.count("*")).alias("accuracy"))
+    return pair_counts(two_scores(spark, sf)).filter("nx > 0").select("k", r6(F.col("up") / F.col("nx")).alias("accuracy"))
 
 
 @register("top04_top_k_jaccard", f"WITH {_TWO}, r AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY x DESC, id) <= 5 AS a, row_number() OVER (PARTITION BY k ORDER BY y DESC, id) <= 5 AS b FROM xy) SELECT k, round(count(*) FILTER (WHERE a AND b) / count(*) FILTER (WHERE a OR b)::DOUBLE, 6) AS jaccard FROM r GROUP BY k")
