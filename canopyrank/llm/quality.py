@@ -22,8 +22,8 @@ from canopyrank.llm.common import SPACE_GAP, between, text_of
 
 #: Buckets; so many numbers reach the driver, and go back into the plan as one constant array.
 BUCKETS = 1 << 14
-#: Trusted documents at most, the first by the hash of their id.
-TARGET = 20_000
+#: Trusted ids up to which they are broadcast, some 50 MB; beyond it the documents are dealt by id. All count either way.
+BROADCAST = 1 << 20
 SMOOTH = 1.0
 #: Mean log-likelihood ratio in nats from which a document is kept.
 THRESHOLD = -0.04
@@ -48,12 +48,12 @@ def ngram_buckets(h: Column) -> Column:
     return F.concat(F.transform(h, lambda a: bucket(a)), F.filter(pairs, lambda x: x.isNotNull()))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> list[float]:
-    """The log ratio of every bucket. trusted: a column of ids; the corpus is counted whole."""
-    ids = trusted.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct().orderBy(F.xxhash64("__id"), "__id").limit(target)
+def weights(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST) -> list[float]:
+    """The log ratio of every bucket. trusted: a column of ids; the corpus and the trusted documents are counted whole. most: ids that are broadcast."""
+    ids = trusted.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull()).distinct()
+    few = ids.limit(most + 1).count() <= most
     ids = ids.withColumn("__in", F.lit(1))
-    # at most the target's number of rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(ids), "__id", "left")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "__id", "left")
     grams = rows.select(F.coalesce("__in", F.lit(0)).alias("own"), word_hashes(text_of("__t")).alias("h")).select("own", F.explode(ngram_buckets(F.col("h"))).alias("b"))
     raw, own = [0] * BUCKETS, [0] * BUCKETS
     for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("own").alias("m")).collect():
