@@ -195,7 +195,7 @@ def fn20(spark, sf):
 
 @register("fn21_strip_fence", "SELECT doc_id, md5(trim(substr(text, 1, 40), ' ' || chr(10))) AS h FROM documents")
 def fn21(spark, sf):
-    t = F.concat(F.lit("```text\n"), F.regexp_replace(F.substring("text", 1, 40), r"^[ \n]+|[ \n]+$", ""), F.lit("\n```"))
+    t = F.concat(F.lit("```text\n"), F.regexp_replace("text", r"^[ \n]+|[ \n]+$", ""), F.lit("\n```"))
     return table(spark, sf, "documents").select("doc_id", F.md5(S.strip_fence(t)).alias("h"))
 
 

@@ -1,5 +1,6 @@
 """Queries that once read a part of their input, against the whole of it."""
 
+import hashlib
 import os
 from collections import defaultdict
 from itertools import combinations
@@ -13,7 +14,7 @@ from canopyrank.session import TABLES
 SF = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 #: What the SQL beside a plan leaves out, and what stands in its place for the whole input.
-CUTS = {" WHERE p_partkey <= 600": ""}
+CUTS = {" WHERE p_partkey <= 600": "", "substr(text, 1, 40)": "text"}
 
 
 def rows(data):
@@ -21,8 +22,8 @@ def rows(data):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["sta01_spearman", "sta02_kendall_tau_b", "sta03_kendall_tau_a", "sta04_pairwise_accuracy", "sta08_wilcoxon", "sta11_pearson", "top04_top_k_jaccard"])
-def test_query_takes_the_whole_table(spark, name):
+@pytest.mark.parametrize("name", ["fn21_strip_fence", "sta01_spearman", "sta02_kendall_tau_b", "sta03_kendall_tau_a", "sta04_pairwise_accuracy", "sta08_wilcoxon", "sta11_pearson", "top04_top_k_jaccard"])
+def test_query_takes_the_whole_input(spark, name):
     import duckdb
 
     c, sql = duckdb.connect(), registry.oracle_sql()[name]
@@ -35,6 +36,13 @@ def test_query_takes_the_whole_table(spark, name):
     assert rows(df.select(*cols).collect()) == rows(want.project(",".join(f'"{x}"' for x in cols)).fetchall())
 
 
+def test_fence_is_stripped_from_the_whole_text(spark, tmp_path):
+    text = "x" * 50 + "\n```\ninner\n```\n" + "y" * 50
+    spark.createDataFrame([(1, f" \n{text}\n "), (2, "x" * 50)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.h for r in registry.queries()["fn21_strip_fence"](spark, str(tmp_path)).collect()}
+    assert got == {1: hashlib.md5(text.encode()).hexdigest(), 2: hashlib.md5(b"x" * 50).hexdigest()}
+
+
 @needs_tables
 def test_permutation_test_is_given_every_part(spark):
     assert rating_plans.two_scores(spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
