@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from canopyrank.functions.vectors import dot, sums
 
+#: Members of a node up to which one task holds them all: 16 MB at 64 dimensions.
+HELD = 1 << 15
+
 
 @dataclass(frozen=True)
 class Node:
@@ -87,35 +90,115 @@ def separation(members: DataFrame, key: str = "node") -> float:
     return float(1 - r["w"] / expected) if expected > 1e-10 else 0.0
 
 
-def mixture(x: np.ndarray, k: int, rounds: int = 150) -> np.ndarray | None:
-    """Responsibilities of a k-part directional mixture, started from the centroid's farthest points; None if a part dies."""
-    n, d = x.shape
-    mu = [x[np.argmin(x @ x.mean(axis=0))]]
+def shares(x: np.ndarray, mu: np.ndarray, kappa: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Responsibilities of the parts for every row, and the log-likelihood."""
+    nu = x.shape[1] / 2 - 1
+    z = kappa / nu
+    root = np.sqrt(1 + z * z)
+    log_c = nu * np.log(kappa) - (nu + 1) * np.log(2 * np.pi) - (nu * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * np.pi * nu * root))
+    logp = np.log(weight) + log_c + kappa * (x @ mu.T)
+    top = logp.max(axis=1, keepdims=True)
+    p = np.exp(logp - top)
+    ll = float((top[:, 0] + np.log(p.sum(axis=1))).sum())
+    return p / p.sum(axis=1, keepdims=True), ll
+
+
+class Held:
+    """A node's members as one array, in order of their ids."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, (self.n, self.d), self.whole = x, x.shape, x.sum(axis=0)
+
+    def farthest(self, mu: np.ndarray) -> np.ndarray:
+        return self.x[np.argmin((self.x @ mu.T).max(axis=1))]
+
+    def soft(self, parts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+        p, ll = shares(self.x, *parts)
+        return ll, p.sum(axis=0), p.T @ self.x
+
+    def hard(self, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
+        best = shares(self.x, *parts)[0].argmax(axis=1)
+        k = len(parts[0])
+        return np.bincount(best, minlength=k), np.stack([self.x[best == j].sum(axis=0) for j in range(k)])
+
+
+class Spread:
+    """A node's members as a DataFrame (vec_id, v): what Held gives, from a row of sums for each partition."""
+
+    def __init__(self, members: DataFrame):
+        self.members = members.select("vec_id", "v")
+        got = self._sums(lambda h: np.concatenate([[h.n], h.whole]))
+        self.n, self.whole = int(got[0]), got[1:]
+        self.d = len(self.whole)
+
+    def _rows(self, one) -> list:
+        """one(ids, rows) of every batch, a list of numbers each; with the batch's ids in order."""
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    pdf = pdf.sort_values("vec_id")
+                    yield pd.DataFrame({"r": [one(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()))]})
+
+        return [np.array(r["r"]) for r in self.members.mapInPandas(run, "r array<double>").collect()]
+
+    def _sums(self, one) -> np.ndarray:
+        return np.sum(self._rows(lambda ids, x: one(Held(x))), axis=0)
+
+    def farthest(self, mu: np.ndarray) -> np.ndarray:
+        def one(ids, x):
+            c = (x @ mu.T).max(axis=1)
+            return np.concatenate([[c.min()], x[np.argmin(c)]])
+
+        return min(self._rows(one), key=tuple)[1:]
+
+    def soft(self, parts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+        def one(h):
+            ll, soft, total = h.soft(parts)
+            return np.concatenate([[ll], soft, total.ravel()])
+
+        got, k = self._sums(one), len(parts[0])
+        return float(got[0]), got[1 : k + 1], got[k + 1 :].reshape(k, -1)
+
+    def hard(self, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
+        got, k = self._sums(lambda h: np.concatenate([h.hard(parts)[0], h.hard(parts)[1].ravel()])), len(parts[0])
+        return got[:k].astype(int), got[k:].reshape(k, -1)
+
+
+def mixture(x: Held | Spread, k: int, rounds: int = 150) -> tuple | None:
+    """Directions, concentrations and weights of a k-part directional mixture, started from the centroid's farthest points; None if a part dies."""
+    n, d = x.n, x.d
+    mu = x.farthest(x.whole[None] / n)[None]
     while len(mu) < k:
-        mu.append(x[np.argmin(np.max(np.stack([x @ m for m in mu]), axis=0))])
-    mu, kappa, weight, last, idle = np.array(mu), np.full(k, 10.0), np.full(k, 1 / k), -np.inf, 0
-    for _ in range(rounds):
-        nu = d / 2 - 1
-        z = kappa / nu
-        root = np.sqrt(1 + z * z)
-        log_c = nu * np.log(kappa) - d / 2 * np.log(2 * np.pi) - (nu * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * np.pi * nu * root))
-        logp = np.log(weight) + log_c + kappa * (x @ mu.T)
-        top = logp.max(axis=1, keepdims=True)
-        p = np.exp(logp - top)
-        ll = float((top[:, 0] + np.log(p.sum(axis=1))).sum())
-        p /= p.sum(axis=1, keepdims=True)
-        soft = p.sum(axis=0)
+        mu = np.vstack([mu, x.farthest(mu)])
+    parts, last, idle = (mu, np.full(k, 10.0), np.full(k, 1 / k)), -np.inf, 0
+    for i in range(rounds):
+        ll, soft, total = x.soft(parts)
         if soft.min() < 0.01 * n:
             return None
         idle = idle + 1 if ll <= last else 0
-        if abs(ll - last) / n < 1e-5 or idle >= 10:
-            return p
-        last, weight = ll, soft / n
-        total = p.T @ x
-        size = np.linalg.norm(total, axis=1)
-        mu = total / np.maximum(size, 1e-12)[:, None]
-        kappa = np.array([kappa_of(s / m, m, d) for s, m in zip(size, soft)])
-    return p
+        if abs(ll - last) / n < 1e-5 or idle >= 10 or i == rounds - 1:
+            break
+        last, size = ll, np.linalg.norm(total, axis=1)
+        parts = (total / np.maximum(size, 1e-12)[:, None], np.array([kappa_of(a / m, m, d) for a, m in zip(size, soft)]), soft / n)
+    return parts
+
+
+def split(x: Held | Spread, s: Settings) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sizes and sums of the parts of the best mixture that separates by epsilon at least."""
+    best, out, n = 0.0, None, x.n
+    for k in range(2, s.most_children + 1):
+        if n < k * s.least or (parts := mixture(x, k)) is None:
+            break
+        size, total = x.hard(parts)
+        if size.min() < s.least:
+            break
+        within = (size**2 - (total**2).sum(axis=1)).sum()
+        expected = (n * n - x.whole @ x.whole) * (size * (size - 1)).sum() / (n * (n - 1))
+        sep = 1 - within / expected if expected > 1e-10 else 0.0
+        if sep < best + s.epsilon:
+            break
+        best, out = sep, (size, total)
+    return out
 
 
 def route(queries: DataFrame, tree: Taxonomy, s: Settings) -> DataFrame:
@@ -161,43 +244,32 @@ def bootstrap(queries: DataFrame) -> Taxonomy:
     return t
 
 
-def splits(members: DataFrame, s: Settings) -> dict[str, list[tuple[np.ndarray, float]]]:
+def splits(members: DataFrame, s: Settings, most: int = HELD) -> dict[str, list[tuple[np.ndarray, float]]]:
     """For every leaf that a mixture separates by epsilon at least: the parts' mean directions and concentrations.
 
-    The mixture sees at most 4096 members of a node, the first by the hash of their id; the separation is judged on them.
+    The mixture sees all members of a node. A node of at most `most` is held by one task; a larger one stays
+    spread, and each step of its mixture is a pass over it.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        best, out = 0.0, None
-        for k in range(2, s.most_children + 1):
-            if len(x) < k * s.least or (p := mixture(x, k)) is None:
-                break
-            hard = p.argmax(axis=1)
-            size = np.bincount(hard, minlength=k)
-            if size.min() < s.least:
-                break
-            total = np.stack([x[hard == j].sum(axis=0) for j in range(k)])
-            n, whole = len(x), x.sum(axis=0)
-            within = (size**2 - (total**2).sum(axis=1)).sum()
-            expected = (n * n - whole @ whole) * (size * (size - 1)).sum() / (n * (n - 1))
-            sep = 1 - within / expected if expected > 1e-10 else 0.0
-            if sep < best + s.epsilon:
-                break
-            best, out = sep, (size, total)
-        if out is None:
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("node", object), ("part", "int32"), ("mu", object), ("kappa", float))})
-        size, total = out
-        r = np.linalg.norm(total, axis=1)
-        kappa = [kappa_of(a / n, n, x.shape[1]) for a, n in zip(r, size)]
-        return pd.DataFrame({"node": pdf["node"].iloc[0], "part": range(len(size)), "mu": list((total.T / r).T), "kappa": kappa})
-
-    from pyspark.sql import Window as W
-
-    few = members.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("vec_id"), "vec_id"))).filter("r <= 4096").drop("r")
-    got: dict[str, list] = {}
-    for r in few.select("node", "v").groupBy("node").applyInPandas(run, "node string, part int, mu array<double>, kappa double").orderBy("node", "part").collect():
-        got.setdefault(r["node"], []).append((np.array(r["mu"]), r["kappa"]))
-    return got
+        out = split(Held(np.stack(pdf.sort_values("vec_id")["v"].to_numpy())), s)
+        size, total = out if out else ([], [])
+        types = {"part": (range(len(size)), "int32"), "size": (size, "int64"), "total": (list(total), object)}
+        return pd.DataFrame({"node": pd.Series([pdf["node"].iloc[0]] * len(size), dtype=object)} | {c: pd.Series(v, dtype=t) for c, (v, t) in types.items()})
+
+    rows = members.select("node", "vec_id", "v").persist()
+    try:
+        large = sorted(r["node"] for r in rows.groupBy("node").count().filter(F.col("count") > most).collect())
+        few = rows.filter(~F.col("node").isin(large)) if large else rows
+        found: dict[str, list] = {}
+        for r in few.groupBy("node").applyInPandas(run, "node string, part int, size long, total array<double>").orderBy("node", "part").collect():
+            found.setdefault(r["node"], []).append((r["size"], np.array(r["total"])))
+        for node in large:
+            if out := split(Spread(rows.filter(F.col("node") == node)), s):
+                found[node] = list(zip(*out))
+    finally:
+        rows.unpersist()
+    size = np.linalg.norm
+    return {node: [(t / size(t), kappa_of(size(t) / n, n, len(t))) for n, t in parts] for node, parts in found.items()}
 
 
 def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, DataFrame, list[dict]]:

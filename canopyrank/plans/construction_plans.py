@@ -41,5 +41,5 @@ def clu11(spark, sf):
 
 @register("clu33_evolution")
 def clu33(spark, sf):
-    _, members, _ = T.evolve(_queries(spark, sf), T.Settings(epsilon=0.005, least=10, rounds=2))
+    _, members, _ = T.evolve(_queries(spark, sf), T.Settings(epsilon=0.005, least=10))
     return members.select("vec_id", "node", r6(F.col("weight")).alias("weight"))

@@ -5,9 +5,11 @@ import os
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from canopyrank.llm import quality
+from canopyrank.operators import taxonomy
 from canopyrank.plans import rating_plans, registry
 from canopyrank.session import TABLES
 
@@ -71,3 +73,35 @@ def test_weights_are_the_same_without_a_broadcast(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "concat('a', id % 7, ' b', id % 11) AS text").union(spark.sql("SELECT CAST(NULL AS LONG), 'a1 c'"))
     good = docs.filter("doc_id % 3 = 0").union(docs.filter("doc_id = 3"))
     assert quality.weights(docs, good, most=10) == quality.weights(docs, good)
+
+
+def clusters(spark, n, d=16, seed=0):
+    rng = np.random.default_rng(seed)
+    x = np.linalg.qr(rng.normal(size=(d, d)))[0][np.arange(n) % 3] + 0.1 * rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, spark.createDataFrame([(i, "n", v.tolist()) for i, v in enumerate(x)], "vec_id long, node string, v array<double>")
+
+
+def test_split_takes_every_member(spark):
+    x, members = clusters(spark, 5000)
+    got = taxonomy.splits(members, taxonomy.Settings(least=10))["n"]
+    want = sorted((x[np.arange(5000) % 3 == j].sum(axis=0) for j in range(3)), key=tuple)
+    assert np.allclose(sorted((m for m, _ in got), key=tuple), [t / np.linalg.norm(t) for t in want], atol=1e-9)
+
+
+def test_spread_members_split_as_held_ones(spark):
+    _, members = clusters(spark, 600)
+    both = members.union(members.selectExpr("vec_id", "'m'", "v").filter("vec_id < 90"))
+    held, spread = (taxonomy.splits(both, taxonomy.Settings(least=10), most) for most in (1000, 100))
+    assert set(held) == set(spread) == {"m", "n"}
+    for node in held:
+        assert np.allclose([m for m, _ in held[node]], [m for m, _ in spread[node]]) and np.allclose([k for _, k in held[node]], [k for _, k in spread[node]])
+
+
+def test_evolution_is_registered_with_the_default_rounds(monkeypatch):
+    seen = []
+    monkeypatch.setattr(taxonomy, "evolve", lambda q, s: seen.append(s.rounds) or 1 / 0)
+    monkeypatch.setattr("canopyrank.plans.construction_plans._queries", lambda spark, sf: None)
+    with pytest.raises(ZeroDivisionError):
+        registry.queries()["clu33_evolution"](None, "")
+    assert seen == [taxonomy.Settings().rounds]
