@@ -116,6 +116,10 @@ def ratings(matches: DataFrame) -> DataFrame:
     return got.withColumn("ordinal", F.col("mu") - 2 * F.col("sigma"))
 
 
+#: Numbers drawn at once by a permutation test; the draws do not depend on it.
+SWAPS = 1 << 20
+
+
 def permutation_p(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: int = 10000, seed: int = 42) -> tuple[float, float]:
     """Difference of two scores' rank correlations with the truth, and how often swaps within items give one as large."""
     def rho(m: np.ndarray) -> np.ndarray:
@@ -126,14 +130,17 @@ def permutation_p(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: i
         return np.where(scale > 0, (r @ t) / np.where(scale > 0, scale, 1), 0.0)
 
     base = float((rho(one[None]) - rho(two[None]))[0])
-    swap = np.random.default_rng(seed).random((rounds, len(truth))) < 0.5
-    delta = rho(np.where(swap, one, two)) - rho(np.where(swap, two, one))
-    # swapped sums differ in the last bit
-    return base, float((np.abs(delta) >= abs(base) - 1e-12).mean())
+    random, block, hits = np.random.default_rng(seed), max(1, SWAPS // max(1, len(truth))), 0
+    for done in range(0, rounds, block):
+        swap = random.random((min(block, rounds - done), len(truth))) < 0.5
+        delta = rho(np.where(swap, one, two)) - rho(np.where(swap, two, one))
+        # swapped sums differ in the last bit
+        hits += int((np.abs(delta) >= abs(base) - 1e-12).sum())
+    return base, hits / rounds
 
 
 def permutation_test(items: DataFrame, key: str, truth: str, one: str, two: str, rounds: int = 10000) -> DataFrame:
-    """permutation_p of every key: key, delta, p. A group is a list of rated models, which is short."""
+    """permutation_p of every key: key, delta, p. A group's items are held by one task."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([truth, one, two])
         d, p = permutation_p(*[pdf[c].to_numpy(dtype=float) for c in (truth, one, two)], rounds)

@@ -92,4 +92,4 @@ def rat16(spark, sf):
 def sta07(spark, sf):
     """Brands of parts: does the price follow the size better than the key does?"""
     t = two_scores(spark, sf).withColumn("z", (F.col("id") % 7).cast("double"))
-    return R.permutation_test(t, "k", "x", "y", "z", 1000)
+    return R.permutation_test(t, "k", "x", "y", "z")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from canopyrank.llm import quality
-from canopyrank.operators import taxonomy
+from canopyrank.operators import ratings, taxonomy
 from canopyrank.plans import rating_plans, registry
 from canopyrank.session import TABLES
 
@@ -105,3 +105,18 @@ def test_evolution_is_registered_with_the_default_rounds(monkeypatch):
     with pytest.raises(ZeroDivisionError):
         registry.queries()["clu33_evolution"](None, "")
     assert seen == [taxonomy.Settings().rounds]
+
+
+def test_permutation_test_is_registered_with_the_default_swaps(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ratings, "permutation_test", lambda items, key, truth, one, two, rounds=10_000: seen.append(rounds))
+    monkeypatch.setattr("canopyrank.plans.tournament_plans.two_scores", lambda spark, sf: spark.range(1))
+    registry.queries()["sta07_permutation_test"](spark, "")
+    assert seen == [10_000]
+
+
+def test_swaps_drawn_in_blocks_give_the_same_p(monkeypatch):
+    t, one, two = np.random.default_rng(1).random((3, 30))
+    whole = ratings.permutation_p(t, one, two, 501)
+    monkeypatch.setattr(ratings, "SWAPS", 100)
+    assert ratings.permutation_p(t, one, two, 501) == whole
