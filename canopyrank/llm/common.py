@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from canopyrank.storage import discard, drop_materialised, materialise  # noqa: F401  the operators import them from here
+
 #: The contracts' word patterns.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between such words, A-Z taken as a-z
@@ -18,33 +18,6 @@ SPACE_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='canopyrank-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder once and read them back.
-
-    The copy survives lost executors and is stable: an id made by
-    monotonically_increasing_id before the write is the same for every reader.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/canopyrank/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialised(spark: SparkSession) -> None:
-    """Remove everything materialise() has written under the session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/canopyrank")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -73,3 +46,22 @@ def text_of(c: str = "text") -> Column:
 
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+
+
+def running(values: Column, zero: Column, step, block: int = 256) -> Column:
+    """For each value of an array, what step gives over those before it; zero for the first.
+
+    Appending within aggregate copies what is there, so blocks are worked out on their own and then joined: an array
+    of n values takes n * (block + n / block ** 2) copies. step must be associative. values should be a column of
+    its own, as it is read for every block.
+    """
+
+    def before(x: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array_remove(F.array(zero), zero).alias("out"))
+        return F.aggregate(x, start, lambda a, v: F.struct(step(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    count = F.ceil(F.size(values) / F.lit(block)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(values, k * block + 1, block))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, step))
+    joined = F.flatten(F.zip_with(blocks, before(totals), lambda b, t: F.transform(before(b), lambda x: step(t, x))))
+    return F.when(F.size(values) <= block, before(values)).otherwise(joined)

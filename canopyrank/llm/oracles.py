@@ -41,7 +41,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS
  bare AS (SELECT * FROM r WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.b < r.e AND r.b < base.e)),
  cand AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
- own AS (SELECT value FROM cand GROUP BY value HAVING count(DISTINCT source) < 3),
+ own AS (SELECT value FROM cand GROUP BY value HAVING count(DISTINCT source) < 3 AND count(DISTINCT (source, coalesce(CAST(doc_id AS VARCHAR), ''))) < 50),
  spans AS (SELECT * FROM base UNION ALL SELECT * FROM bare WHERE value IN (FROM own)),
  lst AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
   string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS bs,
