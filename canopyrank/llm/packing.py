@@ -55,6 +55,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         self.seen: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -89,7 +90,9 @@ class Tokens:
         if chunk.isascii():
             chunk = chunk.lower()
         if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
-            return chunk[:-1], self.marks[chunk[-1]]
+            # a letter that ends in a combining mark once normalised makes one token run of the mark and the point
+            if chunk.isascii() or self.normalise(chunk[:-1])[-1:].isalpha():
+                return chunk[:-1], self.marks[chunk[-1]]
         return chunk, b""
 
     def _learn(self, chunks: list[str]) -> None:
