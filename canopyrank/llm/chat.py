@@ -17,7 +17,9 @@ Defined cases. Null text is empty content, null role is "". Null conversation
 ids form one conversation without links. Identifiers that repeat in calls mean
 the earliest call. A result without a call is an orphan, a call without a
 result is open; both stay. Broken JSON is plain content. Rows that repeat stay
-as often as they stand there; columns beyond the named ones are ignored.
+as often as they stand there; columns beyond the named ones are ignored. Long
+texts need no cut; a message of JSON that a variant cannot hold (128 MB) counts
+as broken.
 """
 
 from __future__ import annotations
@@ -96,12 +98,10 @@ def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]
         return F.struct(c["id"].alias("id"), c["name"].alias("name"), c["arguments"].alias("arguments"), wrong.alias("errors"))
 
     checked = every.withColumn("checked", F.transform("calls", call))
-    quote = lambda c: F.to_json(F.to_variant_object(F.array(c)))  # noqa: E731  a JSON array of one string
-    string = lambda c: F.substring(quote(c), 2, 2_000_000_000)
 
     def text_json(c: Column) -> Column:
-        q = string(c)
-        return F.substring(q, F.lit(1), F.length(q) - 1)
+        """A JSON string: what an object of that one value holds behind {"s": and before }."""
+        return F.regexp_replace(F.substring(F.to_json(F.struct(c.alias("s"))), 6, (1 << 31) - 1), r"\}\z", "")
 
     def call_json(c) -> Column:
         return F.concat(
