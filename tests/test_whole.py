@@ -8,7 +8,6 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from canopyrank.llm import quality
 from canopyrank.operators import ratings, taxonomy
 from canopyrank.plans import rating_plans, registry
 from canopyrank.session import TABLES
@@ -63,18 +62,6 @@ def test_pairs_are_counted_as_if_they_were_formed(spark):
     assert {r.k: (r.n, r.nx, r.ny, r.up, r.down) for r in got} == want
 
 
-def test_every_trusted_document_counts(spark):
-    docs = spark.range(20_500).selectExpr("id AS doc_id", "'word' AS text")
-    counts = [20_500] + [0] * (quality.BUCKETS - 1)
-    assert sorted(quality.weights(docs, docs.filter("doc_id < 20400"))) == sorted(quality.log_ratios(counts, [20_400] + counts[1:]))
-
-
-def test_weights_are_the_same_without_a_broadcast(spark):
-    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a', id % 7, ' b', id % 11) AS text").union(spark.sql("SELECT CAST(NULL AS LONG), 'a1 c'"))
-    good = docs.filter("doc_id % 3 = 0").union(docs.filter("doc_id = 3"))
-    assert quality.weights(docs, good, most=10) == quality.weights(docs, good)
-
-
 def clusters(spark, n, d=16, seed=0):
     rng = np.random.default_rng(seed)
     x = np.linalg.qr(rng.normal(size=(d, d)))[0][np.arange(n) % 3] + 0.1 * rng.normal(size=(n, d))
