@@ -1,36 +1,49 @@
-"""Benchmark decontamination by a positional inverted index.
-
-The index is partitioned by document: every block of a text is a segment that
-lists its terms by position. A window of test words is looked up from its
-rarest term (fewest occurrences over the whole corpus); the lists of its other
-terms are intersected at their offset from that posting, to the left and to the
-right, until one does not hold the position asked for. Only the rarest terms'
-postings leave the scan, so no text is shuffled, and windows that share a
-rarest term share its postings.
-
-Defined cases. A null text has no words. A row whose doc_id repeats is a
-document of its own, unless its text is the same too: such rows give as many
-equal results. Item rows may repeat, also under one item_id (an id counts
-once); a null item_id is listed as 'null'. An item without words matches
-nothing. Columns beyond the named ones are ignored.
+"""Benchmark decontamination by a distributed positional inverted index.
+
+One scan of the texts builds the index: postings (text, term, position) of the
+benchmark's terms, written to the shared folder and dealt by term. A posting
+can take part in a phrase match only if it stands in an unbroken stretch of
+benchmark terms as long as the shortest window, so only such stretches are
+posted; a table of hashed terms, of bounded size, tells them during the scan.
+Equal texts share their postings.
+
+Windows are then looked up in the index alone. The lists are intersected from
+the rarest: each window's shortest list gives the places where it could stand,
+as offsets between text and item; the words that the window needs around such
+a place are joined to their lists at that offset, and stretches that are there
+in full are matches. No text is read again, whatever the number of items.
+
+Proximity: an item's rarest terms over the benchmark are posted in every text
+that holds enough of them close together; a text is near an item where they
+all stand within SLOP words.
+
+Defined cases. A null text has no words. Every row is a document of its own,
+also where ids or texts repeat. Item rows may repeat, also under one item_id
+(an id counts once); a null item_id is listed as 'null'. An item without words
+matches nothing. A very short item weakens the pruning of its index and changes
+no result. A text is held by its own row only, so very long ones need no cut.
+Columns beyond the named ones are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import ALNUM_GAP_ANY_CASE, ascii_lower, between, materialise, text_of
+from canopyrank.llm.common import ALNUM_GAP_ANY_CASE, ascii_lower, between, materialise, running, text_of
 
 WINDOW = 13
-#: No word holds this character.
-HEADER = "\x00"
-#: Words of a block. Blocks bound the row that a posting is read from, whatever a text's length.
-BLOCK = 512
-#: Rows of the lookup table that one broadcast may hold (each under 1 kB); larger tables are looked up in blocks of it.
+#: Proximity: so many of an item's rarest distinct terms within so many words.
+TERMS, SLOP = 3, 20
+#: Rows of a table that one broadcast may hold (each under 1 kB); larger tables are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Slots of the table of hashed terms for each term, and bounds of their number, one byte each.
+SLOTS_A_TERM, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
+TEXT = ["text_key", "n_words"]
 
 
 def words(c: Column) -> Column:
@@ -38,29 +51,9 @@ def words(c: Column) -> Column:
     return between(c, ALNUM_GAP_ANY_CASE)
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str, pad: int) -> DataFrame:
-    """Blocks of each text: key columns, first (position of w[0]), lo and hi (own positions), w.
-
-    The first block of a document starts with HEADER at position -1, which stands for the document itself.
-    """
-    doc = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), words(text_of(text_col)).alias("all")
-    ).withColumn("n_words", F.size("all").cast("long"))
-
-    def block(b: Column) -> Column:
-        at = b * BLOCK
-        first = F.greatest(at - pad, F.lit(0))
-        rest = F.slice(F.col("all"), first + 1, at + BLOCK + pad - first)
-        return F.struct(
-            F.when(b == 0, F.lit(-1)).otherwise(first).cast("long").alias("first"),
-            F.when(b == 0, F.lit(-1)).otherwise(at).cast("long").alias("lo"),
-            (at + BLOCK).cast("long").alias("hi"),
-            F.when(b == 0, F.concat(F.array(F.lit(HEADER)), F.slice(F.col("all"), 1, BLOCK + pad))).otherwise(rest).alias("w"),
-        )
-
-    count = F.greatest(F.ceil(F.col("n_words") / F.lit(BLOCK)).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), count - 1), block)
-    return doc.select("doc_id", "text_key", "n_words", F.explode(blocks).alias("b")).select("doc_id", "text_key", "n_words", "b.*")
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,100 +66,129 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def term_counts(docs: DataFrame, items: DataFrame, text_col: str) -> DataFrame:
-    """Occurrences over the whole corpus of every term of the items; terms that never occur are left out."""
-    vocabulary = items.select(F.explode("w").alias("term")).distinct()
-    rows = docs.select(F.explode(words(text_of(text_col))).alias("word")).select(ascii_lower(F.col("word")).alias("term"))
-    counted = rows.groupBy("term").agg(F.count("*").alias("df")) if vocabulary.count() > BROADCAST_ROWS else (
-        rows.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
-    )
-    return counted.join(vocabulary, "term", "left_semi")
+def rarest_terms(items: DataFrame, terms: int = TERMS) -> DataFrame:
+    """The distinct terms of each item that the fewest items hold: item, item_id, k (how many), no, term."""
+    each = items.select("item", "item_id", F.explode(F.array_distinct("w")).alias("term"))
+    held = each.groupBy("term").agg(F.countDistinct("item_id").alias("n"))
+    ranked = each.join(held, "term").groupBy("item", "item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, terms).alias("t"))
+    return ranked.select("item", "item_id", F.size("t").alias("k"), F.posexplode("t").alias("no", "x")).select("item", "item_id", "k", "no", F.col("x.term").alias("term"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """The rarest term of every window: term, item, item_id, need (words to match), left (nearest first), right."""
-    at = items.select("item", F.posexplode("w").alias("pos", "term")).join(counts, "term")
-    n = F.size("w")
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    windows = items.select("item", F.least(n, F.lit(window)).alias("need"), F.explode(starts).alias("start"))
-    # a window with a term that the corpus lacks has fewer rows than words, and cannot occur
-    best = (
-        windows.join(at, "item")
-        .filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("need")))
-        .groupBy("item", "need", "start")
-        .agg(F.count("*").alias("found"), F.min(F.struct("df", "pos", "term")).alias("a"))
-        .filter(F.col("found") == F.col("need"))
-        .select("item", "need", F.col("a.pos").alias("pos"), F.col("a.term").alias("term"))
-        .distinct()
-    )
-    reach = window - 1
-    left = F.reverse(F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach))))
-    return best.join(items, "item").select("term", "item_id", "need", left.alias("left"), F.slice("w", F.col("pos") + 2, reach).alias("right"))
-
+def _slot(term: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
 
-def _agreeing(side: Column, step: int) -> Column:
-    """How many of side's words stand at the offsets from the posting, before the first that does not."""
-    same = F.transform(side, lambda x, i: F.coalesce(x == ascii_lower(F.get(F.col("w"), F.col("p") + step * (i + 1))), F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, F.size(side).cast("long")).otherwise(first - 1)
 
+def marks(vocabulary: DataFrame) -> tuple[bytearray, int]:
+    """A byte for each slot of hashed terms: 2 where a proximity term falls, 1 where another term does, else 0."""
+    count = vocabulary.count()
+    slots = LEAST_SLOTS
+    while slots < min(MOST_SLOTS, SLOTS_A_TERM * count):
+        slots *= 2
+    table = bytearray(b"0" * slots)
+    # at most one row for each slot
+    for r in vocabulary.groupBy(_slot(F.col("term"), slots).alias("s")).agg(F.max(F.col("near").cast("int")).alias("near")).toLocalIterator():
+        table[r["s"]] = ord("1") + r["near"]
+    return table, slots
 
-def _postings(seg: DataFrame, table: DataFrame) -> DataFrame:
-    """Postings of the anchors with the stretch that agrees around each, and one header row for each document.
 
-    No filter follows the join: Spark would move it into the join, out of generated code, and so copy
-    a block for each of its words. Postings that agree too briefly stay, with a null item.
-    """
-    rows = seg.select("doc_id", "text_key", "n_words", "first", "lo", "hi", "w", F.posexplode("w").alias("p", "word"))
-    rows = rows.withColumn("term", ascii_lower(F.col("word")))
-    at = F.col("first") + F.col("p")
-    rows = rows.filter((at >= F.col("lo")) & (at < F.col("hi")))
-    none = F.lit(None).cast("array<string>")
-    header = table.sparkSession.range(1).select(F.lit(HEADER).alias("term"), F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("need"), none.alias("left"), none.alias("right"))
-    hits = rows.join(F.broadcast(table.unionByName(header)), "term")
-    runs = hits.select(
-        "doc_id", "text_key", "n_words", "item_id", "need", (F.col("first") + F.col("p")).alias("at"),
-        _agreeing(F.col("left"), -1).alias("l"), _agreeing(F.col("right"), 1).alias("r"),
-    )
-    whole = F.col("l") + F.col("r") + 1 >= F.col("need")
-    return runs.select(
-        "doc_id", "text_key", "n_words", (F.col("need") == 0).alias("header"), F.when(whole, F.col("item_id")).alias("item_id"),
-        F.when(whole, F.col("at") - F.col("l")).alias("from"), F.when(whole, F.col("at") + F.col("r")).alias("to"),
-    )
+@dataclass
+class Index:
+    """docs: doc_id, text_key, n_words, one row for each document. postings and close: text_key, n_words, term, pos."""
 
+    docs: DataFrame
+    items: DataFrame
+    terms: DataFrame
+    postings: DataFrame
+    close: DataFrame
 
-def phrase_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Exact phrase matches: doc_id, text_key, n_words, header, item_id, from, to (word positions, inclusive).
 
-    A stretch is a longest run of words shared around an occurrence of a rarest term, at most window - 1 to each
-    side, and holds at least one whole window. Each document also has one row with header true; rows whose
-    item_id is null hold no match.
-    """
+def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, terms: int = TERMS, slop: int = SLOP) -> Index:
     item = materialise(item_words(items, item_col, item_text), "items")
-    table = materialise(anchors(item, materialise(term_counts(docs, item, text_col), "terms"), window), "anchors")
-    size = table.count()
-    seg = segments(docs, id_col, text_col, window - 1)
-    if size <= BROADCAST_ROWS:
-        return _postings(seg, table)
-    parts = -(-size // BROADCAST_ROWS) + 1
-    block = F.pmod(F.xxhash64("term", "item_id", "left"), F.lit(parts))
-    found = [_postings(seg, table.filter(block == k)) for k in range(parts)]
-    return reduce(DataFrame.unionByName, found[:1] + [f.filter(~F.col("header")) for f in found[1:]])
+    near = materialise(rarest_terms(item, terms), "terms")
+    rare = near.select("term").distinct().withColumn("near", F.lit(True))
+    vocabulary = item.select(F.explode("w").alias("term")).distinct().join(rare, "term", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    vocabulary = materialise(vocabulary, "vocabulary")
+    need = item.agg(F.min(F.least(F.size("w"), F.lit(window)))).first()[0] or window
+    least = near.agg(F.min("k")).first()[0] or terms
+    table, slots = marks(vocabulary)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), words(text_of(text_col)).alias("w"))
+    mark = F.transform("w", lambda x: F.substring(F.lit(table), _slot(ascii_lower(x), slots) + 1, F.lit(1)).cast("string"))
+    one = rows.select("doc_id", "text_key", "w", mark.alias("m"))
+    two = one.select("doc_id", "text_key", "w", "m", F.array_join("m", "").alias("line"))
+    phrase, group = F.col("line").rlike("[12]{%d}" % need), F.col("line").rlike("2" + "(?:.{0,%d}2){%d}" % (slop, least - 1))
+    # where the line of marks turns from terms to other words or back
+    pieces = F.when(phrase, F.split("line", "(?<=0)(?=[12])|(?<=[12])(?=0)", -1))
+    three = two.select("doc_id", "text_key", "w", "m", pieces.alias("pieces"), group.alias("group"))
+    four = three.select("doc_id", "text_key", "w", "m", "group", "pieces", F.transform("pieces", lambda x: F.length(x)).alias("size"))
+    five = four.select("doc_id", "text_key", "w", "m", "group", "pieces", "size", running(F.col("size"), F.lit(0), lambda a, b: a + b).alias("at"))
+    runs = F.filter(F.arrays_zip("at", "size", "pieces"), lambda x: (x["size"] >= need) & ~x["pieces"].startswith("0"))
+    held = F.transform(runs, lambda x: F.struct(x["at"].alias("at"), F.slice("w", x["at"] + 1, x["size"]).alias("w")))
+    places = F.filter(F.transform(F.arrays_zip("w", "m"), lambda x, i: F.struct(i.alias("pos"), x["w"].alias("w"), x["m"].alias("m"))), lambda x: x["m"] == "2")
+    scanned = materialise(five.select(
+        "doc_id", "text_key", F.size("w").cast("long").alias("n_words"), held.alias("runs"),
+        F.when(F.col("group"), F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w")))).alias("places"),
+    ), "scanned")
+
+    few = small(vocabulary)
+
+    def posted(rows: DataFrame, terms: DataFrame, tag: str) -> DataFrame:
+        """Dealt by term; a frequent term's list is spread by text."""
+        every = rows.select(*TEXT, ascii_lower(F.col("w")).alias("term"), F.col("pos").cast("long").alias("pos")).join(terms, "term", "left_semi")
+        return materialise(every.repartition("term", F.pmod(F.col("text_key"), F.lit(16))).sortWithinPartitions("term", *TEXT, "pos"), tag)
+
+    texts = lambda c: scanned.filter(F.size(c) > 0).dropDuplicates(TEXT).select(*TEXT, F.explode(c).alias("x"))
+    long = texts("runs").select(*TEXT, "x.at", F.posexplode("x.w").alias("i", "w")).withColumn("pos", F.col("at") + F.col("i"))
+    close = texts("places").select(*TEXT, "x.pos", "x.w")
+    return Index(scanned.select("doc_id", *TEXT), item, near, posted(long, few, "postings"), posted(close, small(materialise(rare, "rare")), "close"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, share: float = 0.05, **names) -> DataFrame:
-    """One row for each document: doc_id, text_key, n_words, n_hit, item_ids (sorted strings), contaminated.
-
-    contaminated: at least one word is hit, and hit words are at least the given share of all words.
+def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """The term with the shortest list of every window: term, item, pos. A window with a term that has no list cannot occur."""
+    at = items.select("item", F.posexplode("w").alias("pos", "term")).join(counts, "term", "left")
+    lists = at.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", "df", "term"))).alias("t"))
+    lists = lists.select("item", "t", F.least(F.size("t"), F.lit(window)).alias("need"))
+    of = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("need")), lambda s: F.slice("t", s + 1, F.col("need")))
+    best = F.transform(F.filter(of, lambda x: F.forall(x, lambda y: y["df"].isNotNull())), lambda x: F.array_min(F.transform(x, lambda y: F.struct(y["df"], y["pos"], y["term"]))))
+    return lists.select("item", F.explode(F.array_distinct(best)).alias("a")).select("item", F.col("a.pos").cast("long").alias("anchor"), F.col("a.term").alias("term"))
+
+
+def phrase_matches(index: Index, *, window: int = WINDOW) -> DataFrame:
+    """Exact phrase matches: text_key, n_words, item_id, from, to (word positions, inclusive); each is one window or several in a row."""
+    counts = index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    table = small(materialise(anchors(index.items, counts, window), "anchors"))
+    items = small(index.items)
+    # where an item could stand: the offset between its words and the text's
+    could = index.postings.join(table, "term").select(*TEXT, "item", (F.col("pos") - F.col("anchor")).alias("offset"), "anchor")
+    sides = F.sequence(F.greatest(F.col("anchor") - (window - 1), F.lit(0)), F.least(F.col("anchor") + (window - 1), F.size("w") - 1))
+    needed = could.join(items, "item").select(*TEXT, "item", "item_id", "offset", F.least(F.size("w"), F.lit(window)).alias("need"), "w", F.explode(sides).alias("i"))
+    needed = needed.select(*TEXT, "item", "item_id", "offset", "need", "i", (F.col("offset") + F.col("i")).alias("pos"), F.get("w", F.col("i").cast("int")).alias("term")).distinct()
+    there = needed.join(index.postings, [*TEXT, "term", "pos"], "left_semi")
+    # positions in a row share the difference from their rank; an item's places bound the window
+    own = [*TEXT, "item", "item_id", "offset", "need"]
+    runs = there.withColumn("run", F.col("i") - F.row_number().over(W.partitionBy(*TEXT, "item", "offset").orderBy("i")))
+    whole = runs.groupBy(*own, "run").agg(F.min("pos").alias("from"), F.max("pos").alias("to")).filter(F.col("to") - F.col("from") + 1 >= F.col("need"))
+    return whole.select(*TEXT, "item_id", "from", "to")
+
+
+def proximity_matches(index: Index, *, slop: int = SLOP) -> DataFrame:
+    """Places where an item's rarest distinct terms all stand within slop words: text_key, n_words, item_id, from (of the first of them)."""
+    hits = index.close.join(small(index.terms), "term")
+    seen = W.partitionBy(*TEXT, "item").orderBy("pos").rangeBetween(0, slop - 1)
+    most = index.terms.agg(F.max("k")).first()[0] or 1
+    found = reduce(lambda a, b: a + b, [F.coalesce(F.max(F.when(F.col("no") == k, 1)).over(seen), F.lit(0)) for k in range(most)])
+    return hits.withColumn("seen", found).filter(F.col("seen") == F.col("k")).select(*TEXT, "item_id", F.col("pos").alias("from")).distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, share: float = 0.05, window: int = WINDOW, terms: int = TERMS, slop: int = SLOP, **names) -> DataFrame:
+    """One row for each document: doc_id, text_key, n_words, n_hit, item_ids and near_ids (sorted strings), contaminated.
+
+    contaminated: at least one word is hit, and hit words are at least the given share of all words. near_ids: items
+    whose rarest terms stand close together; they do not count as hits.
     """
-    matches = phrase_matches(docs, items, **names)
-    both = F.when(F.col("item_id").isNotNull(), F.struct("from", "to"))
+    index = build_index(docs, items, window=window, terms=terms, slop=slop, **names)
     # a document's stretches are bounded by its own words and the items they match
-    doc = matches.groupBy("doc_id", "text_key", "n_words").agg(
-        F.count_if(F.col("header")).cast("int").alias("copies"),
-        F.array_sort(F.collect_set(both)).alias("runs"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
-    )
+    text = phrase_matches(index, window=window).groupBy(*TEXT).agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("runs"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     zero = F.struct(F.lit(-1).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         "runs",
@@ -177,43 +199,32 @@ def contamination(docs: DataFrame, items: DataFrame, *, share: float = 0.05, **n
         ),
         lambda acc: acc["n"],
     )
-    out = doc.withColumn("n_hit", covered).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    inverse = round(1 / share)
-    return out.select("doc_id", "text_key", "n_words", "n_hit", "item_ids", ((F.col("n_hit") > 0) & (inverse * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, *, terms: int = 3, slop: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Places where an item's rarest distinct terms all stand within slop words: doc_id, text_key, item_id, from.
-
-    from is the position of the first of them. Items with fewer distinct terms than asked for use all they have;
-    a term that the corpus lacks rules its item out.
-    """
-    item = materialise(item_words(items, item_col, item_text), "items")
-    counts = materialise(term_counts(docs, item, text_col), "terms")
-    each = item.select("item", "item_id", F.explode(F.array_distinct("w")).alias("term")).join(counts, "term", "left")
-    ranked = each.groupBy("item", "item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))), 1, terms).alias("t"))
-    table = ranked.filter(F.col("t")[0]["df"] > 0).select("item", "item_id", F.size("t").alias("k"), F.posexplode("t").alias("no", "x")).select("item", "item_id", "k", "no", F.col("x.term").alias("term"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"), F.posexplode(words(text_of(text_col))).alias("pos", "word"))
-    rows = rows.withColumn("term", ascii_lower(F.col("word")))
-    hits = rows.join(table, "term").dropDuplicates(["doc_id", "text_key", "item", "pos"])
-    near = "(PARTITION BY doc_id, text_key, item ORDER BY pos RANGE BETWEEN CURRENT ROW AND %d FOLLOWING)" % (slop - 1)
-    seen = reduce(lambda a, b: a + b, [F.coalesce(F.expr(f"max(CASE WHEN no = {k} THEN 1 END) OVER {near}"), F.lit(0)) for k in range(terms)])
-    return hits.withColumn("seen", seen).filter(F.col("seen") == F.col("k")).select("doc_id", "text_key", "item_id", F.col("pos").cast("long").alias("from"))
+    hit = text.select(*TEXT, covered.alias("n_hit"), "item_ids")
+    near = proximity_matches(index, slop=slop).groupBy(*TEXT).agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
+    found = small(materialise(hit.join(near, TEXT, "full"), "found"))
+    out = index.docs.join(found, TEXT, "left")
+    none = F.array().cast("array<string>")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select(
+        "doc_id", *TEXT, n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"),
+        ((n_hit > 0) & (round(1 / share) * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows that are not contaminated; all columns stay."""
+    """The rows that are not contaminated; all columns stay. Names that begin with __clean_ are the operator's own."""
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **names).filter("contaminated")
-    bad = materialise(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    bad = materialise(found.select(F.col("doc_id").alias("__clean_id"), F.col("text_key").alias("__clean_at")).distinct(), "contaminated")
     if bad.count() <= 10 * BROADCAST_ROWS:  # 16 bytes a row
         bad = F.broadcast(bad)
-    marked = docs.withColumn("__text_key", F.xxhash64(text_of(text_col)))
-    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    return marked.join(bad, same, "left_anti").drop("__text_key")
+    marked = docs.withColumn("__clean_key", F.xxhash64(text_of(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__clean_id")) & (F.col("__clean_key") == F.col("__clean_at"))
+    return marked.join(bad, same, "left_anti").drop("__clean_key")
 
 
 def op2(spark, sf_dir) -> DataFrame:
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items)
     ids = F.sha2(F.array_join("item_ids", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+    count = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", count("item_ids").alias("n_items"), ids.alias("items_sha256"), "contaminated", count("near_ids").alias("n_near"))

@@ -15,10 +15,19 @@ WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")
          FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM dw, ks WHERE len(w) >= k)),
  hit AS (SELECT doc_id, win.k, s, item_id FROM win JOIN iw USING (k, g)),
  pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, k, s FROM hit)) GROUP BY doc_id),
- its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+ its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id),
+ bt AS (SELECT DISTINCT item_id, unnest(w) AS t FROM bw),
+ rt AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n, t) AS no FROM bt JOIN (SELECT t, count(*) AS n FROM bt GROUP BY t) USING (t) QUALIFY no <= 3),
+ dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw),
+ cl AS (SELECT doc_id, item_id, no, p FROM dp JOIN rt USING (t)),
+ nr AS (SELECT doc_id, item_id, max(CASE no WHEN 1 THEN 1 END) OVER k AS a, max(CASE no WHEN 2 THEN 1 END) OVER k AS b, max(CASE no WHEN 3 THEN 1 END) OVER k AS c
+        FROM cl WINDOW k AS (PARTITION BY doc_id, item_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nr JOIN (SELECT item_id, count(*) AS k FROM rt GROUP BY item_id) USING (item_id)
+          WHERE coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) = k GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
- sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+ sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+ CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
