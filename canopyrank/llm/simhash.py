@@ -8,6 +8,12 @@ nodes within the budget are the tasks; each holds only its nodes'
 fingerprints. Equal fingerprints are met first, so copies cost nothing, and a
 task returns a spanning forest of its links rather than all of them.
 
+Two bits of 64 are few: texts whose five-word shingles are 0.8 alike differ in
+seven. deduplicate() therefore takes a second pass over one text of each class:
+a sketch of 512 such bits, drawn from the same shingle hashes, is compared
+where texts agree in the leading bits of one of its words, and links up to WIDE
+bits join classes.
+
 Defined cases. A null text is empty; a text without words has fingerprint zero
 and is linked like any other. Fewer than three words make one shingle. Rows
 that repeat are documents of their own with the same class. A null doc_id is
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import materialise
+from canopyrank.llm.common import discard, materialise
 
 SHINGLE = 3
 SEED = 42
@@ -39,56 +45,77 @@ LEAST_NODE, NODES = 1024, 1024
 TASK_ROWS = 500_000
 #: Node pairs held at once while a task descends.
 FRONTIER = 1 << 20
+#: Bits by which a node that is still too heavy is cut deeper, with a histogram of its own.
+DEEPER = 6
+#: Words of a sketch, and its bits that may differ: 64 of 512 where five-word shingles are about 0.8 alike.
+SKETCH, WIDE = 8, 64
+#: Where in a word of the sketch a key begins; bits of a key beyond those that tell all texts apart.
+OFFSETS, SPARE_BITS = (0, 16, 32, 48), 3
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64 majority bits of a text's shingle hashes."""
+def _hashes(text: str | None) -> np.ndarray:
+    """A hash for each shingle, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    h = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64)
-    return _majority(h)
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64 majority bits of a text's shingle hashes."""
+    return int(_majority(_hashes(text)[:, None])[0])
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The majority bits of each column of hashes."""
+    votes = np.zeros(64 * h.shape[1], dtype=np.int64)
+    for at in range(0, len(h), 255):  # so many fit the sum's type
+        votes += np.unpackbits(h[at : at + 255].astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h)).view(">u8").astype(np.uint64)
+
 
+#: Odd multipliers that draw a sketch's words from a hash.
+_DRAW = np.array([xxhash.xxh64_intdigest(b"sketch%d" % k) | 1 for k in range(SKETCH)], dtype=np.uint64)
 
-def _majority(h: np.ndarray) -> int:
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        votes += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(h)).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+
+def _drawn(h: np.ndarray) -> np.ndarray:
+    """The hashes, and beside them as many further ones as a sketch has words."""
+    x = h[:, None] * _DRAW
+    return np.column_stack([h, x ^ (x >> np.uint64(32))])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, text_key, fp (the bits as a signed long)."""
-
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, text_key, fp (the bits as a signed long), and with a sketch its words s0, s1, ..."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, fp long"
-    return rows.mapInArrow(_fingerprint_batches, schema)
+    names = ["fp", *(f"s{k}" for k in range(SKETCH if sketch else 0))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_hashes(t.as_py()) for t in b.column("text")]
+            bits = np.array([_majority(_drawn(h) if sketch else h[:, None]) for h in found], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, pa.int64()) for c in bits.T)], ["doc_id", "text_key", *names])
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = pa.array([_signed(fingerprint(t.as_py())) for t in b.column("text")], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fps], ["doc_id", "text_key", "fp"])
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 
-def cut_nodes(histogram: dict[int, int], total: int) -> list[tuple[int, int]]:
-    """(depth, prefix) of the nodes where the trie is cut; together they hold every fingerprint once."""
-    limit = max(LEAST_NODE, total // NODES)
-    level, out = {p: n for p, n in histogram.items()}, []
-    counts = {CUT_BITS: level}
-    for d in range(CUT_BITS - 1, -1, -1):
+def cut_nodes(histogram: dict[int, int], limit: int, bits: int = CUT_BITS) -> list[tuple[int, int, int]]:
+    """(depth, prefix, size) of the nodes where the trie is cut; together they hold every fingerprint once.
+
+    histogram: sizes of prefixes of so many bits; none is cut deeper.
+    """
+    counts, out = {bits: dict(histogram)}, []
+    for d in range(bits - 1, -1, -1):
         up: dict[int, int] = {}
         for p, n in counts[d + 1].items():
             up[p >> 1] = up.get(p >> 1, 0) + n
@@ -99,13 +126,56 @@ def cut_nodes(histogram: dict[int, int], total: int) -> list[tuple[int, int]]:
         n = counts[d].get(p, 0)
         if not n:
             continue
-        if d == CUT_BITS or n <= limit:
-            out.append((d, p))
+        if d == bits or n <= limit:
+            out.append((d, p, n))
         else:
             todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
     return sorted(out)
 
 
+def _prefix(bits: int) -> "F.Column":
+    """The leading bits of fp as a long; one sign bit more than needed is kept off."""
+    return F.shiftrightunsigned("fp", 64 - bits)
+
+
+def heavy_cut(distinct: DataFrame) -> tuple[list[tuple[int, int]], dict[int, int], DataFrame]:
+    """The nodes of the trie, their sizes, and the fingerprints with the number of their node (fp, node).
+
+    Nodes that are heavier than the limit at the histogram's depth are cut deeper, a few bits at a time, until none
+    is: there are at most NODES of them at any depth, so each histogram that reaches the driver is small.
+    """
+    spark = distinct.sparkSession
+    depth, histogram = CUT_BITS, {r["p"]: r["n"] for r in distinct.groupBy(_prefix(CUT_BITS).alias("p")).agg(F.count("*").alias("n")).collect()}
+    total = sum(histogram.values())
+    limit = max(LEAST_NODE, total // NODES)
+    found, levels = cut_nodes(histogram, limit), [CUT_BITS]
+    while heavy := [(d, p) for d, p, n in found if d == depth and n > limit and d < 64]:
+        deep = min(64, depth + DEEPER)
+        inside = spark.createDataFrame([(p,) for _, p in heavy], "p long")
+        below = distinct.select("fp", _prefix(depth).alias("p")).join(F.broadcast(inside), "p").groupBy(_prefix(deep).alias("q")).agg(F.count("*").alias("n")).collect()
+        of: dict[int, dict[int, int]] = {p: {} for _, p in heavy}
+        for r in below:
+            p = (r["q"] % (1 << 64)) >> (deep - depth)
+            of[p][(r["q"] % (1 << 64)) - (p << (deep - depth))] = r["n"]
+        found = [x for x in found if (x[0], x[1]) not in set(heavy)]
+        for p, h in of.items():
+            found += [(depth + d, (p << d) + q, n) for d, q, n in cut_nodes(h, limit, deep - depth)]
+        found, depth, levels = sorted(found), deep, [*levels, deep]
+    nodes = [(d, p) for d, p, _ in found]
+    # which node a fingerprint falls in: the prefixes below each node at the depth of the histogram it came from
+    at: dict[int, list[tuple[int, int]]] = {level: [] for level in levels}
+    for k, (d, p) in enumerate(nodes):
+        level = min(x for x in levels if x >= d)
+        some = [q for q in range(p << (level - d), (p + 1) << (level - d)) if level > CUT_BITS or q in histogram]
+        at[level] += [(q - (1 << 64) if q >> 63 else q, k) for q in some]
+    rows, parts = distinct.select("fp"), []
+    for level in levels:
+        names = spark.createDataFrame(at[level] or [(0, -1)], f"q{level} long, n{level} int")
+        rows = rows.withColumn(f"q{level}", _prefix(level)).join(F.broadcast(names), f"q{level}", "left")
+        parts.append(F.col(f"n{level}"))
+    return nodes, {k: n for k, (_, _, n) in enumerate(found)}, rows.select("fp", F.coalesce(*parts).alias("node"))
+
+
 def node_pairs(nodes: list[tuple[int, int]], budget: int = BUDGET) -> list[tuple[int, int]]:
     """Index pairs of cut nodes that may hold linked fingerprints, found by descending from the root in pairs."""
     index = {n: k for k, n in enumerate(nodes)}
@@ -204,25 +274,18 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     distinct: one row for each fingerprint, column fp.
     """
     spark = distinct.sparkSession
-    top = F.shiftrightunsigned("fp", 64 - CUT_BITS).cast("int")
-    histogram = {r["p"]: r["n"] for r in distinct.groupBy(top.alias("p")).agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
-    nodes = cut_nodes(histogram, total)
+    nodes, size, fps = heavy_cut(distinct)
     pairs = node_pairs(nodes, budget)
-    rows = []
     own: dict[int, list[tuple[int, int]]] = {}  # node: its tasks, and the side it takes in each
     for t, (a, b) in enumerate(pairs):
         own.setdefault(a, []).append((t, 0))
         if b != a:
             own.setdefault(b, []).append((t, 1))
-    for k, (d, p) in enumerate(nodes):
-        rows += [(q, k) for q in range(p << (CUT_BITS - d), (p + 1) << (CUT_BITS - d)) if q in histogram]
-    prefixes = spark.createDataFrame(rows or [(0, 0)], "p int, node int")  # as many rows as the histogram
     tasks = spark.createDataFrame([(k, [list(x) for x in v]) for k, v in own.items()] or [(0, [])], "node int, tasks array<array<int>>")
-    copies = sum(len(own.get(k, ())) * sum(histogram.get(q, 0) for q in range(p << (CUT_BITS - d), (p + 1) << (CUT_BITS - d))) for k, (d, p) in enumerate(nodes))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), copies // TASK_ROWS + 1)
-    # at most 2 ** CUT_BITS prefixes, and nodes in the order of NODES
-    fps = distinct.select("fp", top.alias("p")).join(F.broadcast(prefixes), "p").join(F.broadcast(tasks), "node").select("fp", F.explode("tasks").alias("t"))
+    copies = sum(len(v) * size[k] for k, v in own.items())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(copies // TASK_ROWS + 1, len(pairs)))
+    # nodes are in the order of NODES, and so are the pairs of each
+    fps = fps.join(F.broadcast(tasks), "node").select("fp", F.explode("tasks").alias("t"))
     fps = fps.select("fp", F.col("t")[0].alias("task"), F.col("t")[1].alias("side")).repartition(parts, "task")
     first_bit = np.array([63 - min(nodes[a][0], nodes[b][0]) for a, b in pairs] or [63], dtype=np.int64)
 
@@ -271,19 +334,20 @@ def components(links: DataFrame) -> DataFrame:
         new = materialise(new, "labels")
         # one step up for the label itself
         up = label.select(F.col("fp").alias("root"), F.col("root").alias("up"))
-        jumped = new.join(up, "root").select("fp", "old", F.least("root", "up").alias("root"))
-        jumped = materialise(jumped, "labels")
-        label = jumped.select("fp", "root")
+        jumped = materialise(new.join(up, "root").select("fp", "old", F.least("root", "up").alias("root")), "labels")
+        discard(new)
+        discard(label)
+        label = jumped
         if jumped.filter(F.col("old") != F.col("root")).isEmpty():
-            return label
+            return jumped.select("fp", "root")
 
 
-def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, text_key, fp, root (a fingerprint that names the class), component_id.
+def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", sketch: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, text_key, fp, root (a fingerprint that names the class), component_id, and the sketch if asked for.
 
     component_id is the smallest doc_id that links lead to; where ids repeat, two classes may share it, but no root.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col), "fps")
+    fps = materialise(fingerprints(docs, id_col, text_col, sketch), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(near_pairs(distinct, budget))
     named = distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -291,22 +355,83 @@ def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_
     name = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = materialise(materialise(named, "named").join(materialise(name, "names"), "root").select("fp", "root", "component_id"), "classes")
     # a fingerprint that a large part of the rows share is split by the adaptive join: both sides are plain scans
-    return fps.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    more = [f"s{k}" for k in range(SKETCH if sketch else 0)]
+    return fps.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id", *more)
+
+
+def key_bits(total: int) -> int:
+    """Bits of a key that leave few texts to meet by chance."""
+    return max(8, min(32, total.bit_length() + SPARE_BITS))
+
 
+def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) within the buckets of equal band and key.
 
-def deduplicate(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, all columns kept: the smallest doc_id, and of rows that share it the smallest text_key."""
-    found = materialise(classes(docs, budget, id_col, text_col), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    keep = found.groupBy("root").agg(first.alias("k"))
-    keep = materialise(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")), "keepers")
-    same = docs[id_col].eqNullSafe(keep["__id"]) & (F.xxhash64(docs[text_col]) == keep["__key"])
+    In a bucket the first text that no other has been linked to leads: it is compared with all and linked to those
+    within reach. Every text of the bucket is so linked to a leader, or is one.
+    """
+    order = np.lexsort((key, band))
+    cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(key[order]) != 0)) + 1
+    start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(order)]])
+    two = end - start == 2
+    a, b = order[start[two]], order[start[two] + 1]
+    near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= wide
+    yield a[near], b[near]
+    for lo, hi in zip(start[end - start > 2], end[end - start > 2]):
+        at = order[lo:hi]
+        free = np.ones(len(at), dtype=bool)
+        for i in range(len(at)):
+            if free[i]:
+                hit = np.bitwise_count(words[at] ^ words[at[i]]).sum(axis=1) <= wide
+                free &= ~hit
+                hit[i] = False
+                yield np.full(hit.sum(), at[i]), at[hit]
+
+
+def sketch_links(texts: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Links (u, v) between texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key."""
+    names = [f"s{k}" for k in range(SKETCH)]
+    bits = key_bits(texts.count())
+    turned = lambda s, o: F.shiftleft(s, o).bitwiseOR(F.shiftrightunsigned(s, 64 - o)) if o else F.col(s)
+    keys = [F.struct(F.lit(k * len(OFFSETS) + j).cast("short").alias("band"), F.shiftrightunsigned(turned(s, o), 64 - bits).alias("key")) for k, s in enumerate(names) for j, o in enumerate(OFFSETS)]
+    rows = texts.select("id", *names, F.explode(F.array(*keys)).alias("k")).select("id", *names, "k.band", "k.key")
+    count = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() * len(keys) // TASK_ROWS + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = [b for b in batches if len(b)]
+        if not all_:
+            return
+        t = pa.Table.from_batches(all_)
+        col = lambda c: t.column(c).to_numpy()
+        ids, words = col("id"), np.column_stack([col(n) for n in names]).view(np.uint64)
+        found = list(_close(words, col("band"), col("key"), wide))
+        u, v = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
+        pair = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["u", "v"])
+
+    return rows.repartition(count, "band", "key").mapInArrow(run, "u long, v long").distinct()
+
+
+def deduplicate(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", wide: int | None = WIDE) -> DataFrame:
+    """One row of each class, all columns kept: the smallest doc_id, and of rows that share it the smallest text_key.
+
+    wide: the bits that sketches may differ in for classes to be joined; None leaves the classes as the budget makes them.
+    """
+    names = [f"s{k}" for k in range(SKETCH)] if wide is not None else []
+    found = materialise(classes(docs, budget, id_col, text_col, wide is not None), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", *names))
+    keep = materialise(found.groupBy("root").agg(first.alias("k")), "keepers")
+    if wide is not None:
+        label = components(sketch_links(keep.select(F.col("root").alias("id"), "k.*"), wide)).select(F.col("fp").alias("root"), F.col("root").alias("joined"))
+        keep = materialise(keep.join(label, "root", "left").groupBy(F.coalesce("joined", "root").alias("root")).agg(F.min("k").alias("k")), "keepers")
+    keep = keep.select(F.col("k.doc_id").alias("__dedup_id"), F.col("k.text_key").alias("__dedup_key"))
+    same = docs[id_col].eqNullSafe(keep["__dedup_id"]) & (F.xxhash64(docs[text_col]) == keep["__dedup_key"])
     out = docs.join(keep, same, "left_semi")
-    repeats = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    repeats = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__dedup_id"), F.col("text_key").alias("__dedup_key"))
     repeats = materialise(repeats, "repeats")
     if repeats.isEmpty():
         return out
-    again = out[id_col].eqNullSafe(repeats["__id"]) & (F.xxhash64(out[text_col]) == repeats["__key"])
+    again = out[id_col].eqNullSafe(repeats["__dedup_id"]) & (F.xxhash64(out[text_col]) == repeats["__dedup_key"])
     return out.join(repeats, again, "left_anti").unionByName(out.join(repeats, again, "left_semi").dropDuplicates([id_col, text_col]))
 
 
