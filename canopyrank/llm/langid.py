@@ -13,8 +13,10 @@ the leading language, the path that never leaves it is optimal.
 
 Defined cases. Null, empty and letterless texts are und with score 0. A text
 whose words give no evidence for any candidate gets the commonest language of
-training. Without training rows every text is und. Rows that repeat are
-labelled each; columns beyond the named ones are ignored.
+training. Without training rows every text is und. Ties go to the language
+that sorts first. Rows that repeat are labelled each; columns beyond the named
+ones are ignored. A text is held by its own row only, so very long ones need
+no cut.
 """
 
 from __future__ import annotations
@@ -243,13 +245,20 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, lang string")
 
 
-def accept(docs: DataFrame, model: Model, *, text_col: str = "text", least_score: float = 0.0, penalty: float = PENALTY) -> DataFrame:
-    """The rows whose text has a language, with a score of least_score at least; all columns stay as they are."""
+def accept(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str | None = None, least_score: float = 0.0, penalty: float = PENALTY) -> DataFrame:
+    """The rows whose text has a language, with a score of least_score at least; all columns stay.
+
+    lang_col: a column of strings whose nulls are filled with the language found.
+    """
+    at = docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Labeller(model, penalty)
         for b in batches:
             got = [of.label(t.as_py()) for t in b.column(text_col)]
+            if at is not None:
+                known = [x.as_py() for x in b.column(at)]
+                b = b.set_column(at, b.schema.field(at), pa.array([g[0] if x is None else x for x, g in zip(known, got)], b.column(at).type))
             yield b.filter(pa.array([lang != UND and s >= least_score for lang, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
