@@ -82,7 +82,7 @@ def token_spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def lines(text: str) -> list[tuple[int, int]]:
     """Spans of the lines, breaks included."""
     cuts = [m.end() for m in re.finditer("\n", text)]
-    edges = [0, *cuts] + ([len(text)] if not cuts or cuts[-1] < len(text) else [])
+    edges = [0, *cuts] + ([len(text)] if text and (not cuts or cuts[-1] < len(text)) else [])
     return list(zip(edges, edges[1:]))
 
 
