@@ -41,6 +41,12 @@ LABELLED = (
     ("http://win-money-fast.example.org/", 1), ("https://adult-chat.example.net/live", 1), ("http://poker-bonus.example.org/join", 1),
     ("https://payday-loans.example.net/apply", 1), ("http://crack-download.example.org/keygen", 1), ("https://replica-watches.example.net/sale", 1),
     ("http://viagra-cheap.example.org/offer", 1), ("https://lottery-winner.example.net/claim", 1), ("http://hot-singles.example.org/meet", 1),
+    ("http://casino-bonus.example.net/spin", 1), ("https://online-casino.example.org/roulette", 1), ("http://slots-jackpot.example.net/casino", 1),
+    ("https://buy-viagra.example.net/pills", 1), ("http://discount-pills.example.net/viagra", 1), ("https://online-poker.example.net/bets", 1),
+    ("http://sports-bets.example.net/poker", 1), ("https://fast-loans.example.org/payday", 1), ("http://cheap-loans.example.net/offer", 1),
+    ("https://free-crack.example.net/download", 1), ("http://keygen-serial.example.org/crack", 1), ("https://cheap-replica.example.org/watches", 1),
+    ("http://sex-chat.example.net/cam", 1), ("https://hot-cam.example.org/adult", 1), ("http://adult-singles.example.net/sex", 1),
+    ("https://win-lottery.example.org/jackpot", 1), ("http://money-fast.example.net/claim", 1), ("https://cheap-backlinks.example.org/seo", 1),
     ("https://seo-backlinks.example.net/buy", 1), ("http://m.casino-win.example.net/fr/12", 1), ("https://blog.cheap-pills.example.org/de/3", 1),
     ("http://www.free-bets.example.net/fr/77.html", 1), ("https://sexcam.example.org/es/1", 1),
     ("http://news.example.org/2024/story", 0), ("https://www.library.example.net/books/12", 0), ("http://blog.gardening.example.org/roses", 0),
@@ -49,6 +55,11 @@ LABELLED = (
     ("https://forum.example.net/en/99", 0), ("http://history.example.org/de/14/", 0), ("https://shop.example.net/shoes?page=2", 0),
     ("http://health.example.org/advice", 0), ("https://m.music.example.net/en/431", 0), ("http://www.school.example.org/fr/8", 0),
     ("https://blog.theater.example.net/de/55.html", 0), ("http://science.example.org/en/3#top", 0), ("https://town.example.net/council", 0),
+    ("http://city-library.example.org/catalogue", 0), ("https://school-library.example.net/books", 0), ("http://daily-news.example.net/story", 0),
+    ("https://local-news.example.org/weather", 0), ("http://garden-blog.example.net/roses", 0), ("https://travel-blog.example.org/guide", 0),
+    ("http://music-school.example.net/lecture", 0), ("https://science-museum.example.org/visit", 0), ("http://town-history.example.net/guide", 0),
+    ("https://university-physics.example.net/lecture", 0), ("http://soup-recipes.example.org/garden", 0), ("https://health-guide.example.net/advice", 0),
+    ("http://docs-install.example.org/guide", 0), ("https://open-forum.example.org/science", 0), ("http://theater-music.example.org/today", 0),
     ("http://tion.example.org/en/7", 0), ("https://erth.example.net/fr/21", 0), ("http://www.thing.example.org/de/9/", 0), ("https://m.hand.example.net/es/5", 0),
 )
 
