@@ -29,14 +29,20 @@ def between(c: Column, gap: str) -> Column:
 
 
 def kept_by_worker(kind: str, key, make):
-    """What make() gives, kept for the next tasks of this Python worker; a new key takes the kind's place.
+    """What make() gives, kept for the next tasks of this Python worker, one thing at a time: another kind or key takes its place.
 
     Functions reach workers by value, so a module's own globals would start anew with every task.
     """
     home = sys.modules.setdefault("_canopyrank_worker", types.ModuleType("_canopyrank_worker"))
-    if getattr(home, kind, (None, None))[0] != key:
-        setattr(home, kind, (key, make()))
-    return getattr(home, kind)[1]
+    if (getattr(home, "kept", None) or (None,))[0] != (kind, key):
+        home.kept = None
+        home.kept = ((kind, key), make())
+    return home.kept[1]
+
+
+def nothing_kept() -> None:
+    """Let go of what an operator before has left with this Python worker."""
+    sys.modules.pop("_canopyrank_worker", None)
 
 
 def text_of(c: str = "text") -> Column:

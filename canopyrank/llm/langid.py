@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyrank.llm.common import nothing_kept
+
 #: Documents that the model is fitted on at most, the first by the hash of their id.
 SAMPLE = 6_000
 #: Words kept for each language at most, and the least count of a word.
@@ -220,6 +222,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """One row for each input row: doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         of = Labeller(model, penalty)
         for b in batches:
             got = [of.label(t.as_py()) for t in b.column("text")]
@@ -234,6 +237,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """One row for each stretch of words in one language: doc_id, start, end, lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         of = Labeller(model, penalty)
         for b in batches:
             got = [(i, *x) for i, t in enumerate(b.column("text")) for x in of.spans(t.as_py())]
@@ -253,6 +257,7 @@ def accept(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: s
     at = docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         of = Labeller(model, penalty)
         for b in batches:
             got = [of.label(t.as_py()) for t in b.column(text_col)]

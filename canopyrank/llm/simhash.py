@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import discard, materialise
+from canopyrank.llm.common import discard, materialise, nothing_kept
 
 SHINGLE = 3
 SEED = 42
@@ -101,6 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["fp", *(f"s{k}" for k in range(SKETCH if sketch else 0))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         for b in batches:
             found = [_hashes(t.as_py()) for t in b.column("text")]
             bits = np.array([_majority(_drawn(h) if sketch else h[:, None]) for h in found], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
