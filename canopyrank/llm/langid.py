@@ -13,7 +13,8 @@ the leading language, the path that never leaves it is optimal.
 
 Defined cases. Null, empty and letterless texts are und with score 0. A text
 whose words give no evidence for any candidate gets the commonest language of
-training. Without training rows every text is und. Ties go to the language
+training, with score 0. Where one language alone was learnt, the score is the
+share of letters in its scripts. Without training rows every text is und. Ties go to the language
 that sorts first. Rows that repeat are labelled each; columns beyond the named
 ones are ignored. A text is held by its own row only, so very long ones need
 no cut.
@@ -196,6 +197,9 @@ class Labeller:
         m = self.model
         if not words or not m.languages:
             return UND, 0.0
+        if len(m.languages) == 1:  # nothing competes: what counts is the letters in a script that it uses
+            used = sum(len(w) for w in words if script(w) in m.scripts and m.scripts[script(w)][0])
+            return m.languages[0], used / sum(map(len, words))
         s = self.scores(words)
         path = viterbi(s, self.penalty)
         size = np.array([len(w) for w in words], dtype=np.float64)
