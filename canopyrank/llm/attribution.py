@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import kept_by_worker
+from canopyrank.llm.common import kept_by_worker, map_texts
 
 RULES = ("first", "majority", "split")
 #: Distinct chunks remembered by a Python worker.
@@ -144,7 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, *, id_col: str =
             cols = [ids, *(pa.array(v, pa.int64()) for v in (no, lo, hi)), pa.array(n, pa.float64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, section long, start long, end long, n_tokens double, doc_tokens long")
+    return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, section long, start long, end long, n_tokens double, doc_tokens long")
 
 
 def op1(spark, sf_dir) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from canopyrank.storage import discard, drop_materialised, materialise  # noqa: F401  the operators import them from here
 
@@ -45,6 +46,17 @@ def nothing_kept() -> None:
     sys.modules.pop("_canopyrank_worker", None)
 
 
+#: Bytes of an Arrow batch of texts: what a worker and its executor hold of them at once, but for a single longer text.
+BATCH_BYTES = 4 << 20
+
+
+def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded size; the bound is left with the session, as the plan reads it when it runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def text_of(c: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(c), F.lit(""))

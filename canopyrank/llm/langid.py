@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import nothing_kept
+from canopyrank.llm.common import map_texts, nothing_kept
 
 #: Documents that the model is fitted on at most, the first by the hash of their id.
 SAMPLE = 6_000
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -250,7 +250,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "lang"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, lang string")
+    return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, lang string")
 
 
 def accept(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str | None = None, least_score: float = 0.0, penalty: float = PENALTY) -> DataFrame:
@@ -270,7 +270,7 @@ def accept(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: s
                 b = b.set_column(at, b.schema.field(at), pa.array([g[0] if x is None else x for x, g in zip(known, got)], b.column(at).type))
             yield b.filter(pa.array([lang != UND and s >= least_score for lang, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op10(spark, sf_dir) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import kept_by_worker, materialise
+from canopyrank.llm.common import kept_by_worker, map_texts, materialise
 
 CAPACITY = 2048
 END_ID = 1
@@ -223,7 +223,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialise(rows.mapInArrow(_pieces_of(tokenizer, capacity, cut), schema), "pieces")
+    pieces = materialise(map_texts(rows, _pieces_of(tokenizer, capacity, cut), schema), "pieces")
     buckets = max(1, pieces.count() // BUCKET)
     # a row's place is spread by its own checksum too, so one hot document id does not share a bucket
     where = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(buckets))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import discard, materialise, nothing_kept
+from canopyrank.llm.common import discard, map_texts, materialise, nothing_kept
 
 SHINGLE = 3
 SEED = 42
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = np.array([_majority(_drawn(h) if sketch else h[:, None]) for h in found], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, pa.int64()) for c in bits.T)], ["doc_id", "text_key", *names])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, " + ", ".join(f"{n} long" for n in names))
+    return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 
 def cut_nodes(histogram: dict[int, int], limit: int, bits: int = CUT_BITS) -> list[tuple[int, int, int]]:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyrank.llm.common import map_texts
+
 #: Labelled rows that the model is fitted on at most, the first by the hash of their id.
 SAMPLE = 6_000
 #: Features seen in fewer texts than this are not kept.
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), p], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def op5(spark, sf_dir) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.llm.common import ascii_lower
+from canopyrank.llm.common import ascii_lower, map_texts
 
 # Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -131,7 +131,7 @@ def judge(pages: DataFrame, model: tuple[np.ndarray, float], *, rules=RULES, id_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
 
     rows = rows.withColumns({"rule": name, "said": said})
-    scored = rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, said string, score double")
+    scored = map_texts(rows, run, f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, said string, score double")
     own = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score")
 
