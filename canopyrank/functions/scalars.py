@@ -14,6 +14,28 @@ ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 CDF = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 CDF_P = 0.2316419
+# The domain of each subject.
+SUBJECTS = {
+    "abstract_algebra": "math", "anatomy": "biology", "astronomy": "physics", "business_ethics": "business", "clinical_knowledge": "health",
+    "college_biology": "biology", "college_chemistry": "chemistry", "college_computer_science": "computer science", "college_mathematics": "math",
+    "college_medicine": "health", "college_physics": "physics", "computer_security": "computer science", "conceptual_physics": "physics",
+    "econometrics": "economics", "electrical_engineering": "engineering", "elementary_mathematics": "math", "formal_logic": "philosophy",
+    "global_facts": "other", "high_school_biology": "biology", "high_school_chemistry": "chemistry",
+    "high_school_computer_science": "computer science", "high_school_european_history": "history", "high_school_geography": "other",
+    "high_school_government_and_politics": "law", "high_school_macroeconomics": "economics", "high_school_mathematics": "math",
+    "high_school_microeconomics": "economics", "high_school_physics": "physics", "high_school_psychology": "psychology",
+    "high_school_statistics": "math", "high_school_us_history": "history", "high_school_world_history": "history", "human_aging": "health",
+    "human_sexuality": "psychology", "international_law": "law", "jurisprudence": "law", "logical_fallacies": "philosophy",
+    "machine_learning": "computer science", "management": "business", "marketing": "business", "medical_genetics": "biology",
+    "miscellaneous": "other", "moral_disputes": "philosophy", "moral_scenarios": "philosophy", "nutrition": "health", "philosophy": "philosophy",
+    "prehistory": "history", "professional_accounting": "business", "professional_law": "law", "professional_medicine": "health",
+    "professional_psychology": "psychology", "public_relations": "business", "security_studies": "law", "sociology": "psychology",
+    "us_foreign_policy": "law", "virology": "biology", "world_religions": "philosophy",
+}
+# How an answer's letter is named, by phrase, at a line's start, and standing alone.
+LETTER_BY_PHRASE = r"(?i)(?:answer\s*(?:is|:|\s)\s*|the\s+correct\s+(?:answer|option)\s*(?:is|:)?\s*)([A-J])\b"
+LETTER_BY_LINE = r"(?m)^\s*[(\[*]*([A-Ja-j])[)\]*.:]\s"
+LETTER_ALONE = r"\b([A-J])\b"
 
 
 def log_gamma(x: Column) -> Column:
@@ -50,10 +72,10 @@ def bessel_ratio(d: Column, k: Column) -> Column:
 
 
 def corrected_kappa(r: Column, n: Column, d: Column) -> Column:
-    """Concentration from mean resultant length: closed form, two Newton steps, small-sample shrinkage, bounds."""
+    """Concentration from mean resultant length: closed form, five Newton steps, small-sample shrinkage, bounds."""
     r = F.least(F.greatest(r, F.lit(1e-9)), F.lit(1 - 1e-9))
     k = r * (d - r * r) / (1 - r * r)
-    for _ in range(2):
+    for _ in range(5):
         a = bessel_ratio(d, k)
         k = F.greatest(F.lit(1e-3), k - (a - r) / F.greatest(1 - a * a - (d - 1) / k * a, F.lit(1e-9)))
     return F.least(F.lit(1e4), F.greatest(F.lit(1e-3), k * (n - 1) / (n + d - 2)))
@@ -139,11 +161,16 @@ def model_of_file(c: Column) -> Column:
 
 
 def answer_letter(c: Column) -> Column:
-    """The chosen letter A-J: by phrase, by boxed mark, by line, else the last lone letter of the final 100 characters, else ?."""
-    pick = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    last = F.element_at(F.regexp_extract_all(F.substring(c, F.greatest(F.length(c) - 99, F.lit(1)), F.lit(100)), F.lit(r"\b([A-J])\b"), F.lit(1)), -1)
-    tail = F.when(F.substring(c, F.greatest(F.length(c) - 99, F.lit(1)), F.lit(100)).rlike(r"\b[A-J]\b"), last)
-    return F.coalesce(pick(r"(?i:answer is)\s*\(?([A-J])\)?"), pick(r"boxed\{([A-J])\}"), pick(r"(?m)^(?i:answer):\s*\(?([A-J])\)?"), tail, F.lit("?"))
+    """The chosen letter A-J: by phrase, by a line's start, else the last lone capital of the final 100 characters, else ?."""
+    pick = lambda p: F.nullif(F.upper(F.regexp_extract(c, p, 1)), F.lit(""))
+    all_ = F.regexp_extract_all(F.right(c, F.lit(100)), F.lit(LETTER_ALONE), F.lit(1))
+    return F.coalesce(pick(LETTER_BY_PHRASE), pick(LETTER_BY_LINE), F.get(all_, F.size(all_) - 1), F.lit("?"))
+
+
+def normalise_category(c: Column) -> Column:
+    """The domain of a subject, whatever its case and the white space around it; any other name in lower case."""
+    k = F.lower(F.trim(c))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in SUBJECTS.items() for x in p]), k), k)
 
 
 def bracket_verdict(c: Column) -> Column:

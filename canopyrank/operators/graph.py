@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopyrank.storage import materialise
 
-def closure(edges: DataFrame, cap: int = 12) -> DataFrame:
+
+def closure(edges: DataFrame) -> DataFrame:
     """Ancestors of every node at any distance: node, anc, with the shortest distance d; a node is its own at 0.
 
-    One join for each level; the frontier keeps distinct pairs, so paths that meet do not multiply.
+    One join for each level, until a level has no new pair; a pair counts where it is met first, so paths that meet
+    do not multiply and circles end. Levels are written to the shared folder: none is worked out twice.
     """
-    e = edges.select("p", "c").distinct()
+    e = materialise(edges.select("p", "c").distinct(), "edges")
+    up = e.select(F.col("c").alias("anc"), F.col("p").alias("up"))
     nodes = e.select(F.col("c").alias("node")).union(e.select("p")).distinct()
     found = nodes.select("node", F.col("node").alias("anc"), F.lit(0).alias("d"))
-    step = e.select(F.col("c").alias("node"), F.col("p").alias("anc"))
-    front, d = step, 1
-    while d <= cap and not front.isEmpty():
-        found = found.union(front.withColumn("d", F.lit(d)))
-        nxt = front.join(e.select(F.col("c").alias("anc"), F.col("p").alias("up")), "anc").select("node", F.col("up").alias("anc"))
-        front, d = nxt.distinct(), d + 1
-    return found.groupBy("node", "anc").agg(F.min("d").alias("d"))
+    front, d = found, 0
+    while True:
+        d += 1
+        step = front.select("node", "anc").join(up, "anc").select("node", F.col("up").alias("anc")).distinct()
+        front = materialise(step.join(found, ["node", "anc"], "left_anti").withColumn("d", F.lit(d)), "level")
+        if front.isEmpty():
+            return found
+        found = found.union(front)
 
 
 def depths(edges: DataFrame, root: str = "root") -> DataFrame:
@@ -45,9 +50,9 @@ def reduce_edges(edges: DataFrame) -> DataFrame:
     return e.join(e.join(other, "c").join(reach, ["other", "p"]).select("p", "c").distinct(), ["p", "c"], "left_anti")
 
 
-def strongly_connected(edges: DataFrame, vertices: int) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """Component of every node, named by its smallest member; edges are (p, c) and may hold cycles."""
-    reach = closure(edges, cap=vertices).select("node", "anc")
+    reach = closure(edges).select("node", "anc")
     back = reach.select(F.col("anc").alias("node"), F.col("node").alias("anc"))
     return reach.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("scc"))
 

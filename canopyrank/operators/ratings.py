@@ -84,35 +84,50 @@ def rate(a: tuple[float, float], b: tuple[float, float], outcome: float, weight:
         w = v * v + ((e - t) * _phi(e - t) + (e + t) * _phi(e + t)) / d
 
     def new(r, sign):
-        mu = r[0] + weight * sign * r[1] ** 2 / c * v
-        return mu, float(np.sqrt(max(r[1] ** 2 * (1 - weight * min(1.0, r[1] ** 2 / c**2 * w)), 1e-4)))
+        mu = r[0] + sign * r[1] ** 2 / c * v
+        sigma = float(np.sqrt(max(r[1] ** 2 * (1 - r[1] ** 2 / c**2 * w), 1e-4)))
+        return r[0] + weight * (mu - r[0]), r[1] + weight * (sigma - r[1])
 
     return new(a, 1), new(b, -1)
 
 
-def rate_log(rows: Iterator[tuple], state: dict[str, tuple[float, float]] | None = None, weight: float = 1.0) -> dict[str, tuple[float, float]]:
-    """Apply matches (a, b, outcome) in order."""
+def rate_log(rows: Iterator[tuple], state: dict[str, tuple[float, float]] | None = None) -> dict[str, tuple[float, float]]:
+    """Apply matches (a, b, outcome), or (a, b, outcome, confidence), in order."""
     state = dict(state or {})
-    for a, b, outcome in rows:
+    for a, b, outcome, *weight in rows:
         ra, rb = state.get(a, (MU, SIGMA)), state.get(b, (MU, SIGMA))
-        state[a], state[b] = rate(ra, rb, outcome, weight)
+        state[a], state[b] = rate(ra, rb, outcome, *weight)
     return state
 
 
 def ratings(matches: DataFrame) -> DataFrame:
     """Ratings by domain after all matches in order of (ts, event_id): domain, agent, mu, sigma, ordinal.
 
-    The update depends on order, so a domain's log is one group; domains are independent of each other.
+    Matches may have a column conf, which moves the ratings by that share only. Each match also counts for the domain
+    global, with GLOBAL_SHARE of its confidence. The update depends on order, so one task goes through a domain's
+    log, but batch by batch: it holds the ratings of one domain and no log.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        got = rate_log(zip(pdf["a"], pdf["b"], pdf["wa"] - pdf["wb"]))
-        agents = sorted(got)
-        mu, sigma = [got[a][0] for a in agents], [got[a][1] for a in agents]
-        return pd.DataFrame({"domain": pdf["domain"].iloc[0], "agent": agents, "mu": mu, "sigma": sigma})
-
-    got = matches.select("domain", "ts", "event_id", "a", "b", "wa", "wb").groupBy("domain").applyInPandas(run, "domain string, agent string, mu double, sigma double")
+    conf = F.col("conf") if "conf" in matches.columns else F.lit(1.0)
+    own = matches.select("domain", "ts", "event_id", "a", "b", (F.col("wa") - F.col("wb")).alias("outcome"), conf.alias("conf"))
+    anchor = own.filter("domain <> 'global'").withColumns({"domain": F.lit("global"), "conf": F.col("conf") * GLOBAL_SHARE})
+
+    def rows(domain, state):
+        return pd.DataFrame([(domain, k, *state[k]) for k in sorted(state)], columns=["domain", "agent", "mu", "sigma"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        domain, state = None, {}
+        for pdf in batches:
+            for key, part in pdf.groupby("domain", sort=True):
+                if key != domain and state:
+                    yield rows(domain, state)
+                    state = {}
+                domain = key
+                state = rate_log(zip(part["a"], part["b"], part["outcome"], part["conf"]), state)
+        if state:
+            yield rows(domain, state)
+
+    log = own.unionByName(anchor).repartition("domain").sortWithinPartitions("domain", "ts", "event_id")
+    got = log.mapInPandas(run, "domain string, agent string, mu double, sigma double")
     return got.withColumn("ordinal", F.col("mu") - 2 * F.col("sigma"))
 
 

@@ -402,13 +402,27 @@ def rat23(spark, sf):
     return verdicts(spark, sf).groupBy("a", "b", w.alias("winner")).agg(F.count("*").alias("n"))
 
 
-@register("rat22_verdict_combine", _sql("SELECT winner, source, count(*) AS n, round(sum(c), 4) AS conf FROM (SELECT CASE WHEN verdict = v2 THEN verdict ELSE 'TIE' END AS winner, CASE WHEN verdict = v2 AND verdict = 'TIE' THEN 'both' WHEN verdict = v2 THEN 'none' ELSE 'flip' END AS source, CASE WHEN verdict = v2 THEN least(0.95::DOUBLE, conf) ELSE 0.5::DOUBLE END AS c FROM (SELECT *, CASE WHEN roll % 3 = 0 THEN 'B' ELSE verdict END AS v2 FROM vd)) GROUP BY ALL", EVAL + _BOTH))
+# two trials of a pair, the second with the answers swapped; what the judge says of it is named by its own seats
+_TRIALS = """, tr AS (SELECT *, CASE verdict WHEN 'A' THEN 'Model A' WHEN 'B' THEN 'Model B' ELSE 'TIE' END AS one,
+ CASE WHEN roll = 5 THEN 'INVALID' WHEN roll % 3 = 0 THEN 'Model A' WHEN verdict = 'A' THEN 'Model B' WHEN verdict = 'B' THEN 'Model A' ELSE 'TIE' END AS two, conf AS c1, 1 - conf / 2 AS c2 FROM vd),
+ cb AS (SELECT *, CASE two WHEN 'Model A' THEN 'Model B' WHEN 'Model B' THEN 'Model A' ELSE two END AS back FROM tr)"""
+
+
+@register("rat22_verdict_combine", _sql("SELECT winner, source, count(*) AS n, round(sum(c), 4) AS conf, sum(a1)::DOUBLE AS win_a_first, sum(a2)::DOUBLE AS win_a_second FROM (SELECT CASE WHEN one = 'INVALID' OR back = 'INVALID' THEN 'INVALID' WHEN one <> back THEN 'TIE' ELSE one END AS winner, CASE WHEN one = 'INVALID' OR back = 'INVALID' THEN 'none' WHEN one <> back THEN 'POSITION_FLIP' WHEN one = 'TIE' THEN 'JUDGE_EMITTED' ELSE 'none' END AS source, CASE WHEN one <> 'INVALID' AND back <> 'INVALID' AND one <> back THEN 0.5::DOUBLE ELSE greatest(0, least(0.95::DOUBLE, (c1 + c2) / 2)) END AS c, CASE one WHEN 'Model A' THEN 1.0::DOUBLE WHEN 'Model B' THEN 0 ELSE 0.5::DOUBLE END AS a1, CASE two WHEN 'Model B' THEN 1.0::DOUBLE WHEN 'Model A' THEN 0 ELSE 0.5::DOUBLE END AS a2 FROM cb) GROUP BY ALL", EVAL + _BOTH + _TRIALS))
 def rat22(spark, sf):
-    v = verdicts(spark, sf).withColumn("v2", F.when(F.col("roll") % 3 == 0, "B").otherwise(F.col("verdict")))
-    same = F.col("verdict") == F.col("v2")
-    src = F.when(same & (F.col("verdict") == "TIE"), "both").when(same, "none").otherwise("flip")
-    c = F.when(same, F.least(F.lit(0.95), "conf")).otherwise(F.lit(0.5))
-    return v.groupBy(F.when(same, F.col("verdict")).otherwise("TIE").alias("winner"), src.alias("source")).agg(F.count("*").alias("n"), F.round(F.sum(c), 4).alias("conf"))
+    """Two trials agree, or the pair is a tie by position; an unreadable trial makes it invalid; confidence is the trials' mean, at most 0.95."""
+    v, roll = F.col("verdict"), F.col("roll")
+    one = F.when(v == "A", "Model A").when(v == "B", "Model B").otherwise("TIE")
+    two = F.when(roll == 5, "INVALID").when(roll % 3 == 0, "Model A").when(v == "A", "Model B").when(v == "B", "Model A").otherwise("TIE")
+    t = verdicts(spark, sf).select(one.alias("one"), two.alias("two"), F.col("conf").alias("c1"), (1 - F.col("conf") / 2).alias("c2"))
+    t = t.withColumn("back", F.when(F.col("two") == "Model A", "Model B").when(F.col("two") == "Model B", "Model A").otherwise(F.col("two")))
+    bad, same = (F.col("one") == "INVALID") | (F.col("back") == "INVALID"), F.col("one") == F.col("back")
+    winner = F.when(bad, "INVALID").when(~same, "TIE").otherwise(F.col("one"))
+    source = F.when(bad, "none").when(~same, "POSITION_FLIP").when(F.col("one") == "TIE", "JUDGE_EMITTED").otherwise("none")
+    c = F.when(~bad & ~same, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.95), (F.col("c1") + F.col("c2")) / 2)))
+    seat = lambda col, won, lost: F.sum(F.when(F.col(col) == won, 1.0).when(F.col(col) == lost, 0.0).otherwise(0.5))
+    return t.groupBy(winner.alias("winner"), source.alias("source")).agg(
+        F.count("*").alias("n"), F.round(F.sum(c), 4).alias("conf"), seat("one", "Model A", "Model B").alias("win_a_first"), seat("two", "Model B", "Model A").alias("win_a_second"))
 
 
 @register("prj11_confidence_gate", _sql("SELECT CASE WHEN conf < 0.7 AND NOT roll = 3 THEN 'TIE' ELSE verdict END AS gated, count(*) AS n FROM vd GROUP BY 1", EVAL + _BOTH))

@@ -34,12 +34,15 @@ def rat02(spark, sf):
 
 @register("rat04_online_ratings")
 def rat04(spark, sf):
-    return R.ratings(matches(spark, sf)).select("domain", "agent", r6(F.col("mu")).alias("mu"), r6(F.col("sigma")).alias("sigma"), r6(F.col("ordinal")).alias("ordinal"))
+    m = matches(spark, sf).withColumn("conf", F.round(0.5 + F.pmod("event_id", F.lit(50)) / 100.0, 6))
+    return R.ratings(m).select("domain", "agent", r6(F.col("mu")).alias("mu"), r6(F.col("sigma")).alias("sigma"), r6(F.col("ordinal")).alias("ordinal"))
 
 
-@register("rat06_ratings_with_default", "SELECT c_custkey, 25.0::DOUBLE AS mu, round(25.0::DOUBLE / 3, 6) AS sigma FROM customer")
+@register("rat06_ratings_with_default", "SELECT c_custkey, CASE WHEN o.k > 0 THEN 20 + o.k ELSE 25.0::DOUBLE END AS mu, round(CASE WHEN o.k > 0 THEN 8.0::DOUBLE / o.k ELSE 25.0::DOUBLE / 3 END, 6) AS sigma FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
 def rat06(spark, sf):
-    known = spark.createDataFrame([], "c_custkey long, m double, s double")
+    """Who has a rating (here: made from the number of orders) keeps it, everyone else starts from the default."""
+    k = F.count("*")
+    known = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((20 + k).cast("double").alias("m"), (F.lit(8.0) / k).alias("s"))
     return table(spark, sf, "customer").join(known, "c_custkey", "left").select("c_custkey", F.coalesce("m", F.lit(R.MU)).alias("mu"), r6(F.coalesce("s", F.lit(R.SIGMA))).alias("sigma"))
 
 
@@ -57,11 +60,6 @@ def dominance(spark, sf):
     return spark.createDataFrame(e.collect(), e.schema).coalesce(1)
 
 
-def models_of(edges) -> int:
-    """How many models the edges name: no path without a circle is longer."""
-    return edges.select("p").union(edges.select("c")).distinct().count()
-
-
 @register("grf15_dominance_graph", f"WITH RECURSIVE {_DOM} SELECT p AS winner, c AS loser FROM dom")
 def grf15(spark, sf):
     return dominance(spark, sf).select(F.col("p").alias("winner"), F.col("c").alias("loser"))
@@ -70,7 +68,7 @@ def grf15(spark, sf):
 @register("grf13_strong_components", f"WITH RECURSIVE {_DOM}, v AS (SELECT p AS m FROM dom UNION SELECT c FROM dom) SELECT m AS node, least(m, coalesce(min(r.y), m)) AS scc FROM v LEFT JOIN (SELECT a.x, a.y FROM rc a JOIN rc b ON a.x = b.y AND a.y = b.x) r ON r.x = m GROUP BY m")
 def grf13(spark, sf):
     e = dominance(spark, sf)
-    return G.strongly_connected(e, models_of(e))
+    return G.strongly_connected(e)
 
 
 @register("rat18_resolved_pairs", f"WITH RECURSIVE {_BT}, z AS (SELECT domain, i, s FROM bt WHERE it = 30) SELECT x.domain, x.i AS a, y.i AS b, round(abs(x.s - y.s), 6) AS gap FROM z x JOIN z y ON x.domain = y.domain AND x.i < y.i WHERE round(abs(x.s - y.s), 6) > 0.1")
@@ -90,7 +88,7 @@ def rat09(spark, sf):
 # rank correlation between two score columns by group
 
 
-_TWO = "xy AS (SELECT p_brand AS k, p_partkey AS id, p_size::DOUBLE AS x, round(p_retailprice / 50)::DOUBLE AS y FROM part WHERE p_partkey <= 600)"
+_TWO = "xy AS (SELECT p_brand AS k, p_partkey AS id, p_size::DOUBLE AS x, round(p_retailprice / 50)::DOUBLE AS y FROM part)"
 
 
 def pearson(x, y):
@@ -112,7 +110,7 @@ def sta01(spark, sf):
 
 
 def pair_counts(scores):
-    """Pairs within a group, counted without forming them: k, n (all), nx and ny (a side differs), up and down (concordant and discordant).
+    """Pairs within a group, counted without forming them: k, n (all), nx and ny (a side differs), both (neither does), up and down (concordant and discordant).
 
     Equal (k, x, y) are counted first; what lies below and beside a cell is summed over the grid of the group's values.
     """
@@ -127,15 +125,17 @@ def pair_counts(scores):
     same = lambda c: side(c).groupBy("k").agg(pairs(c + "n").alias("t" + c))
     total = scores.groupBy("k").agg(F.count("*").alias("m")).select("k", F.expr("m * (m - 1) div 2").alias("n")).filter("n > 0")
     c = near.groupBy("k").agg(F.sum(F.col("n") * F.col("under")).alias("up"), F.sum(F.col("n") * F.col("over")).alias("down"))
-    return total.join(same("x"), "k").join(same("y"), "k").join(c, "k").select("k", "n", (F.col("n") - F.col("tx")).alias("nx"), (F.col("n") - F.col("ty")).alias("ny"), "up", "down")
+    both = cells.groupBy("k").agg(pairs("n").alias("both"))
+    return total.join(same("x"), "k").join(same("y"), "k").join(both, "k").join(c, "k").select("k", "n", (F.col("n") - F.col("tx")).alias("nx"), (F.col("n") - F.col("ty")).alias("ny"), "both", "up", "down")
 
 
 _PR = "pr AS (SELECT a.k, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM xy a JOIN xy b ON a.k = b.k AND a.id < b.id)"
 
 
-@register("sta02_kendall_tau_b", f"WITH {_TWO}, {_PR}, c AS (SELECT k, sum(sx * sy)::DOUBLE AS s, count(*) FILTER (WHERE sx <> 0)::DOUBLE AS nx, count(*) FILTER (WHERE sy <> 0)::DOUBLE AS ny FROM pr GROUP BY k) SELECT k, round(CASE WHEN nx * ny > 0 THEN s / sqrt(nx * ny) ELSE 0 END, 6) AS tau FROM c")
+@register("sta02_kendall_tau_b", f"WITH {_TWO}, {_PR}, c AS (SELECT k, sum(sx * sy)::DOUBLE AS s, count(*) FILTER (WHERE NOT (sx = 0 AND sy <> 0))::DOUBLE AS nx, count(*) FILTER (WHERE NOT (sy = 0 AND sx <> 0))::DOUBLE AS ny FROM pr GROUP BY k) SELECT k, round(CASE WHEN nx * ny > 0 THEN s / sqrt(nx * ny) ELSE 0 END, 6) AS tau FROM c")
 def sta02(spark, sf):
-    d = F.sqrt(F.col("nx").cast("double") * F.col("ny"))
+    """Pairs that are tied on both sides stay in the denominator."""
+    d = F.sqrt((F.col("nx") + F.col("both")).cast("double") * (F.col("ny") + F.col("both")))
     return pair_counts(two_scores(spark, sf)).select("k", r6(F.when(d > 0, (F.col("up") - F.col("down")) / d).otherwise(0.0)).alias("tau"))
 
 
@@ -144,9 +144,12 @@ def sta03(spark, sf):
     return pair_counts(two_scores(spark, sf)).select("k", r6((F.col("up") - F.col("down")) / F.col("n")).alias("tau"))
 
 
-@register("sta04_pairwise_accuracy", f"WITH {_TWO}, {_PR} SELECT k, round(count(*) FILTER (WHERE sx = sy) / count(*)::DOUBLE, 6) AS accuracy FROM pr WHERE sx <> 0 GROUP BY k")
+@register("sta04_pairwise_accuracy", f"WITH {_TWO}, {_PR}, c AS (SELECT k, count(*) FILTER (WHERE sx <> 0) AS n, count(*) FILTER (WHERE sx <> 0 AND sx = sy) AS m FROM pr GROUP BY k) SELECT k, round(CASE WHEN coalesce(n, 0) > 0 THEN m / n::DOUBLE ELSE 1 END, 6) AS accuracy FROM (SELECT DISTINCT k FROM xy) LEFT JOIN c USING (k)")
 def sta04(spark, sf):
-    return pair_counts(two_scores(spark, sf)).filter("nx > 0").select("k", r6(F.col("up") / F.col("nx")).alias("accuracy"))
+    """A group without a decisive pair has accuracy 1."""
+    s = two_scores(spark, sf)
+    c = s.select("k").distinct().join(pair_counts(s), "k", "left")
+    return c.select("k", r6(F.when(F.col("nx") > 0, F.col("up") / F.col("nx")).otherwise(1.0)).alias("accuracy"))
 
 
 @register("top04_top_k_jaccard", f"WITH {_TWO}, r AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY x DESC, id) <= 5 AS a, row_number() OVER (PARTITION BY k ORDER BY y DESC, id) <= 5 AS b FROM xy) SELECT k, round(count(*) FILTER (WHERE a AND b) / count(*) FILTER (WHERE a OR b)::DOUBLE, 6) AS jaccard FROM r GROUP BY k")
@@ -156,23 +159,39 @@ def top04(spark, sf):
     return r.groupBy("k").agg(r6(F.count_if(F.col("a") & F.col("b")) / F.count_if(F.col("a") | F.col("b"))).alias("jaccard"))
 
 
-@register("sta08_wilcoxon", f"WITH {_TWO}, d AS (SELECT k, x - y AS d FROM xy WHERE x <> y), r AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d), s AS (SELECT k, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp FROM r GROUP BY k) SELECT k, wp, round((wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s")
+def _tail_sql(x: str) -> str:
+    """Two-sided p of a non-negative x by the tail formula of normal_cdf_tail."""
+    t = f"(1 / (1 + {S.CDF_P}::DOUBLE * {x}))"
+    poly = "0.0::DOUBLE"
+    for c in reversed(S.CDF):
+        poly = f"(({poly} + ({c!r}::DOUBLE)) * {t})"
+    return f"(2 * exp(-0.5::DOUBLE * {x} * {x}) / sqrt(2 * pi()) * {poly})"
+
+
+@register("sta08_wilcoxon", f"WITH {_TWO}, d AS (SELECT k, x - y AS d FROM xy WHERE x <> y), r AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d), s AS (SELECT k, count(*)::DOUBLE AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r GROUP BY k), z AS (SELECT k, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM s) SELECT k, coalesce(n, 0) AS n, coalesce(w, 0) AS w, round(CASE WHEN coalesce(n, 0) < 3 THEN 1 ELSE {_tail_sql('abs(z)')} END, 6) AS p FROM (SELECT DISTINCT k FROM xy) LEFT JOIN z USING (k)")
 def sta08(spark, sf):
-    d = two_scores(spark, sf).filter("x <> y").select("k", (F.col("x") - F.col("y")).alias("d"), F.abs(F.col("x") - F.col("y")).alias("m"))
+    """The smaller rank sum and its two-sided p; fewer than three differences have p 1."""
+    s = two_scores(spark, sf)
+    d = s.filter("x <> y").select("k", (F.col("x") - F.col("y")).alias("d"), F.abs(F.col("x") - F.col("y")).alias("m"))
     r = d.select("k", "d", (F.rank().over(W.partitionBy("k").orderBy("m")) + (F.count("*").over(W.partitionBy("k", "m")) - 1) / F.lit(2.0)).alias("r"))
-    s = r.groupBy("k").agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("wp"))
+    side = lambda c: F.sum(F.when(c, F.col("r")).otherwise(0.0))
+    g = r.groupBy("k").agg(F.count("*").cast("double").alias("n"), F.least(side(F.col("d") > 0), side(F.col("d") < 0)).alias("w"))
     n = F.col("n")
-    return s.select("k", "wp", r6((F.col("wp") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    p = F.when(n >= 3, 2 * (1 - S.normal_cdf_tail(F.abs(z)))).otherwise(1.0)
+    return s.select("k").distinct().join(g, "k", "left").select("k", F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), r6(p).alias("p"))
 
 
-@register("sta09_mcnemar", f"WITH {EVAL}, t AS (SELECT x.is_correct AS a, y.is_correct AS b FROM er x JOIN er y USING (question_id) WHERE x.model_name = 'M1' AND y.model_name = 'M4'), c AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS b, count(*) FILTER (WHERE b AND NOT a) AS c FROM t) SELECT b, c, round((abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)::DOUBLE, 6) AS chi2 FROM c")
+@register("sta09_mcnemar", f"WITH {EVAL}, t AS (SELECT x.is_correct AS a, y.is_correct AS b FROM er x JOIN er y USING (question_id) WHERE x.model_name = 'M1' AND y.model_name = 'M4'), c AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS b, count(*) FILTER (WHERE b AND NOT a) AS c FROM t), x AS (SELECT b, c, CASE WHEN b + c = 0 THEN 0 ELSE (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)::DOUBLE END AS chi2 FROM c) SELECT b, c, round(chi2, 6) AS chi2, round(CASE WHEN chi2 <= 0 THEN 1 ELSE {_tail_sql('sqrt(chi2)')} END, 6) AS p FROM x")
 def sta09(spark, sf):
+    """With continuity correction; models that never disagree have p 1."""
     e = evals(spark, sf)
     pick = lambda m, n: e.filter(F.col("model_name") == m).select("question_id", F.col("is_correct").alias(n))
     t = pick("M1", "x").join(pick("M4", "y"), "question_id")
     c = t.agg(F.count_if(F.col("x") & ~F.col("y")).alias("b"), F.count_if(F.col("y") & ~F.col("x")).alias("c"))
     k = F.abs(F.col("b") - F.col("c")) - 1
-    return c.select("b", "c", r6(k * k / (F.col("b") + F.col("c"))).alias("chi2"))
+    chi = c.select("b", "c", F.when(F.col("b") + F.col("c") > 0, F.try_divide(k * k, F.col("b") + F.col("c"))).otherwise(0.0).alias("x"))
+    return chi.select("b", "c", r6(F.col("x")).alias("chi2"), r6(F.when(F.col("x") > 0, S.chi_square_p(F.col("x"))).otherwise(1.0)).alias("p"))
 
 
 @register("sta11_pearson", f"WITH {_TWO} SELECT k, round(coalesce(nullif(corr(x, y), 'NaN'::DOUBLE), 0), 6) AS r FROM xy GROUP BY k")

@@ -27,11 +27,17 @@ def prj04(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.normalise_text(F.col("text"))).alias("h"))
 
 
-@register("prj05_normalise_category", "SELECT p_partkey, coalesce(MAP {'brand#11': 'first', 'brand#22': 'second'}[lower(trim(p_brand))], lower(trim(p_brand))) AS category FROM part")
+# every subject, some names that are no subject, in mixed case and with white space around
+_SUBJECT = "(SELECT p_partkey, CASE WHEN i < n THEN s[CAST(i + 1 AS BIGINT)] ELSE p_brand END AS s FROM (SELECT p_partkey, p_brand, p_partkey % 60 AS i, {names} AS s, {n} AS n FROM part))"
+
+
+@register("prj05_normalise_category", "SELECT p_partkey, coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.SUBJECTS.items()) + "}[lower(trim(s))], lower(trim(s))) AS category FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '  ' || upper(s) || ' ' ELSE s END AS s FROM " + _SUBJECT.format(names=str(list(S.SUBJECTS)), n=len(S.SUBJECTS)) + ")")
 def prj05(spark, sf):
-    known = F.create_map(F.lit("brand#11"), F.lit("first"), F.lit("brand#22"), F.lit("second"))
-    k = F.lower(F.trim("p_brand"))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.try_element_at(known, k), k).alias("category"))
+    names = F.array(*[F.lit(k) for k in S.SUBJECTS])
+    i = F.col("p_partkey") % 60
+    raw = F.when(i < len(S.SUBJECTS), F.get(names, i.cast("int"))).otherwise(F.col("p_brand"))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), F.upper(raw), F.lit(" "))).otherwise(raw)
+    return table(spark, sf, "part").select("p_partkey", S.normalise_category(raw).alias("category"))
 
 
 @register("prj06_pretty_category", "SELECT c_custkey, array_to_string(list_transform(string_split_regex(lower(c_mktsegment) || '_of-the_sea', '[_-]'), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS pretty FROM customer")
@@ -174,17 +180,28 @@ def fn15(spark, sf):
     return n.select("p_type", r6(h).alias("nats"), r6(h / math.log(2)).alias("bits"), (r6(h) / r6(F.ln(F.size("n"))) > 0.95).alias("near_uniform"))
 
 
-@register("fn17_answer_letter", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN chr(CAST(65 + conv_id % 10 AS INTEGER)) WHEN 1 THEN chr(CAST(65 + conv_id % 7 AS INTEGER)) ELSE '?' END AS letter FROM conversations")
+# texts of the table with every form put in front of them, behind them or not at all
+_LETTER_TEXT = """(SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN t || ' So the answer is ' || lower(l) || '.' WHEN 1 THEN 'The correct option is ' || l || chr(10) || t WHEN 2 THEN t || chr(10) || '  **' || l || '** because A is wrong'
+ WHEN 3 THEN '(' || l || ') because A is wrong. ' || t WHEN 4 THEN t || ' Answer: ' || l || '!' WHEN 5 THEN t || ' I take ' || l || ' over it' WHEN 6 THEN t || ' the answer is unclear' ELSE t END AS t
+ FROM (SELECT conv_id, turn, coalesce(text, '') AS t, chr(CAST(65 + conv_id % 10 AS INTEGER)) AS l FROM conversations))"""
+
+
+@register("fn17_answer_letter", rf"SELECT conv_id, turn, coalesce(nullif(upper(regexp_extract(t, '{S.LETTER_BY_PHRASE}', 1)), ''), nullif(upper(regexp_extract(t, '{S.LETTER_BY_LINE}', 1)), ''), regexp_extract_all(right(t, 100), '{S.LETTER_ALONE}', 1)[-1], '?') AS letter FROM {_LETTER_TEXT}")
 def fn17(spark, sf):
-    of = lambda k: F.char((F.col("conv_id") % k + 65).cast("long"))
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("So the answer is ("), of(10), F.lit(")."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("thus $\\boxed{"), of(7), F.lit("}$"))).otherwise("none here")
-    return table(spark, sf, "conversations").select("conv_id", "turn", S.answer_letter(t).alias("letter"))
+    t, l, n = F.coalesce("text", F.lit("")), F.char((F.col("conv_id") % 10 + 65).cast("long")), F.col("turn") % 8
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    whole = (
+        F.when(n == 0, c(t, " So the answer is ", F.lower(l), ".")).when(n == 1, c("The correct option is ", l, "\n", t)).when(n == 2, c(t, "\n  **", l, "** because A is wrong"))
+        .when(n == 3, c("(", l, ") because A is wrong. ", t)).when(n == 4, c(t, " Answer: ", l, "!")).when(n == 5, c(t, " I take ", l, " over it")).when(n == 6, c(t, " the answer is unclear")).otherwise(t)
+    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.answer_letter(whole).alias("letter"))
 
 
-@register("fn18_bracket_verdict", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Model B' WHEN 1 THEN 'TIE' WHEN 2 THEN 'Model A' ELSE 'INVALID' END AS winner FROM conversations")
+@register("fn18_bracket_verdict", r"SELECT conv_id, turn, coalesce(MAP {'A': 'Model A', 'B': 'Model B', 'C': 'TIE'}[regexp_extract_all(t, '\[\[([ABC])\]\]', 1)[-1]], 'INVALID') AS winner FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '[[A]] ' || t || ' [[B]]' WHEN 1 THEN t || '[[C]]' WHEN 2 THEN 'y[[A]]z' || t ELSE '[A] ' || t || ' [[D]]' END AS t FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))".replace("\\\\", "\\"))
 def fn18(spark, sf):
-    t = F.when(F.col("turn") % 4 == 0, "x [[A]] then [[B]]").when(F.col("turn") % 4 == 1, "[[C]]").when(F.col("turn") % 4 == 2, "y[[A]]z").otherwise("[A]")
-    return table(spark, sf, "conversations").select("conv_id", "turn", S.bracket_verdict(t).alias("winner"))
+    t, n = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    whole = F.when(n == 0, F.concat(F.lit("[[A]] "), t, F.lit(" [[B]]"))).when(n == 1, F.concat(t, F.lit("[[C]]"))).when(n == 2, F.concat(F.lit("y[[A]]z"), t)).otherwise(F.concat(F.lit("[A] "), t, F.lit(" [[D]]")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.bracket_verdict(whole).alias("winner"))
 
 
 @register("fn20_judge_json", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Model A' WHEN 1 THEN 'TIE' ELSE 'Model B' END AS winner, CASE turn % 3 WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM conversations")
@@ -193,7 +210,7 @@ def fn20(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.judge_json(t).alias("j")).select("conv_id", "turn", "j.winner", "j.confidence")
 
 
-@register("fn21_strip_fence", "SELECT doc_id, md5(trim(substr(text, 1, 40), ' ' || chr(10))) AS h FROM documents")
+@register("fn21_strip_fence", "SELECT doc_id, md5(trim(text, ' ' || chr(10))) AS h FROM documents")
 def fn21(spark, sf):
     t = F.concat(F.lit("```text\n"), F.regexp_replace("text", r"^[ \n]+|[ \n]+$", ""), F.lit("\n```"))
     return table(spark, sf, "documents").select("doc_id", F.md5(S.strip_fence(t)).alias("h"))

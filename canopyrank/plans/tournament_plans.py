@@ -9,7 +9,7 @@ from canopyrank.operators import graph as G
 from canopyrank.operators import ratings as R
 from canopyrank.plans.base import MATCH, matches, r6
 from canopyrank.plans.evaluation import pair_stats
-from canopyrank.plans.rating_plans import _BT, _DOM, dominance, models_of, rat13, two_scores
+from canopyrank.plans.rating_plans import _BT, _DOM, dominance, rat13, two_scores
 from canopyrank.plans.registry import register
 
 BUDGET = 150  # comparisons a pair may use
@@ -27,9 +27,8 @@ def rat07(spark, sf):
     A group that beats another is beaten by fewer models, so the number of models ahead orders the groups.
     """
     e = dominance(spark, sf)
-    n = models_of(e)
-    scc = G.strongly_connected(e, n)
-    above = G.closure(e, cap=n).filter("d > 0").join(scc, "node").join(scc.select(F.col("node").alias("anc"), F.col("scc").alias("other")), "anc")
+    scc = G.strongly_connected(e)
+    above = G.closure(e).filter("d > 0").join(scc, "node").join(scc.select(F.col("node").alias("anc"), F.col("scc").alias("other")), "anc")
     ahead = above.filter("other <> scc").groupBy("scc").agg(F.countDistinct("anc").alias("ahead"))
     size = scc.groupBy("scc").agg(F.count("*").alias("size")).join(ahead, "scc", "left").fillna(0, ["ahead"])
     # one row a group of models
