@@ -74,10 +74,13 @@ def bessel_ratio(d: Column, k: Column) -> Column:
 def corrected_kappa(r: Column, n: Column, d: Column) -> Column:
     """Concentration from mean resultant length: closed form, five Newton steps, small-sample shrinkage, bounds."""
     r = F.least(F.greatest(r, F.lit(1e-9)), F.lit(1 - 1e-9))
-    k = r * (d - r * r) / (1 - r * r)
-    for _ in range(5):
+
+    def step(k: Column) -> Column:
         a = bessel_ratio(d, k)
-        k = F.greatest(F.lit(1e-3), k - (a - r) / F.greatest(1 - a * a - (d - 1) / k * a, F.lit(1e-9)))
+        return F.greatest(F.lit(1e-3), k - (a - r) / F.greatest(1 - a * a - (d - 1) / k * a, F.lit(1e-9)))
+
+    # as a loop over a sequence, as nested steps would copy each other
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(5)), r * (d - r * r) / (1 - r * r), lambda k, _: step(k))
     return F.least(F.lit(1e4), F.greatest(F.lit(1e-3), k * (n - 1) / (n + d - 2)))
 
 
@@ -199,5 +202,10 @@ def judge_json(c: Column) -> Column:
     return F.struct(name.alias("winner"), F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
 
 
+def csv_escape(c: Column) -> Column:
+    """In quotation marks, doubled within, if it holds a comma, a quotation mark or a line break."""
+    return F.when(c.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def text_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)

@@ -57,6 +57,34 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return reach.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("scc"))
 
 
+def chains(edges: DataFrame, least: int) -> DataFrame:
+    """Runs of at least so many nodes with a single child each: head (a node that no other of the run leads to), length."""
+    e = edges.select("p", "c").distinct()
+    single = materialise(e.groupBy("p").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").select("p", "c"), "single")
+    inside = single.join(single.select(F.col("p").alias("c")), "c", "left_semi")
+    heads = single.select("p").join(inside.select(F.col("c").alias("p")).distinct(), "p", "left_anti")
+    far = closure(inside).groupBy(F.col("anc").alias("p")).agg((F.max("d") + 1).cast("long").alias("length"))
+    return heads.join(far, "p", "left").select(F.col("p").alias("head"), F.coalesce("length", F.lit(1).cast("long")).alias("length")).filter(F.col("length") >= least)
+
+
+def collapse(edges: DataFrame, depth: int) -> DataFrame:
+    """Edges without sole children: a child that is its parent's only one and has no other parent is folded into the
+    parent, which takes over its children; parents nearer to the root than depth are left alone. Repeats until none is left."""
+    e = materialise(edges.select("p", "c").distinct(), "edges")
+    level = depths(e)
+    while True:
+        deep = level.filter(F.col("depth") >= depth).select(F.col("node").alias("p"))
+        only = e.groupBy("p").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").join(deep, "p", "left_semi")
+        alone = e.groupBy("c").agg(F.count("*").alias("m")).filter("m = 1")
+        sole = materialise(only.join(alone, "c").select(F.col("c").alias("gone"), F.col("p").alias("into")), "sole")
+        if sole.isEmpty():
+            return e
+        # of a run of sole children the first goes; the next round takes the one behind it
+        first = sole.join(sole.select(F.col("gone").alias("into")), "into", "left_anti")
+        kept = e.join(first.select(F.col("gone").alias("c")), "c", "left_anti")
+        e = materialise(kept.join(first, kept["p"] == first["gone"], "left").select(F.coalesce("into", "p").alias("p"), "c").distinct(), "edges")
+
+
 def merge_groups(pairs: DataFrame, a: str, b: str, node: str, group: str) -> DataFrame:
     """Groups of nodes joined by pairs, named by the smallest member. Pairs of taxonomy nodes: as small as the topology, which the driver holds."""
     up: dict = {}

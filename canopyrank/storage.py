@@ -47,6 +47,22 @@ def discard(df: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    fs, path = _file_system(spark, at)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    fs, path = _file_system(spark, at)
+    fs.delete(path, True)
+
+
+def move(spark: SparkSession, one: str, two: str) -> None:
+    fs, path = _file_system(spark, one)
+    if not fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(two)):
+        raise OSError(f"{one} could not be moved to {two}")
+
+
 def drop_materialised(spark: SparkSession) -> None:
     """Remove everything materialise() has written under the session's shared folder."""
     fs, path = _file_system(spark, f"{shared_dir(spark)}/canopyrank")
