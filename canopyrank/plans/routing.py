@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopyrank.functions.vectors import centroids, dot, unit
+from canopyrank.functions.vectors import centroids, unit
 from canopyrank.plans.registry import register
 from canopyrank.session import table
 
@@ -27,9 +27,11 @@ FROM r WHERE k = 1 GROUP BY label
 def entry_routing(spark, sf_dir):
     q = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("v"))
     c = centroids(q, "label", "v").select(F.col("label").alias("c_label"), "mu")
-    # one row for each label: as many as the taxonomy has categories
-    scored = q.crossJoin(F.broadcast(c)).select("vec_id", "label", "c_label", F.round(dot("v", "mu"), 9).alias("s"))
-    best = scored.groupBy("vec_id", "label").agg(F.max(F.struct("s", (-F.col("c_label")).alias("neg"))).alias("b"))
+    # one array of all labels' directions: as many as the taxonomy has categories
+    m = c.agg(F.collect_list(F.struct("c_label", "mu")).alias("m"))
+    score = lambda x: F.round(F.aggregate(F.zip_with(F.col("v"), x["mu"], lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y), 9)
+    best = F.array_max(F.transform("m", lambda x: F.struct(score(x).alias("s"), (-x["c_label"]).alias("neg"))))
+    best = q.crossJoin(F.broadcast(m)).select("label", best.alias("b"))
     hit = (F.col("label") == -F.col("b.neg")).cast("long")
     return best.groupBy("label").agg(
         F.count("*").alias("n"), F.sum(hit).alias("hits"), F.round(F.avg(hit.cast("double")), 6).alias("accuracy")

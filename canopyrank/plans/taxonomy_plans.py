@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,11 +168,28 @@ def set02(spark, sf):
 # vectors: leaves are (label, vec_id mod 2); there are as many as the taxonomy has, and the node table is broadcast
 
 
-def leaf_scores(spark, sf):
-    """vec_id, label, own, leaf, leaf_label, c: every query against every leaf's mean direction."""
+def _with_leaves(spark, sf) -> DataFrame:
+    """vec_id, label, own, v and, beside every query, the leaves as one array m (leaf, leaf_label, mu): the node table, as small as the taxonomy."""
     q = vectors(spark, sf)
     mu = centroids(q, "leaf", "v").select("leaf", F.expr("leaf div 2").alias("leaf_label"), "mu")
-    return q.withColumnRenamed("leaf", "own").crossJoin(F.broadcast(mu)).select("vec_id", "label", "own", "leaf", "leaf_label", F.round(dot("v", "mu"), 9).alias("c"))
+    one = mu.agg(F.array_sort(F.collect_list(F.struct("leaf", "leaf_label", "mu"))).alias("m"))
+    return q.withColumnRenamed("leaf", "own").crossJoin(F.broadcast(one))
+
+
+def _product(v: Column, mu: Column) -> Column:
+    return F.round(F.aggregate(F.zip_with(v, mu, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 9)
+
+
+def leaf_scores(spark, sf):
+    """vec_id, label, own, leaf, leaf_label, c: every query against every leaf's mean direction."""
+    scored = F.transform("m", lambda x: F.struct(x["leaf"].alias("leaf"), x["leaf_label"].alias("leaf_label"), _product(F.col("v"), x["mu"]).alias("c")))
+    return _with_leaves(spark, sf).select("vec_id", "label", "own", F.explode(scored).alias("x")).select("vec_id", "label", "own", "x.*")
+
+
+def leaves_in_order(spark, sf) -> DataFrame:
+    """vec_id, label, own, t: the leaves of each query from the closest on (k, leaf, leaf_label), sorted within its row; nothing is shuffled."""
+    scored = F.transform("m", lambda x: F.struct((-_product(F.col("v"), x["mu"])).alias("k"), x["leaf"].alias("leaf"), x["leaf_label"].alias("leaf_label")))
+    return _with_leaves(spark, sf).select("vec_id", "label", "own", F.array_sort(scored).alias("t"))
 
 
 def _lv(body):
@@ -182,8 +200,9 @@ _BEST = "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id
 
 
 def ranked(spark, sf, k: int):
-    w = W.partitionBy("vec_id").orderBy(F.desc("c"), "leaf")
-    return leaf_scores(spark, sf).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
+    """vec_id, label, own, leaf, leaf_label, c, k: the k closest leaves of each query."""
+    top = leaves_in_order(spark, sf).select("vec_id", "label", "own", F.posexplode(F.slice("t", 1, k)).alias("i", "x"))
+    return top.select("vec_id", "label", "own", "x.leaf", "x.leaf_label", (-F.col("x.k") + F.lit(0.0)).alias("c"), (F.col("i") + 1).alias("k"))
 
 
 @register("top03_nearest_centroids", _lv(f", {_BEST} SELECT count(*) FILTER (WHERE k = 1 AND leaf_label = label) AS top1, count(DISTINCT vec_id) FILTER (WHERE k <= 3 AND leaf_label = label) AS top3, count(DISTINCT vec_id) FILTER (WHERE k <= 5 AND leaf_label = label) AS top5, count(DISTINCT vec_id) FILTER (WHERE leaf_label = label) AS top10 FROM bs"))
@@ -200,7 +219,8 @@ def win06(spark, sf):
 
 @register("win07_first_correct_rank", _lv(", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, leaf) AS k FROM cosx) SELECT vec_id, min(k) AS first_correct FROM r WHERE leaf_label = label GROUP BY vec_id"))
 def win07(spark, sf):
-    return ranked(spark, sf, 1 << 30).filter("leaf_label = label").groupBy("vec_id").agg(F.min("k").cast("long").alias("first_correct"))
+    right = F.transform("t", lambda x: x["leaf_label"] == F.col("label"))
+    return leaves_in_order(spark, sf).select("vec_id", F.array_position(right, F.lit(True)).alias("first_correct")).filter("first_correct > 0")
 
 
 @register("top01_top_memberships", _lv(", w AS (SELECT vec_id, leaf, exp(10 * c) / sum(exp(10 * c)) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, leaf) AS k FROM cosx) SELECT vec_id, leaf, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS weight FROM w WHERE k <= 3"))
