@@ -62,7 +62,20 @@ class Tokens:
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
 
+    #: A point or comma that does not stand behind a letter at a chunk's end, in lower-case Latin-1.
+    within = re.compile(r"[.,](?![ \n\t\r]|\Z)|(?<![a-zß-öø-ÿ])[.,]")
+
     def chunks(self, text: str) -> list[str]:
+        """Stretches without white space; of plain texts in lower case, and with the mark that ends a sentence apart."""
+        try:
+            text.encode("latin-1")  # no letter of these is a combining mark, or becomes several in lower case
+        except UnicodeEncodeError:
+            pass
+        else:
+            if "<" not in text:  # as in _plain
+                text = text.lower()
+                if self.within.search(text) is None:
+                    text = text.replace(".", " . ").replace(",", " , ")
         if any(c in text for c in self.separators):
             return [c for c in re.split("[ \n\t\r]+", text) if c]
         return text.split()
@@ -72,14 +85,19 @@ class Tokens:
         if len(self.seen) > REMEMBER:
             self.seen.clear()
         seen = self.seen
-        new = set().union(*lists) - seen.keys()
+        new = [c for c in set().union(*lists) if c not in seen]
         # chunks that differ in A-Z, or in a point or comma behind a letter, share their ids
-        plain = {c: self._plain(c) for c in new}
-        learn = {k for k, _ in plain.values()} - seen.keys()
-        for part in (sorted(k for k in learn if k.isalpha()), sorted(k for k in learn if not k.isalpha())):
+        same, words, others = [], set(), set()
+        for c in new:
+            k, mark = self._plain(c)
+            if k is not c:
+                same.append((c, k, mark))
+            if k not in seen:
+                (words if k.isalpha() else others).add(k)
+        for learn, part in ((self._words, list(words)), (self._learn, list(others))):
             for at in range(0, len(part), 4096):
-                self._learn(part[at : at + 4096])
-        for c, (k, mark) in plain.items():
+                learn(part[at : at + 4096])
+        for c, k, mark in same:
             seen[c] = seen[k] + mark
         return [b"".join(map(seen.__getitem__, x)) for x in lists]
 
@@ -87,7 +105,7 @@ class Tokens:
         """A chunk with the same ids up to the mark's, which are given."""
         if "<" in chunk:  # it may be a special token's name, which has its case
             return chunk, b""
-        if chunk.isascii():
+        if chunk.isascii() and not chunk.islower():
             chunk = chunk.lower()
         if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalpha():
             # a letter that ends in a combining mark once normalised makes one token run of the mark and the point
@@ -95,23 +113,22 @@ class Tokens:
                 return chunk[:-1], self.marks[chunk[-1]]
         return chunk, b""
 
+    def _words(self, chunks: list[str]) -> None:
+        """Tokenize runs of letters in one call: each is one word to the tokenizer, and its last token alone ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(chunks):
+            return self._learn(chunks)
+        raw = ids.tobytes()
+        self.seen.update((c, raw[a:z]) for c, a, z in zip(chunks, [0, *ends], ends))
+
     def _learn(self, chunks: list[str]) -> None:
-        """Tokenize chunks joined by spaces in one call, and part the ids by word ends or by where tokens start."""
-        whole = " ".join(chunks)
-        if all(c.isalpha() for c in chunks):
-            # a run of letters is one word to the tokenizer, and its last token alone ends a word
-            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(chunks):
-                for c, a, z in zip(chunks, [0, *ends], ends):
-                    self.seen[c] = ids[a:z].tobytes()
-                return
-        e = self.tokenizer.encode(whole, add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
+        """Tokenize chunks joined by spaces in one call, and part the ids by where tokens start."""
+        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        raw = np.array(e.ids, dtype="<u4").tobytes()
         starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        at = np.searchsorted(np.array([a for a, _ in e.offsets], dtype=np.int64), starts)
-        for c, a, z in zip(chunks, at, at[1:]):
-            self.seen[c] = ids[a:z].tobytes()
+        at = (4 * np.searchsorted(np.array([a for a, _ in e.offsets], dtype=np.int64), starts)).tolist()
+        self.seen.update((c, raw[a:z]) for c, a, z in zip(chunks, at, at[1:]))
 
 
 def differencing(lengths: list[int], k: int) -> list[list[int]]:
