@@ -43,6 +43,8 @@ TERMS, SLOP = 3, 20
 BROADCAST_ROWS = 50_000
 #: Slots of the table of hashed terms for each term, and bounds of their number, one byte each.
 SLOTS_A_TERM, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
+#: Parts of a term's postings, as one term may make up most of them.
+POSTING_SALTS = 128
 TEXT = ["text_key", "n_words"]
 
 
@@ -135,7 +137,7 @@ def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     def posted(rows: DataFrame, terms: DataFrame, tag: str) -> DataFrame:
         """Dealt by term; a frequent term's list is spread by text and position."""
         every = rows.select(*TEXT, ascii_lower(F.col("w")).alias("term"), F.col("pos").cast("long").alias("pos")).join(terms, "term", "left_semi")
-        return materialise(every.repartition("term", F.pmod(F.xxhash64("text_key", "pos"), F.lit(16))).sortWithinPartitions("term", *TEXT, "pos"), tag)
+        return materialise(every.repartition("term", F.pmod(F.xxhash64("text_key", "pos"), F.lit(POSTING_SALTS))).sortWithinPartitions("term", *TEXT, "pos"), tag)
 
     texts = lambda c: scanned.filter(F.size(c) > 0).dropDuplicates(TEXT).select(*TEXT, F.explode(c).alias("x"))
     long = texts("runs").select(*TEXT, "x.at", F.posexplode("x.w").alias("i", "w")).withColumn("pos", F.col("at") + F.col("i"))
