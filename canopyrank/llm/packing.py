@@ -25,9 +25,9 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ END_ID = 1
 CUT = 512
 #: Pieces of a bucket, on average.
 BUCKET = 1024
-#: Distinct chunks remembered by a Python worker.
-REMEMBER = 600_000
+#: Distinct chunks remembered by a Python worker, and chunks that it learns with one call.
+REMEMBER, LEARN = 600_000, 16_384
 
 
 class Tokens:
@@ -89,14 +89,17 @@ class Tokens:
         # chunks that differ in A-Z, or in a point or comma behind a letter, share their ids
         same, words, others = [], set(), set()
         for c in new:
+            if c.isascii() and c.isalpha() and c.islower():  # as most are
+                words.add(c)
+                continue
             k, mark = self._plain(c)
             if k is not c:
                 same.append((c, k, mark))
             if k not in seen:
                 (words if k.isalpha() else others).add(k)
         for learn, part in ((self._words, list(words)), (self._learn, list(others))):
-            for at in range(0, len(part), 4096):
-                learn(part[at : at + 4096])
+            for at in range(0, len(part), LEARN):
+                learn(part[at : at + LEARN])
         for c, k, mark in same:
             seen[c] = seen[k] + mark
         return [b"".join(map(seen.__getitem__, x)) for x in lists]
@@ -155,8 +158,8 @@ def differencing(lengths: list[int], k: int) -> list[list[int]]:
         for j in range(take, len(lb)):
             loads[j - take] += lb[-1 - j]
             parts[j - take] = parts[j - take] + pb[-1 - j]
-        order = sorted(range(len(loads)), key=loads.__getitem__)
-        loads, parts = [loads[o] for o in order], [parts[o] for o in order]
+        both = sorted(zip(loads, parts), key=itemgetter(0))
+        loads, parts = [x for x, _ in both], [x for _, x in both]
         low = loads[0] if len(loads) == k else 0
         heapq.heappush(heap, (low - loads[-1], at, loads, parts))
         at += 1
@@ -195,16 +198,20 @@ def _pieces_of(path: str, capacity: int, cut: int) -> Callable:
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(_by_size(tokens, b.column("text"))):
-                ids += end
-                n = len(ids) // 4
+                n = len(ids) // 4 + 1
                 full = n // capacity * capacity
                 cuts = list(range(0, full, capacity))
                 rest = n - full
                 if rest:
                     parts = -(-rest // cut)
                     cuts += [full + rest * p // parts for p in range(parts)]
-                for a, z in zip(cuts, [*cuts[1:], n]):
-                    row.append(i), start.append(a), length.append(z - a), crc.append(zlib.crc32(ids[4 * a : 4 * z])), total.append(n)
+                ends, view = [*cuts[1:], n], memoryview(ids)
+                row += [i] * len(cuts)
+                start += cuts
+                length += [z - a for a, z in zip(cuts, ends)]
+                total += [n] * len(cuts)
+                crc += [zlib.crc32(view[4 * a : 4 * z]) for a, z in zip(cuts, ends)]
+                crc[-1] = zlib.crc32(end, crc[-1])  # the end id stands behind the text's
             ids_ = b.column("doc_id").take(pa.array(row, pa.int64()))
             cols = [ids_, *(pa.array(v, pa.int64()) for v in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
