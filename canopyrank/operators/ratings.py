@@ -100,6 +100,15 @@ def rate_log(rows: Iterator[tuple], state: dict[str, tuple[float, float]] | None
     return state
 
 
+def with_anchor(matches: DataFrame) -> DataFrame:
+    """domain, ts, event_id, a, b, outcome, conf: each match, and once more for the domain global with a share of its confidence."""
+    conf = F.col("conf") if "conf" in matches.columns else F.lit(1.0)
+    one = lambda d, c: F.struct(d.alias("domain"), c.alias("conf"))
+    own, anchor = one(F.col("domain"), conf), one(F.lit("global"), conf * GLOBAL_SHARE)
+    rows = matches.select("ts", "event_id", "a", "b", (F.col("wa") - F.col("wb")).alias("outcome"), F.explode(F.when(F.col("domain") == "global", F.array(own)).otherwise(F.array(own, anchor))).alias("x"))
+    return rows.select("x.domain", "ts", "event_id", "a", "b", "outcome", "x.conf")
+
+
 def ratings(matches: DataFrame) -> DataFrame:
     """Ratings by domain after all matches in order of (ts, event_id): domain, agent, mu, sigma, ordinal.
 
@@ -107,10 +116,6 @@ def ratings(matches: DataFrame) -> DataFrame:
     global, with GLOBAL_SHARE of its confidence. The update depends on order, so one task goes through a domain's
     log, but batch by batch: it holds the ratings of one domain and no log.
     """
-    conf = F.col("conf") if "conf" in matches.columns else F.lit(1.0)
-    own = matches.select("domain", "ts", "event_id", "a", "b", (F.col("wa") - F.col("wb")).alias("outcome"), conf.alias("conf"))
-    anchor = own.filter("domain <> 'global'").withColumns({"domain": F.lit("global"), "conf": F.col("conf") * GLOBAL_SHARE})
-
     def rows(domain, state):
         return pd.DataFrame([(domain, k, *state[k]) for k in sorted(state)], columns=["domain", "agent", "mu", "sigma"])
 
@@ -126,7 +131,7 @@ def ratings(matches: DataFrame) -> DataFrame:
         if state:
             yield rows(domain, state)
 
-    log = own.unionByName(anchor).repartition("domain").sortWithinPartitions("domain", "ts", "event_id")
+    log = with_anchor(matches).repartition("domain").sortWithinPartitions("domain", "ts", "event_id")
     got = log.mapInPandas(run, "domain string, agent string, mu double, sigma double")
     return got.withColumn("ordinal", F.col("mu") - 2 * F.col("sigma"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from canopyrank.operators.ratings import rate_log
+from canopyrank.operators.ratings import rate_log, with_anchor
 
 RATING_SCHEMA = "domain string, agent string, mu double, sigma double"
 
@@ -35,15 +35,15 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     agents, mu, sigma = state.get if state.exists else ([], [], [])
     known = dict(zip(agents, zip(mu, sigma)))
     rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    known = rate_log(zip(rows["a"], rows["b"], rows["wa"] - rows["wb"]), known)
+    known = rate_log(zip(rows["a"], rows["b"], rows["outcome"], rows["conf"]), known)
     names = sorted(known)
     state.update((names, [float(known[a][0]) for a in names], [float(known[a][1]) for a in names]))
     yield pd.DataFrame({"domain": key[0], "agent": names, "mu": [known[a][0] for a in names], "sigma": [known[a][1] for a in names]})
 
 
 def online_ratings(stream: DataFrame) -> DataFrame:
-    """Ratings by domain after each micro-batch; the state holds a domain's agents alone."""
-    return stream.groupBy("domain").applyInPandasWithState(
+    """Ratings by domain, and in the domain global, after each micro-batch; the state holds a domain's agents alone."""
+    return with_anchor(stream).groupBy("domain").applyInPandasWithState(
         _update, RATING_SCHEMA, "agents array<string>, mu array<double>, sigma array<double>", "update", GroupStateTimeout.NoTimeout
     )
 

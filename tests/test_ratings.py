@@ -62,7 +62,7 @@ def test_confidence_moves_a_share_of_the_way_and_the_global_domain_less(spark):
 
 
 def test_letters_as_the_arena_reads_them(spark):
-    cases = {"The correct option is b": "B", "(B) because A is wrong": "B", "**c** it is A": "C", "answer: d!": "D", "answer is unclear, so I": "I", "nothing here": "?", "take E or F": "F", "": "?"}
+    cases = {"The correct option is b": "B", "(B) because A is wrong": "B", "c. it is A": "C", "**c** it is A": "A", "answer: d!": "D", "answer is unclear, so I": "I", "nothing here": "?", "take E or F": "F", "": "?"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.l for r in df.select("t", scalars.answer_letter(F.col("t")).alias("l")).collect()} == cases
 

@@ -1,5 +1,7 @@
 """Streams over files give what the batch gives."""
 
+from pyspark.sql import functions as F
+
 from canopyrank.operators.ratings import ratings
 from canopyrank.plans.evaluation import pair_stats
 from canopyrank.streaming import online
@@ -39,3 +41,18 @@ def test_ratings(spark, tmp_path):
     want = {(r.domain, r.agent): (round(r.mu, 6), round(r.sigma, 6)) for r in ratings(df).collect()}
     assert set(last) == set(want)
     assert last == want
+
+
+def test_repeated_matches_are_dropped(spark, tmp_path):
+    df, _ = log(spark, tmp_path)
+    df.filter("event_id < 10").coalesce(1).write.mode("append").parquet(str(tmp_path / "log" / "again"))
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    got = drain(online.distinct_matches(stream, "10 days"), "once", "append")
+    assert sorted(r.event_id for r in got.collect()) == list(range(60))
+
+
+def test_volume_by_window(spark, tmp_path):
+    df, stream = log(spark, tmp_path)
+    got = drain(online.windowed_volume(stream), "volume", "complete")
+    want = df.groupBy(F.date_trunc("day", "ts").alias("start"), "domain").count().collect()
+    assert sorted((r.start, r.domain, r.n) for r in got.collect()) == sorted((r.start, r.domain, r["count"]) for r in want)
