@@ -122,17 +122,17 @@ def agg12(spark, sf):
     return verdicts(spark, sf).groupBy("category", "a", "b").agg(part("A").alias("wins_a"), part("B").alias("wins_b"), part("TIE").alias("ties"))
 
 
-@register("agg13_pair_report", _sql(f"SELECT a, b, count(*) AS n, count(*) FILTER (WHERE verdict = 'A' AND conf >= 0.6) AS judge_a, count(*) FILTER (WHERE verdict = 'B' AND conf >= 0.6) AS judge_b, count(*) FILTER (WHERE ca AND NOT cb) AS acc_a, count(*) FILTER (WHERE cb AND NOT ca) AS acc_b, round(avg(CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement, round(avg(conf), 6) AS mean_conf, count(*) < 20 AS exhausted FROM vd GROUP BY a, b", EVAL + _BOTH))
+@register("agg13_pair_report", _sql(f"SELECT a, b, count(*) AS n, count(*) FILTER (WHERE verdict = 'A' AND conf >= 0.6) AS judge_a, count(*) FILTER (WHERE verdict = 'B' AND conf >= 0.6) AS judge_b, count(*) FILTER (WHERE ca AND NOT cb) AS acc_a, count(*) FILTER (WHERE cb AND NOT ca) AS acc_b, round(avg(CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement, round(round(avg(conf), 9), 6) AS mean_conf, count(*) < 20 AS exhausted FROM vd GROUP BY a, b", EVAL + _BOTH))
 def agg13(spark, sf):
     sure, v = F.col("conf") >= 0.6, F.col("verdict")
     return verdicts(spark, sf).groupBy("a", "b").agg(
         F.count("*").alias("n"), _int((v == "A") & sure).alias("judge_a"), _int((v == "B") & sure).alias("judge_b"), _int(F.col("ca") & ~F.col("cb")).alias("acc_a"),
-        _int(F.col("cb") & ~F.col("ca")).alias("acc_b"), r6(F.avg(agree().cast("int").cast("double"))).alias("agreement"), r6(F.avg("conf")).alias("mean_conf"), (F.count("*") < 20).alias("exhausted"))
+        _int(F.col("cb") & ~F.col("ca")).alias("acc_b"), r6(F.avg(agree().cast("int").cast("double"))).alias("agreement"), r6(F.round(F.avg("conf"), 9)).alias("mean_conf"), (F.count("*") < 20).alias("exhausted"))
 
 
-@register("agg14_category_report", _sql(f"SELECT category, count(*) AS n, count(DISTINCT question_id) AS questions, round(avg(CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement, round(avg(conf), 6) AS mean_conf FROM vd GROUP BY category ORDER BY n DESC, category", EVAL + _BOTH))
+@register("agg14_category_report", _sql(f"SELECT category, count(*) AS n, count(DISTINCT question_id) AS questions, round(avg(CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement, round(round(avg(conf), 9), 6) AS mean_conf FROM vd GROUP BY category ORDER BY n DESC, category", EVAL + _BOTH))
 def agg14(spark, sf):
-    return verdicts(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("questions"), r6(F.avg(agree().cast("int").cast("double"))).alias("agreement"), r6(F.avg("conf")).alias("mean_conf")).orderBy(F.desc("n"), "category")
+    return verdicts(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("questions"), r6(F.avg(agree().cast("int").cast("double"))).alias("agreement"), r6(F.round(F.avg("conf"), 9)).alias("mean_conf")).orderBy(F.desc("n"), "category")
 
 
 @register("agg15_coverage", _sql(f"SELECT (SELECT count(DISTINCT question_id) FROM vd) AS covered, (SELECT count(*) FROM part) AS questions, round((SELECT count(DISTINCT question_id) FROM vd) / (SELECT count(*) FROM part)::DOUBLE, 6) AS coverage, (SELECT round(avg(CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) FROM vd) AS agreement", EVAL + _BOTH))
