@@ -62,8 +62,9 @@ class Tokens:
         self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
 
-    #: A point or comma that does not stand behind a letter at a chunk's end, in lower-case Latin-1.
-    within = re.compile(r"[.,](?![ \n\t\r]|\Z)|(?<![a-zß-öø-ÿ])[.,]")
+    #: A point or comma that does not stand behind a letter at a chunk's end, in lower-case Latin-1. It starts with the
+    #: marks themselves, so that the search skips all else quickly.
+    within = re.compile(r"[.,](?:(?![ \n\t\r]|\Z)|(?<![a-zß-öø-ÿ][.,]))")
 
     def chunks(self, text: str) -> list[str]:
         """Stretches without white space; of plain texts in lower case, and with the mark that ends a sentence apart."""
@@ -85,7 +86,7 @@ class Tokens:
         if len(self.seen) > REMEMBER:
             self.seen.clear()
         seen = self.seen
-        new = [c for c in set().union(*lists) if c not in seen]
+        new = set().union(*lists).difference(seen)
         # chunks that differ in A-Z, or in a point or comma behind a letter, share their ids
         same, words, others = [], set(), set()
         for c in new:
