@@ -57,6 +57,26 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return reach.join(back, ["node", "anc"]).groupBy("node").agg(F.min("anc").alias("scc"))
 
 
+def component_order(edges: DataFrame) -> DataFrame:
+    """Strong components in topological order: node, scc, level (edges on the longest way from a component that none leads to).
+
+    Components that no other of the rest leads to are taken off, one level at a time, so a level holds what could stand
+    side by side in the order. Between components there are no circles, so none is left over.
+    """
+    scc = materialise(strongly_connected(edges), "components")
+    side = lambda c: scc.select(F.col("node").alias(c), F.col("scc").alias(c + "s"))
+    between = edges.select("p", "c").join(side("p"), "p").join(side("c"), "c").filter("ps <> cs")
+    rest, e = scc.select("scc").distinct(), materialise(between.select(F.col("ps").alias("p"), F.col("cs").alias("c")).distinct(), "between")
+    order, level = None, 0
+    while True:
+        free = materialise(rest.join(e.select(F.col("c").alias("scc")), "scc", "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
+        order = free if order is None else order.union(free)
+        rest = materialise(rest.join(free, "scc", "left_anti"), "rest")
+        if rest.isEmpty():
+            return scc.join(order, "scc").select("node", "scc", "level")
+        e, level = materialise(e.join(free.select(F.col("scc").alias("p")), "p", "left_anti"), "between"), level + 1
+
+
 def chains(edges: DataFrame, least: int) -> DataFrame:
     """Runs of at least so many nodes with a single child each: head (a node that no other of the run leads to), length."""
     e = edges.select("p", "c").distinct()

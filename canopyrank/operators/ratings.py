@@ -57,6 +57,20 @@ def fit_pairs(stats: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     return stats.groupBy(key).applyInPandas(run, f"{key} {dict(stats.dtypes)[key]}, model string, score double, se double")
 
 
+def convergence_debt(stats: DataFrame, key: str, budget: int) -> DataFrame:
+    """For every key: pairs of its models, and debt, those of them that still need matches.
+
+    A pair that has used its budget needs none; one met less than twice does; any other while its scores differ by less
+    than three times the sum of their standard errors. stats has one row for a pair, a < b, with its number of matches n.
+    """
+    fit = fit_pairs(stats, key).select(key, "model", "score", "se")
+    side = lambda m, s, e: fit.select(key, F.col("model").alias(m), F.col("score").alias(s), F.col("se").alias(e))
+    pairs = side("a", "sa", "ea").join(side("b", "sb", "eb"), key).filter("a < b").join(stats.select(key, "a", "b", "n"), [key, "a", "b"], "left")
+    n = F.coalesce("n", F.lit(0))
+    near = F.abs(F.col("sa") - F.col("sb")) < 3 * (F.col("ea") + F.col("eb"))
+    return pairs.groupBy(key).agg(F.count("*").alias("pairs"), F.count_if((n < budget) & ((n < 2) | near)).alias("debt"))
+
+
 def _phi(x: float) -> float:
     return float(np.exp(-x * x / 2) / np.sqrt(2 * np.pi))
 

@@ -37,6 +37,26 @@ def rat07(spark, sf):
     return scc.join(F.broadcast(rank), "scc").select(F.col("node").alias("model"), "scc", "rank")
 
 
+@register("grf14_component_order", f"""WITH RECURSIVE {_DOM}, v AS (SELECT p AS m FROM dom UNION SELECT c FROM dom),
+ sc AS (SELECT m, least(m, coalesce(min(r.y), m)) AS scc FROM v LEFT JOIN (SELECT a.x, a.y FROM rc a JOIN rc b ON a.x = b.y AND a.y = b.x) r ON r.x = m GROUP BY m),
+ ce AS (SELECT DISTINCT s.scc AS p, t.scc AS c FROM dom JOIN sc s ON s.m = dom.p JOIN sc t ON t.m = dom.c WHERE s.scc <> t.scc),
+ lv AS (SELECT DISTINCT scc, 0 AS level FROM sc UNION SELECT ce.c, level + 1 FROM lv JOIN ce ON ce.p = lv.scc),
+ top AS (SELECT scc, max(level) AS level FROM lv GROUP BY scc)
+ SELECT m AS model, scc, CAST(level AS BIGINT) AS level, dense_rank() OVER (ORDER BY level, scc) AS place FROM sc JOIN top USING (scc)""")
+def grf14(spark, sf):
+    """Groups of models that beat each other in a circle, winners first; of groups on one level the smallest name first."""
+    order = G.component_order(dominance(spark, sf))
+    # one row a model
+    place = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("level", "scc")).cast("long")
+    return order.select(F.col("node").alias("model"), "scc", "level", place.alias("place"))
+
+
+@register("rat15_convergence_debt")
+def rat15(spark, sf):
+    """Pairs of each domain that still need matches."""
+    return R.convergence_debt(pair_stats(matches(spark, sf)), "domain", BUDGET)
+
+
 @register("rat10_racing", f"""WITH {MATCH}, sc AS (SELECT domain, m, sum(p) AS s FROM (SELECT domain, a AS m, (wins_a + ties / 2) / n AS p FROM ps UNION ALL SELECT domain, b, 1 - (wins_a + ties / 2) / n FROM ps) GROUP BY ALL),
  rk AS (SELECT domain, m, row_number() OVER (PARTITION BY domain ORDER BY round(s, 9) DESC, m) AS r, count(*) OVER (PARTITION BY domain) AS k FROM sc),
  aj AS (SELECT x.domain, x.m AS hi, y.m AS lo, coalesce(p.n, 0) AS n, abs((wins_a + ties / 2) / p.n - 0.5) AS gap, sqrt(ln(2 * (x.k * (x.k - 1) / 2) * {BUDGET} / 0.05::DOUBLE) / (2 * p.n)) AS eps FROM rk x JOIN rk y ON y.domain = x.domain AND y.r = x.r + 1 LEFT JOIN ps p ON p.domain = x.domain AND p.a = least(x.m, y.m) AND p.b = greatest(x.m, y.m))
