@@ -188,8 +188,8 @@ def strip_fence(c: Column) -> Column:
 
 
 def repair_escapes(c: Column) -> Column:
-    """Backslashes that begin no JSON escape are doubled."""
-    return F.regexp_replace(c, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    """Backslashes that begin no JSON escape are doubled; of a run of them only the last can, as the others pair up."""
+    return F.regexp_replace(c, r'(?<!\\)((?:\\\\)*+)\\(?!["\\/bfnrt]|u[0-9A-Fa-f]{4})', r"$1\\\\")
 
 
 def judge_json(c: Column) -> Column:

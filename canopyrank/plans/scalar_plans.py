@@ -204,6 +204,22 @@ def fn18(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.bracket_verdict(whole).alias("winner"))
 
 
+# escapes, whole and broken, before, behind or around the texts of the table
+_ESCAPE_TEXT = r"""(SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN t || ' \alpha' WHEN 1 THEN '\\alpha \\\beta' || t WHEN 2 THEN '\u00e9 \u12 ' || t || '\' WHEN 3 THEN '\"\n' || t || '\\' WHEN 4 THEN '\/\q\u00E' || t ELSE t END AS t
+ FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))"""
+
+
+@register("fn19_escape_repair", rf"""SELECT conv_id, turn, md5(replace(replace(replace(regexp_replace(replace(t, '\\', chr(2)), '\\(["/bfnrt]|u[0-9A-Fa-f]{{4}})', chr(1) || '\1', 'g'), '\', '\\'), chr(1), '\'), chr(2), '\\')) AS h FROM {_ESCAPE_TEXT}""")
+def fn19(spark, sf):
+    t, n = F.coalesce("text", F.lit("")), F.col("turn") % 6
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    whole = (
+        F.when(n == 0, c(t, " \\alpha")).when(n == 1, c("\\\\alpha \\\\\\beta", t)).when(n == 2, c("\\u00e9 \\u12 ", t, "\\"))
+        .when(n == 3, c('\\"\\n', t, "\\\\")).when(n == 4, c("\\/\\q\\u00E", t)).otherwise(t)
+    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(S.repair_escapes(whole)).alias("h"))
+
+
 @register("fn20_judge_json", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Model A' WHEN 1 THEN 'TIE' ELSE 'Model B' END AS winner, CASE turn % 3 WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM conversations")
 def fn20(spark, sf):
     t = F.when(F.col("turn") % 3 == 0, '```json\n{"winner": "model a", "confidence": 0.75, "why": "\\alpha"}\n```').when(F.col("turn") % 3 == 1, 'Sure: {"winner": "draw"} ok').otherwise('broken "winner": "B", "confidence": 3')
