@@ -69,4 +69,35 @@ SELECT conv_id, turn, turn AS place, 0 AS depth, coalesce(role, '') AS role, CAS
 FROM conversations
 """
 
-SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3, "op4_chat": OP4}
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+ l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * len(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS m FROM w LEFT JOIN l USING (doc_id)),
+ c AS (SELECT part, m, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+ o AS (SELECT '' AS o UNION ALL SELECT o || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)),
+ st AS (SELECT o AS filter_order, k AS step, CAST(pow(2, instr('ABCDE', o[k]) - 1) AS INTEGER) AS bit,
+  CAST(list_sum(list_transform(range(1, k), lambda i: pow(2, instr('ABCDE', o[i]) - 1))) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE len(o) = 5),
+ r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN m & (coalesce(before, 0) + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & coalesce(before, 0) = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN m & coalesce(before, 0) <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN m & coalesce(before, 0) = 0 AND m & bit <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN m & coalesce(before, 0) = 0 AND m & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, st GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
+OP13 = """
+WITH q AS (SELECT sale_id, client_id, CAST(floor(epoch(sold_at) / 900) * 900 AS BIGINT) AS b, CAST(coalesce(floor(100 * total + 0.5), 0) AS BIGINT) AS c FROM sales WHERE sold_at IS NOT NULL),
+ l AS (SELECT sale_id, CAST(floor(epoch(max(shipped_at)) / 900) * 900 AS BIGINT) AS e FROM sale_lines GROUP BY sale_id),
+ h AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
+ o AS (SELECT coalesce(nation_id, -1) AS nation_id, b, e, c FROM q LEFT JOIN l USING (sale_id) LEFT JOIN h USING (client_id) WHERE e IS NULL OR e > b),
+ a AS (SELECT * FROM o UNION ALL SELECT -2, b, e, c FROM o),
+ x AS (SELECT nation_id, b AS from_s, 1 AS dn, c AS dc FROM a UNION ALL SELECT nation_id, e, -1, -c FROM a WHERE e IS NOT NULL),
+ g AS (SELECT nation_id, from_s, sum(dn) AS dn, sum(dc) AS dc FROM x GROUP BY ALL HAVING sum(dn) <> 0 OR sum(dc) <> 0),
+ r AS (SELECT nation_id, from_s, lead(from_s) OVER w AS to_s, sum(dn) OVER w AS n_open, sum(dc) OVER w AS open_cents FROM g WINDOW w AS (PARTITION BY nation_id ORDER BY from_s))
+SELECT CAST(nation_id AS INTEGER) AS nation_id, from_s, to_s, CAST(n_open AS BIGINT) AS n_open, CAST(open_cents AS BIGINT) AS open_cents,
+ CAST(max(n_open) OVER (PARTITION BY nation_id ORDER BY from_s) AS BIGINT) AS high_open, n_open = max(n_open) OVER (PARTITION BY nation_id) AS is_peak FROM r
+"""
+
+SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3, "op4_chat": OP4, "op11_filter_audit": OP11, "op13_concurrency": OP13}

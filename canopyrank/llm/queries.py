@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopyrank.llm import attribution, chat, decontaminate, langid, packing, quality, secrets_scan, simhash, toxicity, urls
+from canopyrank.llm import attribution, chat, concurrency, decontaminate, filter_audit, langid, packing, quality, secrets_scan, simhash, toxicity, urls, vector_dedup
 
 QUERIES = {
     "op1_token_counts": attribution.op1,
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_packing": packing.op9,
     "op10_language": langid.op10,
+    "op11_filter_audit": filter_audit.op11,
+    "op12_vector_dedup": vector_dedup.op12,
+    "op13_concurrency": concurrency.op13,
 }
