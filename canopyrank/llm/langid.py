@@ -11,7 +11,7 @@ Most texts are in one language, and for these the best path is known without a
 search: where no stretch of words gains more than a switch costs by leaving
 the leading language, the path that never leaves it is optimal.
 
-Defined cases. Null, empty and letterless texts are und with score 0. A text
+Defined cases. Null, empty and letterless texts are und with score 0; numerals of any kind are no letters. A text
 whose words give no evidence for any candidate gets the commonest language of
 training, with score 0. Where one language alone was learnt, the score is the
 share of letters in its scripts. Without training rows every text is und. Ties go to the language
@@ -45,7 +45,10 @@ CLIP = 8.0
 #: Languages that use a script for less than this share of its training words are no candidates for it.
 SCRIPT_SHARE = 0.001
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count for \w and are neither letters nor decimal digits: fractions, superscripts, Roman and circled numerals.
+_NUMERALS = "".join(x for x in map(chr, range(0x110000)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
+#: Stretches of letters, and a quick pattern that takes such numerals for letters too.
+LETTERS, _QUICK = re.compile(rf"[^\W\d_{_NUMERALS}]+"), re.compile(r"[^\W\d_]+")
 # First code points of script ranges, each up to the next.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -67,6 +70,12 @@ def script(word: str) -> str:
     return max(c, key=c.__getitem__)
 
 
+def words_of(text: str) -> list[str]:
+    """The stretches of letters."""
+    found = _QUICK.findall(text)
+    return found if all(map(str.isalpha, found)) else LETTERS.findall(text)
+
+
 def grams(word: str) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + 3] for i in range(len(w) - 2)]
@@ -112,7 +121,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     use: dict[str, np.ndarray] = {}
     docs = Counter(labels)
     for t, label in zip(texts, labels):
-        word[languages.index(label)].update(LETTERS.findall((t or "").lower()))
+        word[languages.index(label)].update(words_of((t or "").lower()))
     for k, c in enumerate(word):
         for w, m in c.items():
             use.setdefault(script(w), np.zeros(n))[k] += m
@@ -193,7 +202,7 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float]:
         """The language that labels most letters, and how sure: its share of letters times its evidence's."""
-        words = LETTERS.findall(text.lower()) if text else []
+        words = words_of(text.lower()) if text else []
         m = self.model
         if not words or not m.languages:
             return UND, 0.0

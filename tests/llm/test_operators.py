@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -450,6 +451,14 @@ def test_language_of_spans_and_letterless_texts(spark, docs):
     of = langid.Labeller(m, penalty=4.0)
     assert of.label(en)[0] == "en" and of.label(de)[0] == "de" and of.label("12 ?!") == ("und", 0.0) and of.label(None)[0] == "und"
     assert [x[2] for x in of.spans(en * 3 + de * 3)] == ["en", "de"]
+    # no code point but a letter is one: numerals, marks, signs and the rest alone have no language and are never in a span
+    others = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] not in "LC"]
+    assert len(others) > 10_000 and all(of.label(c) == ("und", 0.0) and of.spans(c) == [] for c in others)
+    assert of.label("".join(c for c in others if unicodedata.category(c)[0] in "NM") + "½² ⅧⅧ ①②") == ("und", 0.0)
+    assert of.label("½the²and①the")[0] == "en" and [x[:2] for x in of.spans("½the²and①")] == [(1, 8)]
+    numerals = spark.createDataFrame([(1, "½ ² ³", None, "s"), (2, "Ⅷ ①②", None, "s"), (3, en, None, "s")], "doc_id long, text string, lang string, source string")
+    assert [(r.lang_pred, r.score > 0) for r in langid.identify(numerals, m).orderBy("doc_id").collect()] == [("und", False), ("und", False), ("en", True)]
+    assert [(r.doc_id, r.lang) for r in langid.accept(numerals, m, lang_col="lang").collect()] == [(3, "en")]
     got = langid.identify(docs, m).collect()
     assert {r.lang_pred for r in got if r.doc_id in (0, 1, 2, 3)} == {"und"} and len(got) == docs.count()
     assert langid.accept(docs, m).count() == sum(r.lang_pred != "und" for r in got)
