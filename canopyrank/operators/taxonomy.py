@@ -1,80 +1,30 @@
-"""Taxonomy construction: directional fits, mixtures, beam routing and the loop that evolves the tree.
+"""Taxonomy construction: bootstrap, and the loop that evolves the tree by proposals.
 
 Queries are rows of a DataFrame (vec_id, category, v); the topology is a small
-table of nodes, kept as plain values on the driver and broadcast for routing.
-A proposal is a new topology: accepted ones take the old one's place.
+table of nodes, kept as plain values on the driver. A proposal is a new
+topology: accepted ones take the old one's place.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyrank.functions.vectors import dot, sums
-
-#: Members of a node up to which one task holds them all: 16 MB at 64 dimensions.
-HELD = 1 << 15
-
-
-@dataclass(frozen=True)
-class Node:
-    name: str
-    parent: str | None
-    depth: int
-    mu: tuple[float, ...] = ()
-    kappa: float = 1e-3
-
-
-@dataclass(frozen=True)
-class Settings:
-    epsilon: float = 0.04
-    least: int = 20
-    most_children: int = 4
-    max_depth: int = 12
-    rounds: int = 10
-    margin: float = 0.1
-    path_floor: float = 1e-4
-    share_floor: float = 0.05
-    assignments: int = 3
-    quiet_rounds: int = 2
-    seed: int = 42
-
-
-@dataclass
-class Taxonomy:
-    nodes: dict[str, Node] = field(default_factory=dict)
-
-    def children(self, name: str | None) -> list[Node]:
-        return sorted((n for n in self.nodes.values() if n.parent == name), key=lambda n: n.name)
-
-    def leaves(self) -> list[str]:
-        inner = {n.parent for n in self.nodes.values()}
-        return sorted(k for k in self.nodes if k not in inner)
-
-
-def kappa_of(r: float, n: float, d: int) -> float:
-    """Concentration for a mean resultant length, with Newton steps, shrinkage and bounds."""
-    r = min(max(r, 1e-9), 1 - 1e-9)
-    k = r * (d - r * r) / (1 - r * r)
-    for _ in range(5):
-        nu = d / 2 - 1
-        a = k / (nu + 0.5 + np.sqrt((nu + 1.5) ** 2 + k * k))
-        k = max(1e-3, k - (a - r) / max(1 - a * a - (d - 1) / k * a, 1e-9))
-    return float(min(1e4, max(1e-3, k * (n - 1) / (n + d - 2)))) if n > 1 else 1e-3
+from canopyrank.operators import proposals
+from canopyrank.operators.mixtures import fit_of, kappa_of  # noqa: F401
+from canopyrank.operators.proposals import HELD
+from canopyrank.operators.routing import residual_hits, route, walk  # noqa: F401
+from canopyrank.operators.topology import Node, Settings, Taxonomy
+from canopyrank.storage import discard, materialise
 
 
 def fit(members: DataFrame, key: str = "node") -> dict[str, tuple[int, np.ndarray, float]]:
     """n, mean direction and concentration of every node, from component sums; as many rows as there are nodes reach the driver."""
     out = {}
     for r in sums(members, key, "v", F.col("weight") if "weight" in members.columns else None).collect():
-        total = np.array(r["total"])
-        size = float(np.linalg.norm(total))
-        mu = total / size if size > 0 else np.eye(1, len(total))[0]
-        out[r[key]] = (int(r["n"]), mu, kappa_of(size / max(r["n"], 1e-12), r["n"], len(total)))
+        out[r[key]] = (int(r["n"]), *fit_of(r["n"], np.array(r["total"])))
     return out
 
 
@@ -90,211 +40,52 @@ def separation(members: DataFrame, key: str = "node") -> float:
     return float(1 - r["w"] / expected) if expected > 1e-10 else 0.0
 
 
-def shares(x: np.ndarray, mu: np.ndarray, kappa: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Responsibilities of the parts for every row, and the log-likelihood."""
-    nu = x.shape[1] / 2 - 1
-    z = kappa / nu
-    root = np.sqrt(1 + z * z)
-    log_c = nu * np.log(kappa) - (nu + 1) * np.log(2 * np.pi) - (nu * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * np.pi * nu * root))
-    logp = np.log(weight) + log_c + kappa * (x @ mu.T)
-    top = logp.max(axis=1, keepdims=True)
-    p = np.exp(logp - top)
-    ll = float((top[:, 0] + np.log(p.sum(axis=1))).sum())
-    return p / p.sum(axis=1, keepdims=True), ll
-
-
-class Held:
-    """A node's members as one array, in order of their ids."""
-
-    def __init__(self, x: np.ndarray):
-        self.x, (self.n, self.d), self.whole = x, x.shape, x.sum(axis=0)
-
-    def farthest(self, mu: np.ndarray) -> np.ndarray:
-        return self.x[np.argmin((self.x @ mu.T).max(axis=1))]
-
-    def soft(self, parts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
-        p, ll = shares(self.x, *parts)
-        return ll, p.sum(axis=0), p.T @ self.x
-
-    def hard(self, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        best = shares(self.x, *parts)[0].argmax(axis=1)
-        k = len(parts[0])
-        return np.bincount(best, minlength=k), np.stack([self.x[best == j].sum(axis=0) for j in range(k)])
-
-
-class Spread:
-    """A node's members as a DataFrame (vec_id, v): what Held gives, from a row of sums for each partition."""
-
-    def __init__(self, members: DataFrame):
-        self.members = members.select("vec_id", "v")
-        got = self._sums(lambda h: np.concatenate([[h.n], h.whole]))
-        self.n, self.whole = int(got[0]), got[1:]
-        self.d = len(self.whole)
-
-    def _rows(self, one) -> list:
-        """one(ids, rows) of every batch, a list of numbers each; with the batch's ids in order."""
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    pdf = pdf.sort_values("vec_id")
-                    yield pd.DataFrame({"r": [one(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()))]})
-
-        return [np.array(r["r"]) for r in self.members.mapInPandas(run, "r array<double>").collect()]
-
-    def _sums(self, one) -> np.ndarray:
-        return np.sum(self._rows(lambda ids, x: one(Held(x))), axis=0)
-
-    def farthest(self, mu: np.ndarray) -> np.ndarray:
-        def one(ids, x):
-            c = (x @ mu.T).max(axis=1)
-            return np.concatenate([[c.min()], x[np.argmin(c)]])
-
-        return min(self._rows(one), key=tuple)[1:]
-
-    def soft(self, parts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
-        def one(h):
-            ll, soft, total = h.soft(parts)
-            return np.concatenate([[ll], soft, total.ravel()])
-
-        got, k = self._sums(one), len(parts[0])
-        return float(got[0]), got[1 : k + 1], got[k + 1 :].reshape(k, -1)
-
-    def hard(self, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        got, k = self._sums(lambda h: np.concatenate([h.hard(parts)[0], h.hard(parts)[1].ravel()])), len(parts[0])
-        return got[:k].astype(int), got[k:].reshape(k, -1)
-
-
-def mixture(x: Held | Spread, k: int, rounds: int = 150) -> tuple | None:
-    """Directions, concentrations and weights of a k-part directional mixture, started from the centroid's farthest points; None if a part dies."""
-    n, d = x.n, x.d
-    mu = x.farthest(x.whole[None] / n)[None]
-    while len(mu) < k:
-        mu = np.vstack([mu, x.farthest(mu)])
-    parts, last, idle = (mu, np.full(k, 10.0), np.full(k, 1 / k)), -np.inf, 0
-    for i in range(rounds):
-        ll, soft, total = x.soft(parts)
-        if soft.min() < 0.01 * n:
-            return None
-        idle = idle + 1 if ll <= last else 0
-        if abs(ll - last) / n < 1e-5 or idle >= 10 or i == rounds - 1:
-            break
-        last, size = ll, np.linalg.norm(total, axis=1)
-        parts = (total / np.maximum(size, 1e-12)[:, None], np.array([kappa_of(a / m, m, d) for a, m in zip(size, soft)]), soft / n)
-    return parts
-
-
-def split(x: Held | Spread, s: Settings) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sizes and sums of the parts of the best mixture that separates by epsilon at least."""
-    best, out, n = 0.0, None, x.n
-    for k in range(2, s.most_children + 1):
-        if n < k * s.least or (parts := mixture(x, k)) is None:
-            break
-        size, total = x.hard(parts)
-        if size.min() < s.least:
-            break
-        within = (size**2 - (total**2).sum(axis=1)).sum()
-        expected = (n * n - x.whole @ x.whole) * (size * (size - 1)).sum() / (n * (n - 1))
-        sep = 1 - within / expected if expected > 1e-10 else 0.0
-        if sep < best + s.epsilon:
-            break
-        best, out = sep, (size, total)
-    return out
-
-
-def route(queries: DataFrame, tree: Taxonomy, s: Settings) -> DataFrame:
-    """Log-space beam routing, level by level: vec_id, node, weight over the leaves reached, at most `assignments` of them.
-
-    Children whose cosine is within the margin of the best stay; the path probability is the product of the
-    softmax shares, and paths under the floor end. The node table of each level is broadcast.
-    """
-    spark = queries.sparkSession
-    inner = {n.parent for n in tree.nodes.values()}
-    rows = [(n.parent, n.name, [float(x) for x in n.mu], float(n.kappa), n.name not in inner) for n in tree.nodes.values() if n.parent is not None]
-    table = F.broadcast(spark.createDataFrame(rows, "parent string, node string, mu array<double>, kappa double, leaf boolean"))
-    root = next(n.name for n in tree.nodes.values() if n.parent is None)
-    front = queries.select("vec_id", "v", F.lit(root).alias("parent"), F.lit(0.0).alias("logp"))
-    found = None
-    for _ in range(max(n.depth for n in tree.nodes.values())):
-        scored = front.join(table, "parent").withColumn("c", dot("v", "mu"))
-        kids = scored.groupBy("vec_id", "parent").agg(
-            F.first("v").alias("v"), F.first("logp").alias("logp"), F.collect_list(F.struct("node", "c", "leaf", "kappa")).alias("kids"))
-        best = F.aggregate("kids", F.lit(-2.0), lambda a, x: F.greatest(a, x["c"]))
-        mean = F.aggregate("kids", F.lit(0.0), lambda a, x: a + x["kappa"]) / F.size("kids")
-        beam = kids.withColumns({"best": best, "mean": mean})
-        beam = beam.withColumn("kids", F.filter("kids", lambda x: x["c"] >= F.col("best") - s.margin))
-        norm = F.ln(F.aggregate("kids", F.lit(0.0), lambda a, x: a + F.exp(F.col("mean") * (x["c"] - F.col("best")))))
-        step = beam.withColumn("norm", norm).select("vec_id", "v", "logp", "mean", "best", "norm", F.explode("kids").alias("k"))
-        step = step.select("vec_id", "v", F.col("k.node").alias("parent"), (F.col("logp") + F.col("mean") * (F.col("k.c") - F.col("best")) - F.col("norm")).alias("logp"), F.col("k.leaf").alias("leaf"))
-        step = step.filter(F.col("logp") >= float(np.log(s.path_floor)))
-        ended = step.filter("leaf").select("vec_id", F.col("parent").alias("node"), F.exp("logp").alias("p"))
-        found = ended if found is None else found.union(ended)
-        front = step.filter("NOT leaf").drop("leaf")
-    by = found.groupBy("vec_id", "node").agg(F.sum("p").alias("p")).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("k"), "node"))).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a - x["k"])
-    kept = by.withColumn("total", total).withColumn("t", F.slice(F.filter("t", lambda x, i: (-x["k"] / F.col("total") >= s.share_floor) | (i == 0)), 1, s.assignments))
-    mass = F.aggregate("t", F.lit(0.0), lambda a, x: a - x["k"])
-    return kept.withColumn("mass", mass).select("vec_id", F.explode("t").alias("x"), "mass").select("vec_id", F.col("x.node").alias("node"), (-F.col("x.k") / F.col("mass")).alias("weight"))
-
-
 def bootstrap(queries: DataFrame) -> Taxonomy:
     """A root and a node for each category, fitted."""
     t = Taxonomy({"root": Node("root", None, 0)})
-    for name, (_, mu, kappa) in fit(queries.withColumn("node", F.concat(F.lit("c"), F.col("category").cast("string")))).items():
-        t.nodes[name] = Node(name, "root", 1, tuple(mu), kappa)
+    for name, (n, mu, kappa) in fit(queries.withColumn("node", F.concat(F.lit("c"), F.col("category").cast("string")))).items():
+        t.nodes[name] = Node(name, "root", 1, tuple(mu), kappa, float(n))
     return t
 
 
 def splits(members: DataFrame, s: Settings, most: int = HELD) -> dict[str, list[tuple[np.ndarray, float]]]:
-    """For every leaf that a mixture separates by epsilon at least: the parts' mean directions and concentrations.
+    """For every node that separates by epsilon at least: its parts' mean directions and concentrations."""
+    found = proposals.split_parts(members, s, most)
+    return {node: [fit_of(n, t) for n, t in parts] for node, (gate, parts, _) in found.items() if gate == "split"}
 
-    The mixture sees all members of a node. A node of at most `most` is held by one task; a larger one stays
-    spread, and each step of its mixture is a pass over it.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = split(Held(np.stack(pdf.sort_values("vec_id")["v"].to_numpy())), s)
-        size, total = out if out else ([], [])
-        types = {"part": (range(len(size)), "int32"), "size": (size, "int64"), "total": (list(total), object)}
-        return pd.DataFrame({"node": pd.Series([pdf["node"].iloc[0]] * len(size), dtype=object)} | {c: pd.Series(v, dtype=t) for c, (v, t) in types.items()})
 
-    rows = members.select("node", "vec_id", "v").persist()
-    try:
-        large = sorted(r["node"] for r in rows.groupBy("node").count().filter(F.col("count") > most).collect())
-        few = rows.filter(~F.col("node").isin(large)) if large else rows
-        found: dict[str, list] = {}
-        for r in few.groupBy("node").applyInPandas(run, "node string, part int, size long, total array<double>").orderBy("node", "part").collect():
-            found.setdefault(r["node"], []).append((r["size"], np.array(r["total"])))
-        for node in large:
-            if out := split(Spread(rows.filter(F.col("node") == node)), s):
-                found[node] = list(zip(*out))
-    finally:
-        rows.unpersist()
-    size = np.linalg.norm
-    return {node: [(t / size(t), kappa_of(size(t) / n, n, len(t))) for n, t in parts] for node, parts in found.items()}
+def routed(queries: DataFrame, tree: Taxonomy, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Members with their vectors (vec_id, node, weight, v) and residual hits (vec_id, node, confidence), from one walk; the walk's rows are written."""
+    found = materialise(walk(queries, tree, s, True), "walk")
+    members = found.filter("NOT residual").select("vec_id", "node", "weight").join(queries.select("vec_id", "v"), "vec_id")
+    return members.select("vec_id", "node", "weight", "v"), found.filter("residual").selectExpr("vec_id", "node", "weight AS confidence")
 
 
 def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, DataFrame, list[dict]]:
-    """Bootstrap, then split, prune starved leaves and refit until the topology is quiet: taxonomy, memberships, history."""
+    """Bootstrap, then in each round split, prune, merge and collapse by proposals, refit and route anew, until the topology is quiet.
+
+    Gives the taxonomy, the memberships (vec_id, node, weight) and a record for each round. Every query keeps a mass of one.
+    """
     tree, history, quiet = bootstrap(queries), [], 0
-    members = route(queries, tree, s)
+    members, hits = routed(queries, tree, s)
+    members = materialise(members, "members")
     for i in range(s.rounds):
-        own = members.filter("weight > 0.5").join(queries.select("vec_id", "v"), "vec_id")
         before = set(tree.nodes)
-        for name, parts in sorted(splits(own, s).items()):
-            if tree.nodes[name].depth < s.max_depth:
-                for j, (mu, kappa) in enumerate(parts):
-                    tree.nodes[f"{name}.{j}"] = Node(f"{name}.{j}", name, tree.nodes[name].depth + 1, tuple(mu), kappa)
-        members = route(queries, tree, s)
-        size = {r["node"]: r["m"] for r in members.groupBy("node").agg(F.sum("weight").alias("m")).collect()}
-        for name in tree.leaves():
-            if tree.nodes[name].depth > 1 and size.get(name, 0.0) < s.least:
-                del tree.nodes[name]
-        for name, (_, mu, kappa) in fit(members.join(queries.select("vec_id", "v"), "vec_id")).items():
-            if name in tree.nodes:
-                tree.nodes[name] = replace(tree.nodes[name], mu=tuple(mu), kappa=kappa)
-        members = route(queries, tree, s)
+        cells = proposals.Cells.read(members)
+        viable = proposals.viable_residuals(hits, queries, tree, cells, s) if s.residuals and any(n.kappa < s.diffuse_kappa for n in tree.nodes.values()) else ()
+        tree, cells, grown, log = proposals.split_pass(members, tree, cells, s, viable=viable)
+        grown = materialise(grown, "grown") if any(r.accepted for r in log) else members
+        tree, cells, _, more = proposals.optimise(grown, tree, cells, s)
+        log += more
+        tree = proposals.refit(tree, cells)
+        if grown is not members:
+            discard(grown)
+        discard(members)
+        members, hits = routed(queries, tree, s)
+        members = materialise(members, "members")
         changed = len(before ^ set(tree.nodes))
-        history.append({"round": i, "nodes": len(tree.nodes), "leaves": len(tree.leaves()), "edits": changed})
+        history.append({"round": i, "nodes": len(tree.nodes), "leaves": len(tree.leaves()), "edits": changed, "accepted": sum(r.accepted for r in log), "proposals": len(log), "objective": proposals.Cells.read(members).objective()})
         quiet = quiet + 1 if not changed else 0
         if quiet >= s.quiet_rounds:
             break
-    return tree, members, history
+    return tree, members.select("vec_id", "node", "weight"), history
