@@ -69,9 +69,9 @@ def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, Data
     tree, history, quiet = bootstrap(queries), [], 0
     members, hits = routed(queries, tree, s)
     members = materialise(members, "members")
+    cells = proposals.Cells.read(members)
     for i in range(s.rounds):
         before = set(tree.nodes)
-        cells = proposals.Cells.read(members)
         viable = proposals.viable_residuals(hits, queries, tree, cells, s) if s.residuals and any(n.kappa < s.diffuse_kappa for n in tree.nodes.values()) else ()
         tree, cells, grown, log = proposals.split_pass(members, tree, cells, s, viable=viable)
         grown = materialise(grown, "grown") if any(r.accepted for r in log) else members
@@ -83,8 +83,9 @@ def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, Data
         discard(members)
         members, hits = routed(queries, tree, s)
         members = materialise(members, "members")
+        cells = proposals.Cells.read(members)
         changed = len(before ^ set(tree.nodes))
-        history.append({"round": i, "nodes": len(tree.nodes), "leaves": len(tree.leaves()), "edits": changed, "accepted": sum(r.accepted for r in log), "proposals": len(log), "objective": proposals.Cells.read(members).objective()})
+        history.append({"round": i, "nodes": len(tree.nodes), "leaves": len(tree.leaves()), "edits": changed, "accepted": sum(r.accepted for r in log), "proposals": len(log), "objective": cells.objective()})
         quiet = quiet + 1 if not changed else 0
         if quiet >= s.quiet_rounds:
             break

@@ -33,13 +33,8 @@ def hlp10(spark, sf):
     return x.groupBy("leaf", F.col("p").cast("long").alias("i")).agg(r6(F.sum("x")).alias("total"), F.count("*").alias("n"))
 
 
-@register("clu11_beam_routing")
-def clu11(spark, sf):
-    q = _queries(spark, sf)
-    return T.route(q, T.bootstrap(q), T.Settings()).select("vec_id", "node", r6(F.col("weight")).alias("weight"))
-
-
 @register("clu33_evolution")
 def clu33(spark, sf):
+    """The taxonomy grown from the categories: every query's memberships. Tested by its proposals, its mass and clusters that are known."""
     _, members, _ = T.evolve(_queries(spark, sf), T.Settings(epsilon=0.005, least=10))
     return members.select("vec_id", "node", r6(F.col("weight")).alias("weight"))
