@@ -154,7 +154,7 @@ def normalise_text(c: Column) -> Column:
 
 def pretty_category(c: Column) -> Column:
     """Parts between _ and - with a capital each, joined by spaces; null is Unknown."""
-    up = F.transform(F.split(c, "[_-]"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2_000_000)))
+    up = F.transform(F.split(c, "[_-]"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
     return F.coalesce(F.array_join(up, " "), F.lit("Unknown"))
 
 

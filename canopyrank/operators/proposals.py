@@ -297,6 +297,18 @@ def merge_pass(tree: Taxonomy, cells: Cells, s: Settings, redundant: float = RED
     return Taxonomy(nodes), cells, into, log
 
 
+def starved_changes(members: DataFrame, tree: Taxonomy, cells: Cells, ways: dict[str, list[Node]], s: Settings) -> tuple[dict[str, dict[str, Cell | None]], dict[str, tuple[str, dict[str, Cell | None]]]]:
+    """For leaves and those who could take their members: the change of cells if each takes its shares, and the nearest with the change if it takes all. One pass over the members."""
+    result, prunes, merges = outcomes(members, ways, s), {}, {}
+    add = lambda k, c: (c[0] + cells.of[k][0], c[1] + cells.of[k][1]) if k in cells.of else c
+    for x, targets in ways.items():
+        mu = tree.nodes[x].mu
+        near = max(targets, key=lambda n: (float(np.round(np.dot(n.mu, mu), 9)) if len(n.mu) == len(mu) else -2.0, n.name)).name
+        prunes[x] = {x: None, **{k: add(k, c) for k, c in result.get(x, {}).items()}}
+        merges[x] = near, ({x: None, near: add(near, cells.of[x])} if x in cells.of else {x: None})
+    return prunes, merges
+
+
 def prune_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) -> tuple[Taxonomy, Cells, DataFrame, list[Record]]:
     """For starved leaves keep, prune (siblings take the members, or the parent where there are none) or merge with the nearest sibling, whichever separates best.
 
@@ -309,15 +321,12 @@ def prune_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) ->
         if n.depth > 1 and mass < s.least and (n.parent not in starved or mass < cells.of.get(starved[n.parent], (0.0,))[0]):
             starved[n.parent] = x
     beside = {x: [k for k in tree.children(p) if k.name != x and k.mu] or [tree.nodes[p]] for p, x in starved.items()}
-    nearest = {x: max(k, key=lambda n: (float(np.round(np.dot(n.mu, tree.nodes[x].mu), 9)) if len(n.mu) == len(tree.nodes[x].mu) else -2.0, n.name)) for x, k in beside.items()}
     # a lone target without a direction takes all
     ways = {x: [k if k.mu else replace(k, mu=tree.nodes[x].mu) for k in ks] for x, ks in beside.items()}
-    result, nodes, taken, log = outcomes(members, ways, s), dict(tree.nodes), {}, []
-    for x in sorted(beside):
-        add = lambda k, c: (c[0] + cells.of[k][0], c[1] + cells.of[k][1]) if k in cells.of else c
-        prune = {x: None, **{k: add(k, c) for k, c in result.get(x, {}).items()}}
-        near = nearest[x]
-        merge = {x: None, near.name: add(near.name, cells.of[x])} if x in cells.of else {x: None}
+    prunes, merges = starved_changes(members, tree, cells, ways, s)
+    nodes, taken, log = dict(tree.nodes), {}, []
+    for x in sorted(ways):
+        (near, merge), prune = merges[x], prunes[x]
         gains = sorted(((cells.gain(c), kind, c) for kind, c in (("prune", prune), ("starved merge", merge))), key=lambda g: (-g[0], g[1]))
         gain, kind, change = gains[0]
         # an empty leaf goes; otherwise keeping is best unless the gain is real
@@ -325,7 +334,7 @@ def prune_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) ->
         log.append(Record(kind, x, gain, 0.0, ok))
         if ok:
             cells = cells.put(change)
-            taken[x] = ways[x] if kind == "prune" else [near if near.mu else replace(near, mu=tree.nodes[x].mu)]
+            taken[x] = ways[x] if kind == "prune" else [k for k in ways[x] if k.name == near]
             del nodes[x]
     return Taxonomy(nodes), cells, shared_out(members, taken, s, True) if taken else members, log
 

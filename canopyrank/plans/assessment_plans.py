@@ -15,6 +15,7 @@ from canopyrank.plans.taxonomy_plans import _BEST, _dag, _tree, leaf_scores, ran
 KEPT, MARGIN = 3, 0.1  # memberships of a query, and how far under the best cosine they may lie
 FLOOR = 0.2  # a query whose best cosine is lower stays a residual
 LEAST = 20  # mass under which a leaf starves
+STARVED = 0.95  # the same as a share of the mean mass of leaves
 REDUNDANT = 0.2  # cosine over which two leaves count as redundant, fitted to nothing: the given vectors are near random
 
 _MEM = _BEST + f""", mem AS (SELECT vec_id, label, leaf, leaf_label, c, k, exp(10 * c) / sum(exp(10 * c)) OVER (PARTITION BY vec_id) AS w
@@ -55,10 +56,15 @@ def met11(spark, sf):
 
 
 @register("met10_edge_f1", _dag(f""", an AS (SELECT c.node, c.anc FROM cl c JOIN dp ON dp.node = c.anc AND depth = 1), ok AS (SELECT p, c, p = 'root' OR EXISTS (SELECT 1 FROM an x JOIN an y ON x.anc = y.anc WHERE x.node = p AND y.node = c) AS good FROM (SELECT DISTINCT p, c FROM ed)),
- pr AS (SELECT avg(good::INT::DOUBLE) AS p FROM ok), rc AS (SELECT avg((a = b)::INT::DOUBLE) AS r FROM (SELECT 'b' || p_brand AS a, 't' || p_type AS b FROM part))
+ mb AS (SELECT 'p' || l_partkey AS node, l_orderkey AS query, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), pl AS (SELECT query, node FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(w, 6) DESC, node) AS k FROM mb) WHERE k = 1),
+ gt AS (SELECT l_orderkey AS query, min_by('b' || p_brand, l_linenumber * 1e12 + l_partkey) AS want FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+ pr AS (SELECT avg(good::INT::DOUBLE) AS p FROM ok), rc AS (SELECT avg(EXISTS (SELECT 1 FROM an WHERE an.node = pl.node AND anc = want)::INT::DOUBLE) AS r FROM pl JOIN gt USING (query))
  SELECT round(p, 6) AS prec, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr, rc"""))
 def met10(spark, sf):
-    """Edges that stay inside an anchor against items whose first parent is the wanted one (parts: brand wanted, type found)."""
+    """Edges that stay inside an anchor; and queries whose primary leaf has an anchor of their category.
+
+    Orders are the queries, their parts the leaves, weighed by quantity; the brand of an order's first line is its category.
+    """
     from canopyrank.session import table
 
     e = dag_edges(spark, sf)
@@ -68,8 +74,13 @@ def met10(spark, sf):
     pc = e.select("p", "c").distinct()
     both = pc.join(an.select(F.col("node").alias("p"), "anc"), "p").join(an.select(F.col("node").alias("c"), "anc"), ["c", "anc"]).select("p", "c").distinct()
     good = pc.join(both.withColumn("hit", F.lit(True)), ["p", "c"], "left").agg(F.avg(((F.col("p") == "root") | F.col("hit").isNotNull()).cast("double")).alias("p"))
-    t = table(spark, sf, "part")
-    found = t.agg(F.avg((F.concat(F.lit("b"), "p_brand") == F.concat(F.lit("t"), "p_type")).cast("double")).alias("r"))
+    li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    mass = li.groupBy(F.col("l_orderkey").alias("query"), name("l_partkey").alias("node")).agg(F.sum("l_quantity").alias("w"))
+    primary = mass.groupBy("query").agg(F.min(F.struct((-F.round("w", 6)).alias("k"), "node")).alias("m")).select("query", "m.node")
+    first = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("query")).agg(F.min_by(F.concat(F.lit("b"), "p_brand"), F.struct("l_linenumber", "l_partkey")).alias("want"))
+    right = primary.join(first, "query").join(an.withColumnRenamed("anc", "want").withColumn("hit", F.lit(True)), ["node", "want"], "left")
+    found = right.agg(F.avg(F.coalesce("hit", F.lit(False)).cast("int").cast("double")).alias("r"))
     p, r = F.col("p"), F.col("r")
     return good.join(found).select(r6(p).alias("prec"), r6(r).alias("recall"), r6(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)).alias("f1"))
 
@@ -137,16 +148,19 @@ def _placed_sql(n: int) -> str:
 
 
 @register("met16_dasgupta_cost", _lm(_placed_sql(100) + """, lf AS (SELECT leaf, leaf_label, count(*)::DOUBLE AS n FROM mem WHERE k = 1 GROUP BY ALL), lb AS (SELECT leaf_label, sum(n) AS n FROM lf GROUP BY leaf_label), al AS (SELECT sum(n) AS n FROM lf)
- SELECT count(*) AS pairs, round(avg(greatest(0, list_dot_product(a.v, b.v)) * CASE WHEN a.leaf = b.leaf THEN lf.n WHEN a.leaf_label = b.leaf_label THEN lb.n ELSE al.n END), 6) AS mean_cost
+ SELECT count(*) AS pairs, round(coalesce(avg(greatest(0, list_dot_product(a.v, b.v)) * CASE WHEN a.leaf = b.leaf THEN lf.n WHEN a.leaf_label = b.leaf_label THEN lb.n ELSE al.n END), 0), 6) AS mean_cost,
+ round(coalesce(avg(greatest(0, list_dot_product(a.v, b.v)) * CASE WHEN a.leaf = b.leaf THEN lf.n WHEN a.leaf_label = b.leaf_label THEN lb.n ELSE al.n END) * max(al.n * (al.n - 1) / 2), 0), 3) AS total_cost
  FROM sp a JOIN sp b ON a.r < b.r JOIN lf ON lf.leaf = a.leaf JOIN lb ON lb.leaf_label = a.leaf_label CROSS JOIN al"""))
 def met16(spark, sf):
-    """Mean cost of a pair over the pairs of a fixed sample of 100 queries, as the measure itself samples at most 5000 pairs; subtree sizes count all."""
+    """Total cost over all pairs of queries: exact up to 100 queries, that is 4,950 pairs, else the mean of the pairs of 100 queries by hash times the number of all pairs, as the measure evaluates 5,000 pairs at most. Subtree sizes count all."""
     n = ranked(spark, sf, 1).groupBy("leaf", "leaf_label").agg(F.count("*").cast("double").alias("nl"))
     size = n.withColumns({"nb": F.sum("nl").over(W.partitionBy("leaf_label")), "na": F.sum("nl").over(W.partitionBy(F.lit(0)))}).drop("leaf_label")
     s = _placed(spark, sf, 100)
     a, b = s.join(F.broadcast(size), "leaf").alias("a"), F.broadcast(s).alias("b")
     sub = F.when(F.col("a.leaf") == F.col("b.leaf"), F.col("nl")).when(F.col("a.leaf_label") == F.col("b.leaf_label"), F.col("nb")).otherwise(F.col("na"))
-    return a.join(b, F.col("a.r") < F.col("b.r")).agg(F.count("*").alias("pairs"), r6(F.avg(F.greatest(F.lit(0.0), dot("a.v", "b.v")) * sub)).alias("mean_cost"))
+    cost = F.greatest(F.lit(0.0), dot("a.v", "b.v")) * sub
+    return a.join(b, F.col("a.r") < F.col("b.r")).agg(
+        F.count("*").alias("pairs"), r6(F.coalesce(F.avg(cost), F.lit(0.0))).alias("mean_cost"), F.round(F.coalesce(F.avg(cost) * F.max(F.col("na") * (F.col("na") - 1) / 2), F.lit(0.0)), 3).alias("total_cost"))
 
 
 @register("met18_triplet_accuracy", _lm(_placed_sql(3000) + """, t AS (SELECT list_dot_product(a.v, b.v) AS sb, list_dot_product(a.v, c.v) AS sc, CASE WHEN a.leaf = b.leaf THEN 2 WHEN a.leaf_label = b.leaf_label THEN 1 ELSE 0 END AS db, CASE WHEN a.leaf = c.leaf THEN 2 WHEN a.leaf_label = c.leaf_label THEN 1 ELSE 0 END AS dc
@@ -234,12 +248,15 @@ def clu15(spark, sf):
     return p.join(F.broadcast(p.agg(F.sum("pairs").alias("t")))).select("site", "pairs", r6(F.try_divide("pairs", "t")).alias("share"))
 
 
-@register("clu25_starved_leaves", _lm(f", z AS (SELECT leaf, sum(w) AS mass FROM mem GROUP BY leaf) SELECT l.leaf, round(coalesce(mass, 0), 6) AS mass, s.leaf AS sibling, round(list_dot_product(l.mu, s.mu), 6) AS cosine FROM lmu l LEFT JOIN z ON z.leaf = l.leaf LEFT JOIN lmu s ON s.label = l.label AND s.leaf <> l.leaf WHERE round(coalesce(mass, 0), 6) < {LEAST}"))
+@register("clu25_starved_leaves", _lm(f", z AS (SELECT leaf, sum(w) AS mass FROM mem GROUP BY leaf) SELECT l.leaf, round(coalesce(mass, 0), 6) AS mass, s.leaf AS sibling, round(list_dot_product(l.mu, s.mu), 6) AS cosine FROM lmu l LEFT JOIN z ON z.leaf = l.leaf LEFT JOIN lmu s ON s.label = l.label AND s.leaf <> l.leaf WHERE round(coalesce(mass, 0), 6) < (SELECT round({STARVED} * sum(mass) / (SELECT count(*) FROM lmu), 6) FROM z)"))
 def clu25(spark, sf):
-    """Starved leaves with the nearest sibling, into which they would be merged."""
+    """Leaves with clearly less than the mean mass, and the nearest sibling, into which they would be merged."""
     mu = centroids(vectors(spark, sf), "leaf", "v").select("leaf", F.expr("leaf div 2").alias("site"), "mu")
     mass = memberships(spark, sf).groupBy("leaf").agg(F.sum("w").alias("mass"))
-    low = mu.join(mass, "leaf", "left").withColumn("mass", r6(F.coalesce("mass", F.lit(0.0)))).filter(F.col("mass") < LEAST)
+    held = mu.join(mass, "leaf", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    # one row for each leaf
+    bound = F.broadcast(held.agg(F.round(STARVED * F.sum("mass") / F.count("*"), 6).alias("bound")))
+    low = held.withColumn("mass", r6(F.col("mass"))).join(bound, F.col("mass") < F.col("bound")).drop("bound")
     sib = mu.select(F.col("leaf").alias("sibling"), "site", F.col("mu").alias("m2"))
     near = low.join(sib, "site", "left").filter("sibling IS NULL OR sibling <> leaf").select("leaf", "mass", F.struct((-dot("mu", "m2")).alias("c"), "sibling").alias("s"))
     return near.groupBy("leaf", "mass").agg(F.min("s").alias("s")).select("leaf", "mass", "s.sibling", r6(-F.col("s.c")).alias("cosine"))

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from canopyrank.operators import moments as M
 from canopyrank.operators import proposals as P
 from canopyrank.operators import routing as R
+from canopyrank.operators import routing_report as O
 from canopyrank.operators import taxonomy as T
 from canopyrank.operators.topology import Node, Settings, Taxonomy
 from canopyrank.plans.base import VEC, r6, vectors
 from canopyrank.plans.registry import register
 
 RULES = Settings()
+#: Mass from which a node has a profile, as a share of the mean over all nodes that hold any.
+PROFILED = 0.5
 
 _K = "least(1, greatest(0, {k} / (31.5::DOUBLE + sqrt(32.5::DOUBLE * 32.5 + {k} * {k}))))"
 
@@ -161,3 +164,95 @@ def clu27(spark, sf):
     pairs = [(a, b) for k in kids for i, a in enumerate(k) for b in k[i + 1 :]]
     rows = [(a, b, cells.gain({a: (cells.of[a][0] + cells.of[b][0], cells.of[a][1] + cells.of[b][1]), b: None})) for a, b in pairs]
     return spark.createDataFrame(rows, "a string, b string, gain double").select("a", "b", r6(F.col("gain")).alias("gain"))
+
+
+#: Training memberships give the profiles, inference routes are judged by them.
+_REPORT = WALK + f""",
+ tm AS (SELECT vec_id, node, share / sum(share) OVER (PARTITION BY vec_id) AS w FROM kp),
+ rt AS (SELECT vec_id, node, share / sum(share) OVER (PARTITION BY vec_id) AS w FROM kp WHERE place <= {RULES.assignments}),
+ pd AS (SELECT node, label, sum(w) AS w FROM tm JOIN q USING (vec_id) GROUP BY ALL),
+ pn AS (SELECT *, sum(w) OVER (PARTITION BY node) AS mass, row_number() OVER (PARTITION BY node ORDER BY round(w, 9) DESC, label) AS k FROM pd),
+ pf AS (SELECT node, label AS domain, w / mass AS purity, depth FROM pn JOIN (SELECT node, depth FROM nd UNION ALL SELECT 'root', 0) USING (node) WHERE k = 1 AND round(mass, 9) >= (SELECT round({PROFILED} * sum(w) / count(DISTINCT node), 9) FROM tm)),
+ mt AS (SELECT vec_id, node, w, domain, purity, depth, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 12) DESC, node) AS k FROM rt JOIN pf USING (node)),
+ bm AS (SELECT vec_id, count(*) AS n, sum(w) AS s, max(CASE WHEN k = 1 THEN domain END) AS domain, max(CASE WHEN k = 1 THEN purity END) AS purity, max(CASE WHEN k = 1 THEN depth END) AS depth, max(CASE WHEN k = 1 THEN w END) AS conf FROM mt GROUP BY vec_id),
+ fd AS (SELECT q.vec_id, label, coalesce(n, 0) AS n, s, domain, purity, depth, conf, EXISTS (SELECT 1 FROM mt WHERE mt.vec_id = q.vec_id AND mt.domain = q.label) AS hit FROM q LEFT JOIN bm USING (vec_id)),
+ df AS (SELECT d.label, count(*) FILTER (WHERE fd.label = d.label) AS support, count(*) FILTER (WHERE fd.label = d.label AND domain = d.label)::DOUBLE AS tp, count(*) FILTER (WHERE domain = d.label)::DOUBLE AS np FROM (SELECT DISTINCT label FROM q) d, fd GROUP BY d.label),
+ dm AS (SELECT label, support, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS prec, tp / support AS recall, CASE WHEN np + support > 0 THEN 2 * tp / (np + support) ELSE 0 END AS f1 FROM df),
+ cb AS (SELECT least(CAST(floor(round(conf, 9) * 10) AS BIGINT), 9) AS bin, count(*) AS n, avg(round(conf, 9)) AS conf, avg((label = domain)::INT::DOUBLE) AS acc FROM fd WHERE domain IS NOT NULL GROUP BY 1),
+ ec AS (SELECT coalesce(sum(n * abs(conf - acc)) / sum(n), 0) AS ece, count(*) AS bins FROM cb)"""
+_FIGURES = ("top1", "low", "high", "any_match", "no_match", "purity", "depth", "macro_f1", "ece", "mean_matches", "median_matches", "multi_leaf", "posterior", "depth_corr")
+
+
+def judged(spark, sf):
+    """Inference routes, profiles from training memberships, and the categories."""
+    q = queries(spark, sf)
+    tree = category_tree(q)
+    training = R.route(q, tree, RULES, training=True)
+    depth = F.broadcast(spark.createDataFrame([(n.name, n.depth) for n in tree.nodes.values()], "node string, depth int"))
+    mean = training.agg(F.round(F.lit(PROFILED) * F.sum("weight") / F.countDistinct("node"), 9)).first()[0] or 0.0
+    truth = q.select("vec_id", F.col("label").alias("category"))
+    return R.route(q, tree, RULES), O.leaf_profiles(training, truth, depth, mean), truth
+
+
+@register("met22_batch_report", f"""WITH RECURSIVE {_REPORT}, t AS (SELECT count(*) AS queries, avg(coalesce(label = domain, false)::INT::DOUBLE) AS p, avg(hit::INT::DOUBLE) AS any_match, avg((domain IS NULL)::INT::DOUBLE) AS no_match, avg(purity) AS purity, avg(depth::DOUBLE) AS depth,
+ avg(n::DOUBLE) AS mean_matches, median(n)::DOUBLE AS median_matches, avg((n > 1)::INT::DOUBLE) AS multi_leaf, avg(s) AS posterior FROM fd)
+ SELECT queries, round(p, 6) AS top1, round(greatest(0, (p + 3.8416::DOUBLE / (2 * queries) - 1.96::DOUBLE * sqrt(p * (1 - p) / queries + 3.8416::DOUBLE / (4 * queries * queries))) / (1 + 3.8416::DOUBLE / queries)), 6) AS low,
+ round(least(1, (p + 3.8416::DOUBLE / (2 * queries) + 1.96::DOUBLE * sqrt(p * (1 - p) / queries + 3.8416::DOUBLE / (4 * queries * queries))) / (1 + 3.8416::DOUBLE / queries)), 6) AS high, round(any_match, 6) AS any_match, round(no_match, 6) AS no_match, round(purity, 6) AS purity, round(depth, 6) AS depth,
+ (SELECT round(avg(f1), 6) FROM dm) AS macro_f1, (SELECT round(ece, 6) FROM ec) AS ece, round(mean_matches, 6) AS mean_matches, median_matches, round(multi_leaf, 6) AS multi_leaf, round(posterior, 6) AS posterior,
+ (SELECT coalesce(nullif(round(corr(depth, w), 6), 'NaN'::DOUBLE), 0) FROM mt) AS depth_corr FROM t""")
+def met22(spark, sf):
+    """The whole report of a routing test: every query is routed as for inference and judged by what its nodes hold in training."""
+    return O.report(*judged(spark, sf)).select("queries", *[r6(F.col(c)).alias(c) for c in _FIGURES])
+
+
+@register("met22_domain_scores", f"WITH RECURSIVE {_REPORT} SELECT CAST(label AS INTEGER) AS domain, support, round(prec, 6) AS prec, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM dm")
+def met22_domains(spark, sf):
+    d = O.per_domain(O.matches(*judged(spark, sf)))
+    return d.select("domain", "support", *[r6(F.col(c)).alias(c) for c in ("prec", "recall", "f1")])
+
+
+@register("met17_routing_ece", f"WITH RECURSIVE {_REPORT} SELECT round(ece, 6) AS ece, bins FROM ec")
+def met17(spark, sf):
+    return O.calibration_error(O.matches(*judged(spark, sf))).select(r6(F.col("ece")).alias("ece"), "bins")
+
+
+@register("met23_routing_brier", f"""WITH RECURSIVE {_REPORT}, pp AS (SELECT vec_id, domain, max(w) AS p FROM mt GROUP BY ALL), al AS (SELECT vec_id, q.label, d.label AS d FROM q, (SELECT DISTINCT label FROM q) d)
+ SELECT round(avg(b), 6) AS brier FROM (SELECT al.vec_id, sum(pow(coalesce(p, 0) - (label = d)::INT, 2)) AS b FROM al LEFT JOIN pp ON pp.vec_id = al.vec_id AND pp.domain = d GROUP BY al.vec_id)""")
+def met23(spark, sf):
+    return O.brier(*judged(spark, sf)).select(r6(F.col("brier")).alias("brier"))
+
+
+_STARVED = NODES + f""",
+ lv AS (SELECT label, 'a' || label // 4 AS parent, 'c' || label AS node FROM (SELECT DISTINCT label FROM q)),
+ ld AS (SELECT lv.*, nd.mu, nd.kappa, nd.n FROM lv JOIN nd USING (node)),
+ lo AS (SELECT * FROM ld WHERE n < (SELECT avg(n) FROM ld)),
+ sb AS (SELECT a.node AS site, b.node, b.mu, avg(b.kappa) OVER (PARTITION BY a.node) AS kbar, row_number() OVER (PARTITION BY a.node ORDER BY round(list_dot_product(a.mu, b.mu), 9) DESC, b.node DESC) AS near FROM lo a JOIN ld b ON a.parent = b.parent AND a.node <> b.node),
+ hm AS (SELECT vec_id, v, 'c' || label AS node FROM q),
+ sp AS (SELECT vec_id, site, node, exp(kbar * (c - best)) / sum(exp(kbar * (c - best))) OVER (PARTITION BY vec_id, site) AS share
+  FROM (SELECT *, max(c) OVER (PARTITION BY vec_id, site) AS best FROM (SELECT hm.vec_id, site, sb.node, kbar, round(list_dot_product(v, mu), 9) AS c FROM hm JOIN sb ON sb.site = hm.node)) WHERE round(best - c, 9) <= {RULES.margin}::DOUBLE),
+ mm AS (SELECT '' AS state, vec_id, node AS cell, 1.0::DOUBLE AS w FROM hm UNION ALL SELECT 'p' || lo.node, vec_id, hm.node, 1.0::DOUBLE FROM lo, hm WHERE hm.node <> lo.node UNION ALL SELECT 'p' || site, vec_id, node, share FROM sp
+  UNION ALL SELECT 'm' || lo.node, vec_id, CASE WHEN hm.node = lo.node THEN (SELECT node FROM sb WHERE site = lo.node AND near = 1) ELSE hm.node END, 1.0::DOUBLE FROM lo, hm),
+ cn AS (SELECT state, cell, sum(w) AS n FROM mm GROUP BY ALL), cs AS (SELECT state, cell, i, sum(w * x) AS s FROM mm JOIN qx USING (vec_id) GROUP BY ALL),{_STATE},
+ gn AS (SELECT node, n, (SELECT j FROM ob WHERE state = 'p' || node) - (SELECT j FROM ob WHERE state = '') AS gp, (SELECT j FROM ob WHERE state = 'm' || node) - (SELECT j FROM ob WHERE state = '') AS gm FROM lo)"""
+
+
+@register("clu24_starved_choice", f"WITH {_STARVED} SELECT node, (SELECT node FROM sb WHERE site = gn.node AND near = 1) AS nearest, round(gp, 6) + 0 AS prune_gain, round(gm, 6) + 0 AS merge_gain, CASE WHEN greatest(gp, gm) <= 0 THEN 'keep' WHEN gp >= gm THEN 'prune' ELSE 'merge' END AS choice FROM gn")
+def clu24(spark, sf):
+    """Categories that hold less than the mean, under parents of four: keep, let the siblings take the members by their shares, or all the nearest one."""
+    q = vectors(spark, sf).select("vec_id", "label", F.concat(F.lit("c"), F.col("label").cast("string")).alias("node"), F.lit(1.0).alias("weight"), "v")
+    cells = P.Cells.read(q)
+    nodes = {"root": Node("root", None, 0)}
+    for name, cell in cells.of.items():
+        mu, kappa = T.fit_of(*cell)
+        up = f"a{int(name[1:]) // 4}"
+        nodes |= {up: Node(up, "root", 1), name: Node(name, up, 2, tuple(mu), kappa, cell[0])}
+    tree = Taxonomy(nodes)
+    mean = sum(n for n, _ in cells.of.values()) / len(cells.of)
+    beside = {x: [k for k in tree.children(nodes[x].parent) if k.name != x] for x, (n, _) in cells.of.items() if n < mean}
+    prune, merge = P.starved_changes(q, tree, cells, {x: k for x, k in beside.items() if k}, RULES)
+    rows = []
+    for x in sorted(prune):
+        p, m = cells.gain(prune[x]), cells.gain(merge[x][1])
+        rows.append((x, merge[x][0], p, m, "keep" if max(p, m) <= 0 else "prune" if p >= m else "merge"))
+    out = spark.createDataFrame(rows, "node string, nearest string, prune_gain double, merge_gain double, choice string")
+    return out.select("node", "nearest", r6(F.col("prune_gain")).alias("prune_gain"), r6(F.col("merge_gain")).alias("merge_gain"), "choice")

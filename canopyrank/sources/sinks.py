@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNAPSHOT = ("nodes", "edges", "memberships", "residuals", "pair_stats", "bt_states", "ratings", "matches")
+#: Rows of a typeset leaderboard at most.
+MOST_MODELS = 1000
 
 
 def save_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str) -> None:
@@ -67,7 +69,9 @@ def text_tree(edges: DataFrame, root: str = "root", compact: bool = False) -> st
 
 
 def latex_leaderboard(board: DataFrame) -> str:
-    """A table of model, score and rank, best first."""
-    rows = board.select("model", "score").orderBy(F.desc("score"), "model").limit(1000).collect()
+    """A table of model, score and rank, best first. More rows than fit a document are refused."""
+    rows = board.select("model", "score").orderBy(F.desc("score"), "model").limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError("the leaderboard is too long to typeset")
     body = [f"{i} & {r['model'].replace('_', chr(92) + '_')} & {r['score']:.3f} " + r"\\" for i, r in enumerate(rows, 1)]
     return "\n".join([r"\begin{tabular}{rlr}", r"\# & Model & Score \\", *body, r"\end{tabular}"])
