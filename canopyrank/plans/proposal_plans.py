@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from canopyrank.operators import fitting as L
 from canopyrank.operators import moments as M
 from canopyrank.operators import proposals as P
 from canopyrank.operators import routing as R
@@ -256,3 +257,36 @@ def clu24(spark, sf):
         rows.append((x, merge[x][0], p, m, "keep" if max(p, m) <= 0 else "prune" if p >= m else "merge"))
     out = spark.createDataFrame(rows, "node string, nearest string, prune_gain double, merge_gain double, choice string")
     return out.select("node", "nearest", r6(F.col("prune_gain")).alias("prune_gain"), r6(F.col("merge_gain")).alias("merge_gain"), "choice")
+
+
+def _level_sql(depth: int) -> str:
+    """The fit of one level, from rg (node, parent, depth, i, n, s, q) and the level above, f{depth - 1}."""
+    prior = f"{L.DEFAULT_KAPPA}::DOUBLE AS prior, CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END AS m0" if depth == 0 else "greatest(1, u.kappa) AS prior, u.mu AS m0"
+    join = "" if depth == 0 else f" JOIN f{depth - 1} u ON u.node = rg.parent AND u.i = rg.i"
+    return f""" e{depth} AS (SELECT rg.node, rg.i, rg.n, s, q, sqrt(sum(s * s) OVER (PARTITION BY rg.node)) AS size, {prior} FROM rg{join} WHERE rg.depth = {depth}),
+ x{depth} AS (SELECT node, any_value(n) AS n0, floor(round(any_value(n), 6)) AS n, any_value(size) / any_value(n) AS r, any_value(prior) AS prior FROM e{depth} GROUP BY node),
+ k{depth} AS MATERIALIZED (SELECT node, prior, n0, CASE WHEN n0 < {L.SUPPORT} THEN 1 WHEN 64 / n0 <= 2 THEN 0 WHEN 64 / n0 >= 10 THEN 1 ELSE (64 / n0 - 2) / 8 END AS alpha, kappa AS raw FROM ({_kappa(f"x{depth}")})),
+ f{depth} AS (SELECT e.node, {depth} AS depth, e.i, e.n, s / size AS mu, k.alpha, CASE WHEN e.n < {L.SUPPORT} THEN k.prior ELSE (1 - k.alpha) * raw + k.alpha * k.prior END AS kappa, (m0 + s) / (1 + e.n) AS m,
+  1 / (k.prior * 64) + q - s * s / e.n + e.n / (1 + e.n) * (s / e.n - m0) * (s / e.n - m0) AS lam FROM e{depth} e JOIN k{depth} k USING (node))"""
+
+
+_LEVELS = WALK + f""",
+ tm AS (SELECT vec_id, node, share / sum(share) OVER (PARTITION BY vec_id) AS w FROM kp),
+ tr AS (SELECT node, parent, depth FROM nd UNION ALL SELECT 'root', NULL, 0),
+ cl AS (SELECT node, node AS anc FROM tr UNION ALL SELECT node, parent FROM nd UNION ALL SELECT node, 'root' FROM nd WHERE depth = 2),
+ rg AS (SELECT anc AS node, t.parent, t.depth, i, sum(w) AS n, sum(w * x) AS s, sum(w * x * x) AS q FROM tm JOIN cl USING (node) JOIN tr t ON t.node = anc JOIN qx USING (vec_id) GROUP BY ALL),{_level_sql(0)},{_level_sql(1)},{_level_sql(2)}"""
+
+
+@register("clu03_level_fit", f"""WITH RECURSIVE {_LEVELS} SELECT node, depth, round(any_value(n), 6) AS n, round(max(CASE WHEN i = 0 THEN mu END), 6) AS mu0, round(any_value(kappa), 5) AS kappa, round(any_value(alpha), 6) AS alpha, round(sum(m), 6) AS niw_m_sum,
+ round(1 + any_value(n), 6) AS niw_kappa, round(66 + any_value(n), 6) AS niw_nu, round(sum(ln(greatest(lam, 1e-9))), 4) AS log_volume FROM (FROM f0 UNION ALL FROM f1 UNION ALL FROM f2) GROUP BY node, depth""")
+def clu03(spark, sf):
+    """Every node of the tree of categories and leaves, fitted to what it holds after routing: directions, concentrations and posteriors."""
+    q = queries(spark, sf)
+    tree = category_tree(q)
+    members = R.route(q, tree, RULES, training=True).join(q.select("vec_id", "v"), "vec_id")
+    nodes = spark.createDataFrame([(n.name, n.depth) for n in tree.nodes.values()], "node string, depth int")
+    edges = spark.createDataFrame([(n.parent, n.name) for n in tree.nodes.values() if n.parent is not None], "p string, c string")
+    f = L.fit_levels(members, nodes, edges, 64)
+    whole = lambda c, one: F.aggregate(c, F.lit(0.0), lambda a, x: a + one(x))
+    return f.select("node", "depth", r6(F.col("n")).alias("n"), r6(F.col("mu")[0]).alias("mu0"), F.round("kappa", 5).alias("kappa"), r6(F.col("alpha")).alias("alpha"), r6(whole("niw_m", lambda x: x)).alias("niw_m_sum"),
+                    r6(F.col("niw_kappa")).alias("niw_kappa"), r6(F.col("niw_nu")).alias("niw_nu"), F.round(whole("niw_lambda", lambda x: F.ln(F.greatest(x, F.lit(1e-9)))), 4).alias("log_volume"))

@@ -10,25 +10,38 @@ from pyspark.sql import functions as F
 from canopyrank.storage import exists, move, remove
 
 
+def _settled(spark: SparkSession, root: str) -> bool:
+    """Whether there is a table; one that a broken-off upsert has put aside is put back."""
+    if not exists(spark, root) and exists(spark, f"{root}.old"):
+        move(spark, f"{root}.old", root)
+    return exists(spark, root)
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
+    _settled(spark, root)
     return spark.read.option("mergeSchema", "true").parquet(root)
 
 
 def upsert(rows: DataFrame, root: str, keys: list[str]) -> None:
     """Rows take the place of those with the same keys; keys must not repeat within rows.
 
-    The new table is written beside the old one and then put in its place, so a run that breaks off leaves the old one.
+    The new table is written beside the old one, which is then put aside under the name .old for as long as the new
+    one is moved: wherever a run breaks off, the next reader or writer finds the old table or the new one.
     """
     spark = rows.sparkSession
-    if not exists(spark, root):
-        rows.write.parquet(root)
+    if not _settled(spark, root):
+        beside = f"{root}-{uuid.uuid4().hex}"
+        rows.write.parquet(beside)
+        move(spark, beside, root)
         return
     same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
     left = read(spark, root).alias("old").join(rows.select(*keys).alias("new"), same, "left_anti")
     beside = f"{root}-{uuid.uuid4().hex}"
     left.unionByName(rows, allowMissingColumns=True).write.parquet(beside)
-    remove(spark, root)
+    remove(spark, f"{root}.old")
+    move(spark, root, f"{root}.old")
     move(spark, beside, root)
+    remove(spark, f"{root}.old")
 
 
 def write_snapshots(rows: DataFrame, root: str) -> None:

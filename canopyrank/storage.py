@@ -41,6 +41,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own under the shared folder, for what is to go when the driver ends."""
+    at = f"{shared_dir(spark)}/canopyrank/{tag}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, at)
+    fs.deleteOnExit(path)
+    return at
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that materialise() wrote and nothing reads any more."""
     fs, path = _file_system(df.sparkSession, df.stored_at)
@@ -63,6 +71,32 @@ def move(spark: SparkSession, one: str, two: str) -> None:
         raise OSError(f"{one} could not be moved to {two}")
 
 
+def files(spark: SparkSession, at: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    fs, path = _file_system(spark, at)
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def write_text(spark: SparkSession, at: str, text: str) -> None:
+    """A small file, new."""
+    fs, path = _file_system(spark, at)
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, at: str) -> str:
+    """A small file, whole."""
+    fs, path = _file_system(spark, at)
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def drop_materialised(spark: SparkSession) -> None:
     """Remove everything materialise() has written under the session's shared folder."""
     fs, path = _file_system(spark, f"{shared_dir(spark)}/canopyrank")
