@@ -9,7 +9,7 @@ ancestors, so that a parent is called by what its children share.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyrank.storage import materialise
@@ -51,6 +51,7 @@ def scores(counts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def top_terms(texts: DataFrame, nodes: DataFrame, top: int = TOP) -> DataFrame:
     """node, depth, place, term, score: up to so many terms for each node with texts, the best first, at a tie the first in order."""
+    nodes = materialise(nodes, "nodes")  # read for every level
     rolled = materialise(rolled_up(term_counts(texts), nodes), "rolled")
     best = materialise(scores(rolled, nodes), "scores")
     out, taken = None, None
@@ -58,13 +59,10 @@ def top_terms(texts: DataFrame, nodes: DataFrame, top: int = TOP) -> DataFrame:
         level = best.join(nodes.filter(F.col("depth") == depth).select("node", "depth", "parent"), "node")
         if taken is not None:
             level = level.join(taken, ["node", "term"], "left_anti")
-        # the best so many of a node by repeated minimum: a row for each node and place
-        names = None
-        for place in range(1, top + 1):
-            rest = level if names is None else level.join(names.select("node", "term"), ["node", "term"], "left_anti")
-            one = rest.groupBy("node", "depth", "parent").agg(F.min(F.struct((-F.round("score", 12)).alias("k"), "term", "score")).alias("m"))
-            one = materialise(one.select("node", "depth", "parent", F.lit(place).cast("long").alias("place"), "m.term", "m.score"), "place")
-            names = one if names is None else names.unionByName(one)
+        # a task passes on no more than so many of each of its nodes
+        order = Window.partitionBy("node").orderBy((-F.round("score", 12)).asc(), "term")
+        names = level.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+        names = materialise(names.select("node", "depth", "parent", "place", "term", "score"), "names")
         out = names if out is None else out.unionByName(names)
         up = names.filter("parent IS NOT NULL").select(F.col("parent").alias("node"), "term")
         if taken is not None:  # and those of deeper descendants
