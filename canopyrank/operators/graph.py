@@ -83,8 +83,29 @@ def chains(edges: DataFrame, least: int) -> DataFrame:
     single = materialise(e.groupBy("p").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").select("p", "c"), "single")
     inside = single.join(single.select(F.col("p").alias("c")), "c", "left_semi")
     heads = single.select("p").join(inside.select(F.col("c").alias("p")).distinct(), "p", "left_anti")
-    far = closure(inside).groupBy(F.col("anc").alias("p")).agg((F.max("d") + 1).cast("long").alias("length"))
-    return heads.join(far, "p", "left").select(F.col("p").alias("head"), F.coalesce("length", F.lit(1).cast("long")).alias("length")).filter(F.col("length") >= least)
+    far = run_lengths(single, inside)
+    return heads.join(far, "p").select(F.col("p").alias("head"), "length").filter(F.col("length") >= least)
+
+
+def run_lengths(single: DataFrame, inside: DataFrame) -> DataFrame:
+    """p, length for every node with a single child: nodes on the way from it until one has another number of children.
+
+    Pointers double: each round a node's pointer goes as far again, so a run of L nodes takes log L rounds of a row for
+    each node. Pointers that never end go into a circle; there each node counts once, as the closure tells.
+    """
+    n = single.count()
+    far = materialise(single.select("p").join(inside.select("p", F.col("c").alias("to")), "p", "left").withColumn("length", F.lit(1).cast("long")), "runs")
+    for _ in range(n.bit_length()):
+        if far.filter("to IS NOT NULL").isEmpty():
+            return far.select("p", "length")
+        ahead = far.select(F.col("p").alias("to"), F.col("to").alias("then"), F.col("length").alias("more"))
+        far = materialise(far.join(ahead, "to", "left").select("p", F.col("then").alias("to"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")), "runs")
+    ends = far.filter("to IS NULL").select("p", "length")
+    if far.filter("to IS NOT NULL").isEmpty():
+        return ends
+    circle = far.filter("to IS NOT NULL").select("p")
+    reach = closure(inside.join(circle, "p", "left_semi").select("p", "c")).groupBy(F.col("anc").alias("p")).agg((F.max("d") + 1).cast("long").alias("length"))
+    return ends.unionByName(circle.join(reach, "p").select("p", "length"))
 
 
 def collapse(edges: DataFrame, depth: int) -> DataFrame:
