@@ -179,17 +179,30 @@ def agg23(spark, sf):
     return e.groupBy("gt").agg(*known, _int(~F.col("pred").isin(*"ABCD")).alias("Other"))
 
 
-@register("agg24_phase_timings", "SELECT event_type AS phase, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, max(CASE WHEN k = n // 2 THEN value END) AS p50, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
+#: Ranges of values that a phase is cut into for its order statistics.
+RANGES = 1024
+
+
+@register("agg24_phase_timings", "SELECT event_type AS phase, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, max(CASE WHEN k = n // 2 THEN value END) AS p50, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) THEN value END) AS p95, round(CASE WHEN sum(value) > 0 THEN count(*) * 1000 / sum(value) ELSE 0 END, 4) AS throughput FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def agg24(spark, sf):
+    """Order statistics without sorting a phase: counts by value are cut into ranges of each phase, and only the ranges that hold a wanted rank are gone through."""
     e = table(spark, sf, "events").select(F.col("event_type").alias("phase"), "value")
-    # order statistics from counts by value, so that no partition sorts a whole phase
     by = e.groupBy("phase", "value").agg(F.count("*").alias("c"))
-    w = W.partitionBy("phase")
-    run = by.withColumns({"upto": F.sum("c").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-    return run.groupBy("phase").agg(
-        F.sum("c").alias("calls"), F.round(F.sum(F.col("value") * F.col("c")), 4).alias("total"), r6(F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
-        at(F.expr("n div 2")).alias("p50"), at(F.floor(F.col("n") * F.lit(0.95))).alias("p95"))
+    v, c = F.col("value"), F.col("c")
+    # a row for each phase, of which there are few
+    whole = by.groupBy("phase").agg(F.sum("c").alias("n"), F.sum(v * c).alias("s"), F.min("value").alias("least"), F.max("value").alias("most"))
+    span = F.col("most") - F.col("least")
+    part = F.when(span > 0, F.least(F.lit(RANGES - 1), F.floor((v - F.col("least")) / span * RANGES))).otherwise(F.lit(0)).alias("part")
+    cut = by.join(whole, "phase").select("phase", part, "value", "c", "n")
+    sizes = cut.groupBy("phase", "part").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    upto = F.sum("c").over(W.partitionBy("phase").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    ranks = F.array(F.struct(F.lit("p50").alias("q"), F.expr("n div 2").alias("k")), F.struct(F.lit("p95").alias("q"), F.floor(F.col("n") * F.lit(0.95)).alias("k")))
+    held = sizes.withColumn("upto", upto).select("phase", "part", (F.col("upto") - F.col("c")).alias("before"), "upto", F.explode(ranks).alias("r")).filter("before <= r.k AND r.k < upto")
+    inside = cut.select("phase", "part", "value", "c").join(held.select("phase", "part", "before", "r"), ["phase", "part"])
+    run = F.col("before") + F.sum("c").over(W.partitionBy("phase", "part", "r.q").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    got = inside.withColumn("run", run).filter("run > r.k").groupBy("phase").agg(*[F.min(F.when(F.col("r.q") == q, v)).alias(q) for q in ("p50", "p95")])
+    per = F.when(F.col("s") > 0, F.col("n") * 1000 / F.col("s")).otherwise(F.lit(0.0))
+    return whole.join(got, "phase").select("phase", F.col("n").alias("calls"), F.round("s", 4).alias("total"), r6(F.col("s") / F.col("n")).alias("mean"), "least", "most", "p50", "p95", F.round(per, 4).alias("throughput"))
 
 
 @register("agg27_effective_sample", "SELECT label, round(sum(quality_w) * sum(quality_w) / sum(quality_w * quality_w), 6) AS ess FROM (SELECT label, 1.0::DOUBLE / (1 + vec_id % 4) AS quality_w FROM embeddings) GROUP BY label")
