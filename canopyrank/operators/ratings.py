@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BETA, DRAW, MU, SIGMA = 25.0 / 6, 0.1, 25.0, 25.0 / 3
@@ -71,6 +71,25 @@ def convergence_debt(stats: DataFrame, key: str, budget: int) -> DataFrame:
     return pairs.groupBy(key).agg(F.count("*").alias("pairs"), F.count_if((n < budget) & ((n < 2) | near)).alias("debt"))
 
 
+def target_nodes(stats: DataFrame, leaves: DataFrame, key: str, budget: int, least_queries: int, most: int = 100) -> DataFrame:
+    """The leaves to compare in next, up to `most`: key, fresh, debt, mean_se, queries, place.
+
+    leaves: key and queries; stats as for convergence_debt(). A leaf needs so many queries and a pair that still needs
+    matches, pairs with a model that the leaf has not seen included. Those without a match come first, then the most
+    debt, the largest mean standard error (10 without a fit), the most queries, and the first key.
+    """
+    models = F.broadcast(stats.select(F.explode(F.array("a", "b")).alias("m")).agg(F.countDistinct("m").alias("models")))
+    se = fit_pairs(stats, key).groupBy(key).agg(F.avg("se").alias("mean_se"))
+    known = convergence_debt(stats, key, budget).join(se, key).join(stats.groupBy(key).agg(F.sum("n").alias("n")), key)
+    j = leaves.filter(F.col("queries") >= least_queries).join(known, key, "left").join(models)
+    unseen = (F.col("models") * (F.col("models") - 1) / 2).cast("long") - F.coalesce("pairs", F.lit(0))
+    rows = j.select(key, (F.coalesce("n", F.lit(0)) == 0).alias("fresh"), (F.coalesce("debt", F.lit(0)) + unseen).alias("debt"), F.coalesce("mean_se", F.lit(10.0)).alias("mean_se"), "queries").filter("debt > 0")
+    first = rows.orderBy(F.desc("fresh"), F.desc("debt"), F.desc(F.round("mean_se", 9)), F.desc("queries"), key).limit(most)
+    # as many rows as are asked for
+    order = Window.orderBy(F.desc("fresh"), F.desc("debt"), F.desc(F.round("mean_se", 9)), F.desc("queries"), key)
+    return first.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def _phi(x: float) -> float:
     return float(np.exp(-x * x / 2) / np.sqrt(2 * np.pi))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canopyrank.operators import leaderboard as L
+from canopyrank.operators import ratings as R
 from canopyrank.plans.base import MATCH, matches, r6
+from canopyrank.plans.evaluation import pair_stats
 from canopyrank.plans.registry import register
 
 #: Leaves of a domain, matches that a leaf needs here, and queries: so many matches in a row ask the same.
@@ -66,3 +68,16 @@ def hlp07(spark, sf):
 def rat08_weights(spark, sf):
     q = matches(spark, sf).select(F.expr(f"event_id div {RUN}").alias("query_id")).distinct()
     return q.select("query_id", F.posexplode(L.replicate_weights(F.col("query_id"))).alias("replicate", "weight")).withColumn("replicate", F.col("replicate").cast("long"))
+
+
+#: Matches that a pair may use in a leaf, and queries that a leaf needs to be compared in.
+PAIR_BUDGET, LEAST_QUERIES = 40, 5
+
+
+@register("top05_target_nodes")
+def top05(spark, sf):
+    """The leaves to compare in next: a report of 100 at most. Tested against a plain sort."""
+    m = leaf_matches(spark, sf)
+    stats = pair_stats(m.withColumnRenamed("leaf", "domain")).withColumnRenamed("domain", "leaf")
+    asked = m.groupBy("leaf").agg(F.countDistinct("query_id").alias("queries"))
+    return R.target_nodes(stats, asked, "leaf", PAIR_BUDGET, LEAST_QUERIES).withColumn("mean_se", r6(F.col("mean_se")))
