@@ -39,8 +39,8 @@ from canopyrank.llm.common import ALNUM_GAP_ANY_CASE, ascii_lower, between, mate
 WINDOW = 13
 #: Proximity: so many of an item's rarest distinct terms within so many words.
 TERMS, SLOP = 3, 20
-#: Rows of a table that one broadcast may hold (each under 1 kB); larger tables are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes of a table that one broadcast may hold; larger tables are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 #: Slots of the table of hashed terms for each term, and bounds of their number, one byte each.
 SLOTS_A_TERM, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 16, 1 << 24
 #: Parts of a term's postings, as one term may make up most of them.
@@ -53,9 +53,29 @@ def words(c: Column) -> Column:
     return between(c, ALNUM_GAP_ANY_CASE)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table is within the bounds of a broadcast; its size is that of its rows as JSON."""
+    if df.count() > BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table, marked for a broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join rows to a written table by a key of which one value may be in most rows.
+
+    A small table is broadcast. Of a larger one every row is copied to each salt, and the rows of a key are dealt
+    over the salts, so that no task gets a key's rows whole.
+    """
+    if is_small(table):
+        return rows.join(F.broadcast(table), key, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(POSTING_SALTS).cast("long"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POSTING_SALTS - 1).cast("long"))))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,17 +152,15 @@ def build_index(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
         F.when(F.col("group"), F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w")))).alias("places"),
     ), "scanned")
 
-    few = small(vocabulary)
-
     def posted(rows: DataFrame, terms: DataFrame, tag: str) -> DataFrame:
         """Dealt by term; a frequent term's list is spread by text and position."""
-        every = rows.select(*TEXT, ascii_lower(F.col("w")).alias("term"), F.col("pos").cast("long").alias("pos")).join(terms, "term", "left_semi")
+        every = join_spread(rows.select(*TEXT, ascii_lower(F.col("w")).alias("term"), F.col("pos").cast("long").alias("pos")), terms, "term", "left_semi")
         return materialise(every.repartition("term", F.pmod(F.xxhash64("text_key", "pos"), F.lit(POSTING_SALTS))).sortWithinPartitions("term", *TEXT, "pos"), tag)
 
     texts = lambda c: scanned.filter(F.size(c) > 0).dropDuplicates(TEXT).select(*TEXT, F.explode(c).alias("x"))
     long = texts("runs").select(*TEXT, "x.at", F.posexplode("x.w").alias("i", "w")).withColumn("pos", F.col("at") + F.col("i"))
     close = texts("places").select(*TEXT, "x.pos", "x.w")
-    return Index(scanned.select("doc_id", *TEXT), item, near, posted(long, few, "postings"), posted(close, small(materialise(rare, "rare")), "close"))
+    return Index(scanned.select("doc_id", *TEXT), item, near, posted(long, vocabulary.select("term"), "postings"), posted(close, materialise(rare.select("term"), "rare"), "close"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -158,13 +176,15 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 def phrase_matches(index: Index, *, window: int = WINDOW) -> DataFrame:
     """Exact phrase matches: text_key, n_words, item_id, from, to (word positions, inclusive); each is one window or several in a row."""
     counts = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    table = small(materialise(anchors(index.items, counts, window), "anchors"))
-    items = small(index.items)
+    table = materialise(anchors(index.items, counts, window), "anchors")
     # where an item could stand: the offset between its words and the text's
-    could = index.postings.join(table, "term").select(*TEXT, "item", (F.col("pos") - F.col("anchor")).alias("offset"), "anchor")
-    sides = F.sequence(F.greatest(F.col("anchor") - (window - 1), F.lit(0)), F.least(F.col("anchor") + (window - 1), F.size("w") - 1))
-    needed = could.join(items, "item").select(*TEXT, "item", "item_id", "offset", F.least(F.size("w"), F.lit(window)).alias("need"), "w", F.explode(sides).alias("i"))
-    needed = needed.select(*TEXT, "item", "item_id", "offset", "need", "i", (F.col("offset") + F.col("i")).alias("pos"), F.get("w", F.col("i").cast("int")).alias("term")).distinct()
+    could = join_spread(index.postings, table, "term").select(*TEXT, "item", (F.col("pos") - F.col("anchor")).alias("offset"), "anchor")
+    first = F.greatest(F.col("anchor") - (window - 1), F.lit(0))
+    last = F.least(F.col("anchor") + (window - 1), F.size("w") - 1)
+    around = F.slice("w", (first + 1).cast("int"), (last - first + 1).cast("int"))
+    could = join_spread(could, index.items, "item").select(*TEXT, "item", "item_id", "offset", F.least(F.size("w"), F.lit(window)).alias("need"), first.alias("first"), around.alias("around"))
+    needed = could.select(*TEXT, "item", "item_id", "offset", "need", "first", F.posexplode("around").alias("k", "term")).withColumn("i", F.col("first") + F.col("k"))
+    needed = needed.select(*TEXT, "item", "item_id", "offset", "need", "i", (F.col("offset") + F.col("i")).alias("pos"), "term").distinct()
     there = needed.join(index.postings, [*TEXT, "term", "pos"], "left_semi")
     # positions in a row share the difference from their rank; an item's places bound the window
     own = [*TEXT, "item", "item_id", "offset", "need"]
@@ -175,7 +195,7 @@ def phrase_matches(index: Index, *, window: int = WINDOW) -> DataFrame:
 
 def proximity_matches(index: Index, *, slop: int = SLOP) -> DataFrame:
     """Places where an item's rarest distinct terms all stand within slop words: text_key, n_words, item_id, from (of the first of them)."""
-    hits = index.close.join(small(index.terms), "term")
+    hits = join_spread(index.close, index.terms, "term")
     seen = W.partitionBy(*TEXT, "item").orderBy("pos").rangeBetween(0, slop - 1)
     most = index.terms.agg(F.max("k")).first()[0] or 1
     found = reduce(lambda a, b: a + b, [F.coalesce(F.max(F.when(F.col("no") == k, 1)).over(seen), F.lit(0)) for k in range(most)])

@@ -51,6 +51,8 @@ DEEPER = 6
 SKETCH, WIDE = 8, 64
 #: Where in a word of the sketch a key begins; bits of a key beyond those that tell all texts apart.
 OFFSETS, SPARE_BITS = (0, 16, 32, 48), 3
+#: Rows of a block of a bucket of sketches, and crowded buckets (24 bytes each) that one broadcast may name.
+BUCKET_ROWS, LEAST_HEAVY = 1 << 15, 100_000
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -365,14 +367,54 @@ def key_bits(total: int) -> int:
     return max(8, min(32, total.bit_length() + SPARE_BITS))
 
 
-def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (places) within the buckets of equal band and key.
+def _across(words: np.ndarray, leader: list[int], taken: list[np.ndarray], wide: int) -> Iterator[tuple[int, int]]:
+    """Links between clusters of a bucket that no leader has joined, one for each pair of components that meet.
+
+    Members within `wide` of each other lie within 3 * wide by their leaders, and each within 2 * wide of the
+    other's leader; only such members of clusters not joined yet are compared.
+    """
+    many = [k for k in range(len(leader)) if len(taken[k])]
+    if len(many) < 2:
+        return
+    root = list(range(len(leader)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    apart = lambda x, y: np.bitwise_count(words[x] ^ words[y]).sum(axis=-1)
+    owner: dict[int, int] = {}
+    for k, members in enumerate(taken):
+        for m in members.tolist():
+            root[top(k)] = top(owner.setdefault(m, k))
+    heads = np.array([leader[k] for k in many], dtype=np.int64)
+    for i, a in enumerate(many):
+        for j in np.flatnonzero(apart(heads[i + 1 :], leader[a]) <= 3 * wide) + i + 1:
+            b = many[j]
+            if top(a) == top(b):
+                continue
+            x = taken[a][apart(taken[a], leader[b]) <= 2 * wide]
+            y = taken[b][apart(taken[b], leader[a]) <= 2 * wide]
+            if not len(x):
+                continue
+            for m in y:
+                hit = np.flatnonzero(apart(x, m) <= wide)
+                if len(hit):
+                    root[top(a)] = top(b)
+                    yield int(x[hit[0]]), int(m)
+                    break
+
+
+def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, part: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) that connect what lies within reach in the buckets of equal band, key and part.
 
     In a bucket the first text that no other has been linked to leads: it is compared with all and linked to those
-    within reach. Every text of the bucket is so linked to a leader, or is one.
+    within reach. Texts that different leaders took are then compared where the leaders' distance allows a link.
     """
-    order = np.lexsort((key, band))
-    cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(key[order]) != 0)) + 1
+    order = np.lexsort((part, key, band))
+    cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)) + 1
     start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(order)]])
     two = end - start == 2
     a, b = order[start[two]], order[start[two] + 1]
@@ -380,23 +422,50 @@ def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, wide: int) -> I
     yield a[near], b[near]
     for lo, hi in zip(start[end - start > 2], end[end - start > 2]):
         at = order[lo:hi]
+        own = words[at]
         free = np.ones(len(at), dtype=bool)
+        leader, taken = [], []
         for i in range(len(at)):
             if free[i]:
-                hit = np.bitwise_count(words[at] ^ words[at[i]]).sum(axis=1) <= wide
+                hit = np.bitwise_count(own ^ own[i]).sum(axis=1) <= wide
                 free &= ~hit
                 hit[i] = False
+                leader.append(i)
+                taken.append(np.flatnonzero(hit))
                 yield np.full(hit.sum(), at[i]), at[hit]
+        more = np.array(list(_across(own, leader, taken, wide)), dtype=np.int64).reshape(-1, 2)
+        yield at[more[:, 0]], at[more[:, 1]]
 
 
-def sketch_links(texts: DataFrame, wide: int = WIDE) -> DataFrame:
-    """Links (u, v) between texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key."""
+def _parts(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Add column part, and tell how many rows that adds: 0, or in a bucket (band, key) of more than `most` rows one for each pair of its blocks.
+
+    A row of such a bucket goes to every pair that its block is in, so any two rows of a bucket meet in a part, and
+    no part holds many more than 2 * most rows.
+    """
+    heavy = materialise(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most), "heavy")
+    count = heavy.count()
+    if not count:
+        return rows.withColumn("part", F.lit(0).cast("long")), 0
+    blocks = heavy.select("band", "key", F.ceil(F.col("n") / most).cast("long").alias("blocks"))
+    cut = rows.join(F.broadcast(blocks) if count <= LEAST_HEAVY else blocks, ["band", "key"], "left")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cut = cut.withColumn("block", F.coalesce(block, F.lit(0).cast("long"))).withColumn("other", F.explode(other))
+    pair = F.least("block", "other") * F.coalesce("blocks", F.lit(1)) + F.greatest("block", "other")
+    copies = heavy.agg(F.sum(F.col("n") * (F.ceil(F.col("n") / most) - 1))).first()[0]
+    return cut.withColumn("part", pair).drop("blocks", "block", "other"), int(copies)
+
+
+def sketch_links(texts: DataFrame, wide: int = WIDE, most: int = BUCKET_ROWS) -> DataFrame:
+    """Links (u, v) that connect the texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key."""
     names = [f"s{k}" for k in range(SKETCH)]
-    bits = key_bits(texts.count())
+    total = texts.count()
+    bits = key_bits(total)
     turned = lambda s, o: F.shiftleft(s, o).bitwiseOR(F.shiftrightunsigned(s, 64 - o)) if o else F.col(s)
     keys = [F.struct(F.lit(k * len(OFFSETS) + j).cast("short").alias("band"), F.shiftrightunsigned(turned(s, o), 64 - bits).alias("key")) for k, s in enumerate(names) for j, o in enumerate(OFFSETS)]
-    rows = texts.select("id", *names, F.explode(F.array(*keys)).alias("k")).select("id", *names, "k.band", "k.key")
-    count = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() * len(keys) // TASK_ROWS + 1)
+    rows, copies = _parts(texts.select("id", *names, F.explode(F.array(*keys)).alias("k")).select("id", *names, "k.band", "k.key"), most)
+    count = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total * len(keys) + copies) // TASK_ROWS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ = [b for b in batches if len(b)]
@@ -405,12 +474,12 @@ def sketch_links(texts: DataFrame, wide: int = WIDE) -> DataFrame:
         t = pa.Table.from_batches(all_)
         col = lambda c: t.column(c).to_numpy()
         ids, words = col("id"), np.column_stack([col(n) for n in names]).view(np.uint64)
-        found = list(_close(words, col("band"), col("key"), wide))
+        found = list(_close(words, col("band"), col("key"), col("part"), wide))
         u, v = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
         pair = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["u", "v"])
 
-    return rows.repartition(count, "band", "key").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition(count, "band", "key", "part").mapInArrow(run, "u long, v long").distinct()
 
 
 def deduplicate(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", wide: int | None = WIDE) -> DataFrame:

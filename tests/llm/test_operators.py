@@ -136,6 +136,24 @@ def test_contamination_without_broadcasts(spark, docs, monkeypatch):
     same([tuple(r) for r in decontaminate.contamination(docs, its).collect()], whole)
 
 
+@pytest.mark.parametrize("bound", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_one_term_in_most_postings_without_broadcasts(spark, bound, monkeypatch):
+    monkeypatch.setattr(decontaminate, bound, 0)
+    monkeypatch.setattr(decontaminate, "POSTING_SALTS", 5)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["the"] * 11 + [f"k{i}"] + ["the"] * i)) for i in range(1, 6)]
+    texts_ = [(i, " ".join(rng.choice(["the"] * 12 + ["k1", "k3", "k5"]) for _ in range(rng.randint(20, 300)))) for i in range(25)]
+    win = windows(rows)
+    want = []
+    for i, t in texts_:
+        w = alnum(t)
+        at = [(a, k) for k in {len(x) for x in win} for a in range(len(w) - k + 1) if tuple(w[a : a + k]) in win]
+        want.append((i, len({p for a, k in at for p in range(a, a + k)}), sorted({x for a, k in at for x in win[tuple(w[a : a + k])]}), near_items(rows, w)))
+    assert any(x[1] for x in want)
+    got = decontaminate.contamination(spark.createDataFrame(texts_, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    same([(r.doc_id, r.n_hit, r.item_ids, r.near_ids) for r in got.collect()], want)
+
+
 def test_proximity_finds_the_rarest_terms_near_each_other(spark):
     d = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, None)], "doc_id long, text string")
     its = spark.createDataFrame([(7, "gamma alpha beta")], "item_id long, text string")
@@ -275,6 +293,34 @@ def test_heavy_prefixes_are_cut_deeper(spark, tail, monkeypatch):
                 assert label[x] == label[y]
 
 
+@pytest.mark.parametrize("most", [1 << 15, 50])
+def test_sketch_links_connect_what_all_pairs_of_a_key_connect(spark, most):
+    """Clouds around a few centres, all in one bucket each: texts that different leaders take are often within reach."""
+    rng = np.random.default_rng(12)
+    bits = []
+    for c in rng.integers(0, 2, (5, 512)):
+        for flips in rng.integers(0, 90, 160):
+            x = c.copy()
+            x[rng.choice(np.arange(64, 512), flips, replace=False)] ^= 1
+            bits.append(x)
+    bits = np.array(bits, dtype=np.uint8)
+    words = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+    n = len(words)
+    table = spark.createDataFrame([(i, *(int(w) for w in row.view(np.int64))) for i, row in enumerate(words)], "id long, " + ", ".join(f"s{k} long" for k in range(8)))
+    wide_key, root = simhash.key_bits(n), np.arange(n)
+    turned = np.concatenate([(words << np.uint64(o)) | (words >> np.uint64((64 - o) % 64)) if o else words for o in simhash.OFFSETS], axis=1) >> np.uint64(64 - wide_key)
+    linked = 0
+    for i in range(n):
+        near = (np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1) <= simhash.WIDE) & (turned[i + 1 :] == turned[i]).any(axis=1)
+        for j in np.flatnonzero(near) + i + 1:
+            linked += 1
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    links = simhash.sketch_links(table, most=most)
+    label = {r.fp: r.root for r in simhash.components(links).collect()}
+    assert linked > 1000 and 5 < len(set(root)) < n
+    assert [label.get(i, i) for i in range(n)] == root.tolist()
+
+
 def test_near_copies_are_one_class_and_other_texts_stay(spark):
     rng = random.Random(4)
     bank = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
