@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from canopyrank.plans import assessment_plans, baseline_plans, construction_plans, evaluation, fusion_plans, leaderboard_plans, proposal_plans, rating_plans, record_plans, region_plans, routing, scalar_plans, snapshot_plans, taxonomy_plans, tournament_plans  # noqa: F401
+    from canopyrank.plans import assessment_plans, baseline_plans, construction_plans, evaluation, fusion_plans, leaderboard_plans, proposal_plans, rating_plans, record_plans, region_plans, routing, scalar_plans, scheduler_plans, snapshot_plans, taxonomy_plans, tournament_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
