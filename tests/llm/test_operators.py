@@ -321,6 +321,17 @@ def test_sketch_links_connect_what_all_pairs_of_a_key_connect(spark, most):
     assert [label.get(i, i) for i in range(n)] == root.tolist()
 
 
+def test_texts_of_different_leaders_are_linked():
+    """A chain a - x - y - b with steps of 60 bits: a and b lead, x and y are only within reach of each other."""
+    at = np.zeros((4, 512), dtype=np.uint8)
+    for row, ones in zip(at, (0, 180, 60, 120)):  # a, b, x, y
+        row[64 : 64 + ones] = 1
+    words = np.packbits(at, axis=1).view(">u8").astype(np.uint64)
+    same_ = np.zeros(4, dtype=np.int64)
+    found = {frozenset(p) for u, v in simhash._close(words, same_, same_, same_, 64) for p in zip(u.tolist(), v.tolist())}
+    assert found == {frozenset(p) for p in ((0, 2), (1, 3), (2, 3))}
+
+
 def test_near_copies_are_one_class_and_other_texts_stay(spark):
     rng = random.Random(4)
     bank = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
