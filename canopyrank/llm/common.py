@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,6 +40,7 @@ def kept_by_worker(kind: str, key, make):
     home = sys.modules.setdefault("_canopyrank_worker", types.ModuleType("_canopyrank_worker"))
     if (getattr(home, "kept", None) or (None,))[0] != (kind, key):
         home.kept = None
+        give_back()
         home.kept = ((kind, key), make())
     return home.kept[1]
 
@@ -44,10 +48,20 @@ def kept_by_worker(kind: str, key, make):
 def nothing_kept() -> None:
     """Let go of what an operator before has left with this Python worker."""
     sys.modules.pop("_canopyrank_worker", None)
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system: a worker outlives its tasks, and Arrow and the C library keep what was freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)
 
 
 #: Bytes of an Arrow batch of texts: what a worker and its executor hold of them at once, but for a single longer text.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def map_texts(rows: DataFrame, run, schema: str | StructType) -> DataFrame:

@@ -180,7 +180,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += max(1, k // 400)
 
 
-def _by_size(tokens: Tokens, texts: pa.Array, most: int = 8_000_000) -> Iterator[bytes]:
+def _by_size(tokens: Tokens, texts: pa.Array, most: int = 500_000) -> Iterator[bytes]:
     """Ids of a batch's texts, so many characters at a time."""
     part, size = [], 0
     for t in texts:
