@@ -196,6 +196,9 @@ def _lv(body):
     return f"WITH {LEAVES} {body}"
 
 
+#: Nats between the two best leaves of a query that may belong to both, and queries in the report.
+BAND, AMBIGUOUS = 0.15, 200
+
 _BEST = "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, leaf) AS k FROM cosx) WHERE k <= 10)"
 
 
@@ -217,6 +220,27 @@ def win06(spark, sf):
     return ranked(spark, sf, 3).groupBy("vec_id").agg(at(1, "leaf").alias("best"), at(2, "leaf").alias("second"), at(3, "leaf").alias("third"), r6(at(1, "c") - at(2, "c")).alias("margin"))
 
 
+@register("win06_ambiguous_queries", _lv(f""", p AS (SELECT vec_id, leaf, 10 * c - ln(sum(exp(10 * c)) OVER (PARTITION BY vec_id)) AS lp, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, leaf) AS k FROM cosx),
+ g AS (SELECT vec_id, max(leaf) FILTER (WHERE k = 1) AS best, max(leaf) FILTER (WHERE k = 2) AS second, max(leaf) FILTER (WHERE k = 3) AS third, exp(max(lp) FILTER (WHERE k = 1)) AS best_p, max(lp) FILTER (WHERE k = 1) - max(lp) FILTER (WHERE k = 2) AS margin, -sum(CASE WHEN exp(lp) > 1e-9 THEN exp(lp) * lp ELSE 0 END) AS h FROM p GROUP BY vec_id)
+ SELECT vec_id, best, second, third, round(best_p, 6) AS best_p, round(h, 6) AS entropy, round(margin, 8) AS margin_nats, coalesce(round(margin, 9) <= {BAND}, false) AS within_band FROM g ORDER BY round(h, 9) DESC, vec_id LIMIT {AMBIGUOUS}"""))
+def win06_ambiguous(spark, sf):
+    """The queries whose posterior over leaves has the most entropy, with the three best leaves and whether the first two lie within the band.
+
+    The margin has eight decimals: cosines have nine, so at six many margins would lie on the edge of rounding.
+    """
+    at = lambda i: F.get("t", F.lit(i))
+    z = leaves_in_order(spark, sf).withColumn("lz", F.ln(F.aggregate("t", F.lit(0.0), lambda a, x: a + F.exp(-10 * x["k"]))))
+
+    def term(a, x):
+        lp = -10 * x["k"] - F.col("lz")
+        return a - F.when(F.exp(lp) > 1e-9, F.exp(lp) * lp).otherwise(0.0)
+
+    margin = 10 * (at(1)["k"] - at(0)["k"])
+    g = z.select("vec_id", *[at(i)["leaf"].alias(n) for i, n in enumerate(("best", "second", "third"))], F.exp(-10 * at(0)["k"] - F.col("lz")).alias("p"), F.aggregate("t", F.lit(0.0), term).alias("h"), margin.alias("margin"))
+    top = g.orderBy(F.desc(F.round("h", 9)), "vec_id").limit(AMBIGUOUS)
+    return top.select("vec_id", "best", "second", "third", r6(F.col("p")).alias("best_p"), r6(F.col("h")).alias("entropy"), F.round("margin", 8).alias("margin_nats"), F.coalesce(F.round("margin", 9) <= BAND, F.lit(False)).alias("within_band"))
+
+
 @register("win07_first_correct_rank", _lv(", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, leaf) AS k FROM cosx) SELECT vec_id, min(k) AS first_correct FROM r WHERE leaf_label = label GROUP BY vec_id"))
 def win07(spark, sf):
     right = F.transform("t", lambda x: x["leaf_label"] == F.col("label"))
