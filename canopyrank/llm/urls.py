@@ -25,8 +25,8 @@ from canopyrank.llm.common import ascii_lower, map_texts
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
 #: Rules are part of the plan; so many are the bound.
