@@ -49,8 +49,10 @@ FRONTIER = 1 << 20
 DEEPER = 6
 #: Words of a sketch, and its bits that may differ: 64 of 512 where five-word shingles are about 0.8 alike.
 SKETCH, WIDE = 8, 64
-#: Where in a word of the sketch a key begins; bits of a key beyond those that tell all texts apart.
-OFFSETS, SPARE_BITS = (0, 16, 32, 48), 3
+#: Where in a word of the sketch a key begins, and its bits: the same for every input, so that what links two texts does not depend on others.
+OFFSETS, KEY_BITS = (0, 16, 32, 48), 16
+#: Rows of a bucket up to which all its pairs are compared, many buckets at a time.
+SMALL_BUCKET = 32
 #: Rows of a block of a bucket of sketches, and crowded buckets (24 bytes each) that one broadcast may name.
 BUCKET_ROWS, LEAST_HEAVY = 1 << 15, 100_000
 
@@ -362,9 +364,9 @@ def classes(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_
     return fps.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id", *more)
 
 
-def key_bits(total: int) -> int:
-    """Bits of a key that leave few texts to meet by chance."""
-    return max(8, min(32, total.bit_length() + SPARE_BITS))
+def key_bits(_total: int | None = None) -> int:
+    """Bits of a key, whatever the number of texts."""
+    return KEY_BITS
 
 
 def _across(words: np.ndarray, leader: list[int], taken: list[np.ndarray], wide: int) -> Iterator[tuple[int, int]]:
@@ -410,17 +412,24 @@ def _across(words: np.ndarray, leader: list[int], taken: list[np.ndarray], wide:
 def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, part: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (places) that connect what lies within reach in the buckets of equal band, key and part.
 
-    In a bucket the first text that no other has been linked to leads: it is compared with all and linked to those
-    within reach. Texts that different leaders took are then compared where the leaders' distance allows a link.
+    In a small bucket all pairs are compared. In a larger one the first text that no other has been linked to leads: it
+    is compared with all and linked to those within reach. Texts that different leaders took are then compared where
+    the leaders' distance allows a link.
     """
     order = np.lexsort((part, key, band))
     cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)) + 1
     start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(order)]])
-    two = end - start == 2
-    a, b = order[start[two]], order[start[two] + 1]
-    near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= wide
-    yield a[near], b[near]
-    for lo, hi in zip(start[end - start > 2], end[end - start > 2]):
+    yield order[:0], order[:0]
+    for m in range(2, SMALL_BUCKET + 1):
+        of, step = start[end - start == m], max(1, (1 << 18) // m)
+        for at in range(0, len(of), step):
+            place = order[of[at : at + step, None] + np.arange(m)]
+            for d in range(1, m):
+                a, b = place[:, :-d].ravel(), place[:, d:].ravel()
+                near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= wide
+                yield a[near], b[near]
+    large = end - start > SMALL_BUCKET
+    for lo, hi in zip(start[large], end[large]):
         at = order[lo:hi]
         own = words[at]
         free = np.ones(len(at), dtype=bool)
@@ -461,7 +470,7 @@ def sketch_links(texts: DataFrame, wide: int = WIDE, most: int = BUCKET_ROWS) ->
     """Links (u, v) that connect the texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key."""
     names = [f"s{k}" for k in range(SKETCH)]
     total = texts.count()
-    bits = key_bits(total)
+    bits = key_bits()
     turned = lambda s, o: F.shiftleft(s, o).bitwiseOR(F.shiftrightunsigned(s, 64 - o)) if o else F.col(s)
     keys = [F.struct(F.lit(k * len(OFFSETS) + j).cast("short").alias("band"), F.shiftrightunsigned(turned(s, o), 64 - bits).alias("key")) for k, s in enumerate(names) for j, o in enumerate(OFFSETS)]
     rows, copies = _parts(texts.select("id", *names, F.explode(F.array(*keys)).alias("k")).select("id", *names, "k.band", "k.key"), most)

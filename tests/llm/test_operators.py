@@ -321,6 +321,24 @@ def test_sketch_links_connect_what_all_pairs_of_a_key_connect(spark, most):
     assert [label.get(i, i) for i in range(n)] == root.tolist()
 
 
+def test_links_of_two_texts_do_not_depend_on_how_many_others_there_are(spark):
+    """Pairs that agree in ever fewer leading bits of each key, alone and among others."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (3, 512))
+    twins = bits.copy()
+    for row, place in zip(twins, (9, 13, 15)):
+        row[[16 * k + place for k in range(32) if k]] ^= 1  # word by word, and the first offset of all
+        row[place] ^= 1
+    pairs = np.concatenate([bits, twins])
+    pairs[2, :16] = pairs[5, :16]  # the last pair agrees in one whole key
+    found = []
+    for others in (0, 6000):
+        words = np.packbits(np.concatenate([pairs, rng.integers(0, 2, (others, 512))]).astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+        table = spark.createDataFrame([(i, *(int(w) for w in row.view(np.int64))) for i, row in enumerate(words)], "id long, " + ", ".join(f"s{k} long" for k in range(8)))
+        found.append({tuple(r) for r in simhash.sketch_links(table).collect() if r.v < 6})
+    assert found == [{(2, 5)}] * 2
+
+
 def test_texts_of_different_leaders_are_linked():
     """A chain a - x - y - b with steps of 60 bits: a and b lead, x and y are only within reach of each other."""
     at = np.zeros((4, 512), dtype=np.uint8)
