@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopyrank.storage import materialise
+from canopyrank.storage import dealt, materialise
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -87,6 +88,19 @@ def chains(edges: DataFrame, least: int) -> DataFrame:
     return heads.join(far, "p").select(F.col("p").alias("head"), "length").filter(F.col("length") >= least)
 
 
+def numbered_chains(steps: DataFrame, first: int, least: int) -> DataFrame:
+    """chains() where nodes are a group's numbers k and an edge leads to k from k - 1: group, k (the head's), length.
+
+    The edge to `first` comes from the group's own node (k null). A row is an edge, repeats count once. No edge leaves
+    its group, so one shuffle by group is all, and a run is what keeps its distance to its place in order.
+    """
+    k, side = F.col("k"), F.col("k") >= first
+    each = dealt(steps.select("group", "k").filter("k IS NOT NULL"), steps.count(), "group").withColumn("side", side)
+    by = W.partitionBy("group", "side").orderBy("k")
+    run = each.withColumn("run", k - F.dense_rank().over(by)).groupBy("group", "side", "run").agg(F.min("k").alias("low"), (F.max("k") - F.min("k") + 1).cast("long").alias("length"))
+    return run.filter(F.col("length") >= least).select("group", F.when(F.col("low") != first, F.col("low") - 1).alias("k"), "length")
+
+
 def run_lengths(single: DataFrame, inside: DataFrame) -> DataFrame:
     """p, length for every node with a single child: nodes on the way from it until one has another number of children.
 

@@ -41,6 +41,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows that one task of a wide step is to hold.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over as many partitions as keep about TASK_ROWS of its rows in each, or as the session has, if these are more."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1), *keys)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A path of its own under the shared folder, for what is to go when the driver ends."""
     at = f"{shared_dir(spark)}/canopyrank/{tag}-{uuid.uuid4().hex}"
