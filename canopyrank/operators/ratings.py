@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopyrank.storage import TASK_ROWS
+
 BETA, DRAW, MU, SIGMA = 25.0 / 6, 0.1, 25.0, 25.0 / 3
 GLOBAL_SHARE = 0.3
 
@@ -142,30 +146,65 @@ def with_anchor(matches: DataFrame) -> DataFrame:
     return rows.select("x.domain", "ts", "event_id", "a", "b", "outcome", "x.conf")
 
 
+#: Columns of a log that are packed.
+PACKED = ("a", "b", "outcome", "conf")
+
+
+def packed(log: DataFrame) -> DataFrame:
+    """A log in order of (domain, ts, event_id), a batch of a domain's matches to a row: domain, ts and event_id of the first, chunk (its place in the partition), log (Arrow, each column by its distinct values, compressed)."""
+    parts = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // TASK_ROWS + 1)
+    order = ("domain", "ts", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = 0
+        for b in batches:
+            domain = b.column("domain")
+            ends = [*(np.flatnonzero(pc.not_equal(domain[1:], domain[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(b)]
+            for lo, hi in zip([0, *ends], ends):
+                if hi > lo:
+                    rows = pa.table({c: b.column(c).slice(lo, hi - lo).dictionary_encode() for c in PACKED})
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_table(rows)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 1) for c in order), pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], [*order, "chunk", "log"])
+                    chunk += 1
+
+    kinds = dict(log.dtypes)
+    rows = log.filter("domain IS NOT NULL").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in order) + ", chunk long, log binary")
+
+
 def ratings(matches: DataFrame) -> DataFrame:
     """Ratings by domain after all matches in order of (ts, event_id): domain, agent, mu, sigma, ordinal.
 
     Matches may have a column conf, which moves the ratings by that share only. Each match also counts for the domain
     global, with GLOBAL_SHARE of its confidence. The update depends on order, so one task goes through a domain's
-    log, but batch by batch: it holds the ratings of one domain and no log.
+    log; it is sorted and packed by many tasks before, and unpacked there a batch at a time.
     """
     def rows(domain, state):
         return pd.DataFrame([(domain, k, *state[k]) for k in sorted(state)], columns=["domain", "agent", "mu", "sigma"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def column(table: pa.Table, name: str) -> list:
+        part = table.column(name).combine_chunks()
+        values = part.dictionary.to_pylist()
+        return [None if k is None else values[k] for k in part.indices.to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         domain, state = None, {}
-        for pdf in batches:
-            for key, part in pdf.groupby("domain", sort=True):
-                if key != domain and state:
-                    yield rows(domain, state)
+        for batch in batches:
+            for key, log in zip(batch.column("domain"), batch.column("log")):
+                if key.as_py() != domain and state:
+                    yield pa.RecordBatch.from_pandas(rows(domain, state), preserve_index=False)
                     state = {}
-                domain = key
-                state = rate_log(zip(part["a"], part["b"], part["outcome"], part["conf"]), state)
+                domain = key.as_py()
+                part = pa.ipc.open_stream(log.as_buffer()).read_all()
+                state = rate_log(zip(*(column(part, c) for c in PACKED)), state)
         if state:
-            yield rows(domain, state)
+            yield pa.RecordBatch.from_pandas(rows(domain, state), preserve_index=False)
 
-    log = with_anchor(matches).repartition("domain").sortWithinPartitions("domain", "ts", "event_id")
-    got = log.mapInPandas(run, "domain string, agent string, mu double, sigma double")
+    # by number: packed rows are so small that domains would be put into one task otherwise
+    log = packed(with_anchor(matches)).repartition(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "domain").sortWithinPartitions("domain", "ts", "event_id", "chunk").select("domain", "log")
+    got = log.mapInArrow(run, "domain string, agent string, mu double, sigma double")
     return got.withColumn("ordinal", F.col("mu") - 2 * F.col("sigma"))
 
 

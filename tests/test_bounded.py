@@ -39,3 +39,20 @@ def test_numbered_chains_equal_following_edges(spark):
     for least in (1, 3):
         got = [(f"o{r.group}" + ("" if r.k is None else f"l{r.k}"), r.length) for r in graph.numbered_chains(steps, 1, least).collect()]
         assert sorted(got) == plain(edges, least)
+
+
+def test_a_log_is_packed_in_order_and_rated_as_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ratings, "TASK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    n = 700
+    log = pd.DataFrame({"domain": rng.choice(["d", "e", "global"], n), "ts": rng.integers(0, 90, n), "event_id": rng.permutation(n), "a": rng.choice(list("xyz"), n), "b": rng.choice(list("uvw"), n), "wa": rng.integers(0, 2, n) * 1.0, "wb": rng.integers(0, 2, n) * 1.0, "conf": rng.random(n)})
+    df = spark.createDataFrame(log)
+    assert ratings.packed(ratings.with_anchor(df)).count() < 200
+    got = {(r.domain, r.agent): (r.mu, r.sigma) for r in ratings.ratings(df).collect()}
+    want = {}
+    log = log.sort_values(["ts", "event_id"])
+    for d in ("d", "e", "global"):
+        some = log if d == "global" else log[log["domain"] == d]
+        share = np.where((some["domain"] == d), 1.0, ratings.GLOBAL_SHARE)
+        want |= {(d, k): v for k, v in ratings.rate_log(zip(some["a"], some["b"], some["wa"] - some["wb"], some["conf"] * share)).items()}
+    assert got == want
