@@ -212,30 +212,79 @@ def ratings(matches: DataFrame) -> DataFrame:
 SWAPS = 1 << 20
 
 
-def permutation_p(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: int = 10000, seed: int = 42) -> tuple[float, float]:
-    """Difference of two scores' rank correlations with the truth, and how often swaps within items give one as large."""
-    def rho(m: np.ndarray) -> np.ndarray:
-        r = pd.DataFrame(m).rank(axis=1).to_numpy()
-        t = pd.Series(truth).rank().to_numpy()
-        r, t = r - r.mean(axis=1, keepdims=True), t - t.mean()
-        scale = np.sqrt((r * r).sum(axis=1) * (t @ t))
-        return np.where(scale > 0, (r @ t) / np.where(scale > 0, scale, 1), 0.0)
-
-    base = float((rho(one[None]) - rho(two[None]))[0])
-    random, block, hits = np.random.default_rng(seed), max(1, SWAPS // max(1, len(truth))), 0
+#: Tasks that share out the rounds of a group's permutation test.
+SHARES = 8
+
+
+def _runs(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of the last key first, and where a new combination of keys starts there."""
+    order = np.lexsort(by)
+    new = np.any([k[order][1:] != k[order][:-1] for k in by], axis=0)
+    return order, np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def permutation_hits(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: int, seed: int = 42, first: int = 0) -> tuple[float, int]:
+    """Difference of two scores' rank correlations with the truth, and how many of so many swaps within items, from the first on, give one as large.
+
+    Items with equal truth and scores are a cell: how many of them are swapped tells the ranks, so what is drawn for
+    each item is summed by cell, and a round costs a few steps for each cell.
+    """
+    n = len(truth)
+    missing, one, two = np.isnan(truth).any(), np.asarray(one, dtype=float), np.asarray(two, dtype=float)
+    lost1, lost2 = np.isnan(one), np.isnan(two)
+    order, start = _runs(*(np.nan_to_num(v, nan=np.inf) for v in (two, one, truth)))
+    sorted_ = bool((order == np.arange(n)).all())
+    size = np.diff(np.append(start, n)).astype(float)
+    at = order[start]
+    t = pd.Series(truth).rank().to_numpy()[at]
+    t = t - (n + 1) / 2
+    values, place = np.unique(np.nan_to_num(np.concatenate([one[at], two[at]]), nan=np.inf), return_inverse=True)
+    p1, p2 = place[: len(at)], place[len(at) :]
+    (o1, s1), (o2, s2) = _runs(p1), _runs(p2)
+    lost1, lost2 = lost1[at], lost2[at]
+    tt = float((size * t) @ t)
+
+    def rho(a: np.ndarray) -> np.ndarray:
+        """Rank correlations where a of each cell's items show the first score, the others the second."""
+        b = size - a
+        count = np.zeros((len(a), len(values)))
+        count[:, p1[o1][s1]] += np.add.reduceat(a[:, o1], s1, axis=1)
+        count[:, p2[o2][s2]] += np.add.reduceat(b[:, o2], s2, axis=1)
+        r = np.cumsum(count, axis=1) - count + (count + 1) / 2 - (n + 1) / 2
+        scale = np.sqrt((count * r * r).sum(axis=1) * tt)
+        whole = (scale > 0) & ~missing & (a[:, lost1].sum(axis=1) + b[:, lost2].sum(axis=1) == 0)
+        return np.where(whole, ((a * r[:, p1] + b * r[:, p2]) @ t) / np.where(scale > 0, scale, 1), 0.0)
+
+    base = float((rho(size[None]) - rho(0 * size[None]))[0])
+    random, block, hits = np.random.default_rng(seed), max(1, SWAPS // max(1, n)), 0
+    random.bit_generator.advance(first * n)  # a number for each item and round
     for done in range(0, rounds, block):
-        swap = random.random((min(block, rounds - done), len(truth))) < 0.5
-        delta = rho(np.where(swap, one, two)) - rho(np.where(swap, two, one))
+        swap = (random.random((min(block, rounds - done), n)) < 0.5).view(np.uint8)
+        a = np.add.reduceat(swap if sorted_ else swap[:, order], start, axis=1, dtype=np.int32).astype(float)
         # swapped sums differ in the last bit
-        hits += int((np.abs(delta) >= abs(base) - 1e-12).sum())
+        hits += int((np.abs(rho(a) - rho(size - a)) >= abs(base) - 1e-12).sum())
+    return base, hits
+
+
+def permutation_p(truth: np.ndarray, one: np.ndarray, two: np.ndarray, rounds: int = 10000, seed: int = 42) -> tuple[float, float]:
+    """Difference of two scores' rank correlations with the truth, and how often swaps within items give one as large."""
+    base, hits = permutation_hits(truth, one, two, rounds, seed)
     return base, hits / rounds
 
 
 def permutation_test(items: DataFrame, key: str, truth: str, one: str, two: str, rounds: int = 10000) -> DataFrame:
-    """permutation_p of every key: key, delta, p. A group's items are held by one task."""
+    """permutation_p of every key: key, delta, p. A group's rounds are shared out; a task holds how often each combination of values occurs in the group."""
+    kind = dict(items.dtypes)[key]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([truth, one, two])
-        d, p = permutation_p(*[pdf[c].to_numpy(dtype=float) for c in (truth, one, two)], rounds)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "delta": [d], "p": [p]})
-
-    return items.select(key, truth, one, two).groupBy(key).applyInPandas(run, f"{key} {dict(items.dtypes)[key]}, delta double, p double")
+        share = int(pdf["share"].iloc[0])
+        first, last = rounds * share // SHARES, rounds * (share + 1) // SHARES
+        cells = [np.repeat(pdf[c].to_numpy(dtype=float), pdf["count"]) for c in (truth, one, two)]
+        d, hits = permutation_hits(*cells, last - first, first=first)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "delta": [d], "hits": [hits]})
+
+    counts = items.groupBy(key, truth, one, two).count().withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    # as many groups as there are keys and shares: more partitions, so that few of them meet in one task
+    got = counts.repartition(4 * SHARES * 4, key, "share").groupBy(key, "share").applyInPandas(run, f"{key} {kind}, delta double, hits long")
+    return got.groupBy(key).agg(F.first("delta").alias("delta"), (F.sum("hits") / rounds).alias("p"))

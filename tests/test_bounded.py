@@ -56,3 +56,25 @@ def test_a_log_is_packed_in_order_and_rated_as_one_by_one(spark, monkeypatch):
         share = np.where((some["domain"] == d), 1.0, ratings.GLOBAL_SHARE)
         want |= {(d, k): v for k, v in ratings.rate_log(zip(some["a"], some["b"], some["wa"] - some["wb"], some["conf"] * share)).items()}
     assert got == want
+
+
+def by_item(truth, one, two, rounds):
+    """Every item swapped and ranked for itself."""
+    def rho(m):
+        r, t = pd.Series(m).rank().to_numpy(), pd.Series(truth).rank().to_numpy()
+        return np.corrcoef(r, t)[0, 1] if len(set(m)) > 1 else 0.0
+
+    base, random = rho(one) - rho(two), np.random.default_rng(42)
+    swaps = [random.random(len(truth)) < 0.5 for _ in range(rounds)]
+    return base, [abs(rho(np.where(s, one, two)) - rho(np.where(s, two, one))) >= abs(base) - 1e-12 for s in swaps]
+
+
+def test_swaps_by_cell_equal_swaps_by_item_and_rounds_can_be_shared_out(spark):
+    truth, one, two = np.random.default_rng(8).integers(0, 5, (3, 80)).astype(float)
+    base, hits = by_item(truth, one, two, 120)
+    assert ratings.permutation_hits(truth, one, two, 120) == (pytest.approx(base), sum(hits))
+    assert [ratings.permutation_hits(truth, one, two, 40, first=f)[1] for f in (0, 40, 80)] == [sum(hits[f : f + 40]) for f in (0, 40, 80)]
+    items = spark.createDataFrame(pd.DataFrame({"k": "g", "t": truth, "x": one, "y": two}))
+    order = np.lexsort((two, one, truth))
+    got = ratings.permutation_test(items, "k", "t", "x", "y", 120).collect()
+    assert [(r.delta, r.p) for r in got] == [ratings.permutation_p(truth[order], one[order], two[order], 120)]
