@@ -52,7 +52,8 @@ def scores(counts: DataFrame, nodes: DataFrame) -> DataFrame:
 def top_terms(texts: DataFrame, nodes: DataFrame, top: int = TOP) -> DataFrame:
     """node, depth, place, term, score: up to so many terms for each node with texts, the best first, at a tie the first in order."""
     nodes = materialise(nodes, "nodes")  # read for every level
-    rolled = materialise(rolled_up(term_counts(texts), nodes), "rolled")
+    # texts are read once: the counts are read for every level
+    rolled = materialise(rolled_up(materialise(term_counts(texts), "counts"), nodes), "rolled")
     best = materialise(scores(rolled, nodes), "scores")
     out, taken = None, None
     for depth in [r["depth"] for r in nodes.select("depth").distinct().orderBy(F.desc("depth")).collect()]:

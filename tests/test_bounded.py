@@ -78,3 +78,19 @@ def test_swaps_by_cell_equal_swaps_by_item_and_rounds_can_be_shared_out(spark):
     order = np.lexsort((two, one, truth))
     got = ratings.permutation_test(items, "k", "t", "x", "y", 120).collect()
     assert [(r.delta, r.p) for r in got] == [ratings.permutation_p(truth[order], one[order], two[order], 120)]
+
+
+def test_texts_are_counted_once_for_all_levels(spark, monkeypatch):
+    tags, write = [], labels.materialise
+    monkeypatch.setattr(labels, "materialise", lambda df, tag: tags.append(tag) or write(df, tag))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(t):
+        seen.add(1)
+        return t
+
+    texts = spark.createDataFrame([("a", "one two three"), ("b", "two two four")], "node string, text string").coalesce(1)
+    nodes = spark.createDataFrame([("a", "r", 1), ("b", "r", 1), ("r", None, 0)], "node string, parent string, depth int")
+    assert labels.top_terms(texts.select("node", read.asNondeterministic()("text").alias("text")), nodes).count() > 0
+    assert "counts" in tags and seen.value == 2
