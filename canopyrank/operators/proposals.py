@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.functions.vectors import sums
 from canopyrank.operators.mixtures import Held, Spread, fit_of, separation_of, split
 from canopyrank.operators.routing import _dots, steps
 from canopyrank.operators.topology import Node, Settings, Taxonomy
@@ -31,6 +30,28 @@ REDUNDANT = 0.92
 Cell = tuple[float, np.ndarray]
 
 
+def cell_sums(members: DataFrame) -> dict[str, Cell]:
+    """Mass and component sum of every node from (node, v, perhaps weight): each task adds up its rows as arrays, and a row for each task, node and component is shuffled."""
+    m = members.select("node", "v", (F.col("weight") if "weight" in members.columns else F.lit(1.0)).cast("double").alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, np.ndarray] = {}
+        for b in batches:
+            if len(b):
+                names, of = np.unique(np.array(b.column("node").to_pylist(), dtype=object), return_inverse=True)
+                w = b.column("weight").to_numpy(zero_copy_only=False)
+                x = np.column_stack([np.ones(len(b)), np.asarray(b.column("v").flatten(), dtype=float).reshape(len(b), -1)]) * w[:, None]
+                for j, name in enumerate(names):
+                    new = x[of == j].sum(axis=0)
+                    got[name] = got[name] + new if name in got else new
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array(list(map(list, got.values())), pa.list_(pa.float64()))], ["node", "r"])
+
+    each = m.mapInArrow(run, "node string, r array<double>").select("node", F.posexplode("r").alias("i", "x"))
+    whole = each.groupBy("node", "i").agg(F.sum("x").alias("x")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
+    return {r["node"]: (r["r"][0]["x"], np.array([c["x"] for c in r["r"][1:]])) for r in whole.collect()}
+
+
 @dataclass
 class Cells:
     """Mass and component sum of every node that holds members itself."""
@@ -45,7 +66,7 @@ class Cells:
     @staticmethod
     def read(members: DataFrame) -> "Cells":
         """From memberships (node, v, weight): as many rows as there are nodes reach the driver."""
-        return Cells({r["node"]: (float(r["n"]), np.array(r["total"])) for r in sums(members, "node", "v", F.col("weight")).collect()})
+        return Cells(cell_sums(members))
 
     @staticmethod
     def _value(count: int, n: float, total: np.ndarray, pairs: float, within: float) -> float:
@@ -117,14 +138,13 @@ def gates(members: DataFrame, tree: Taxonomy, s: Settings, viable: Iterable[str]
 
 def viable_residuals(hits: DataFrame, queries: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) -> set[str]:
     """Nodes whose residual queries are as many as the least and separate from what every sibling holds."""
-    held = sums(hits.join(queries.select("vec_id", "v"), "vec_id"), "node", "v").collect()
     out = set()
-    for r in held:
-        if r["n"] >= s.least:
-            own, parent = (float(r["n"]), np.array(r["total"])), tree.nodes[r["node"]].parent
-            beside = [cells.region(tree, k.name) for k in tree.children(parent) if k.name != r["node"]]
+    for node, own in cell_sums(hits.join(queries.select("vec_id", "v"), "vec_id").select("node", "v")).items():
+        if own[0] >= s.least:
+            parent = tree.nodes[node].parent
+            beside = [cells.region(tree, k.name) for k in tree.children(parent) if k.name != node]
             if all(m <= 0 or separation_of(np.array([own[0], m]), np.stack([own[1], t])) >= s.epsilon for m, t in beside):
-                out.add(r["node"])
+                out.add(node)
     return out
 
 
@@ -146,8 +166,11 @@ def split_parts(members: DataFrame, s: Settings, most: int = HELD) -> dict[str,
     rows = members.select("node", "vec_id", "v", weight.alias("weight")).persist()
     found: dict[str, tuple[str, list[Cell], float]] = {}
     try:
-        large = sorted(r["node"] for r in rows.groupBy("node").count().filter(F.col("count") > most).collect())
+        counts = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}
+        large = sorted(n for n, c in counts.items() if c > most)
         few = rows.filter(~F.col("node").isin(large)) if large else rows
+        # by number, so that small nodes are not put into one task: each may take as long as all others
+        few = few.repartition(max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * len(counts)), "node")
         for r in few.groupBy("node").applyInArrow(run, "node string, gate string, size array<double>, total array<array<double>>, sep double").orderBy("node").collect():
             found[r["node"]] = (r["gate"], [(m, np.array(t)) for m, t in zip(r["size"], r["total"])], r["sep"])
         for node in large:

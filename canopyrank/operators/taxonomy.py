@@ -66,6 +66,7 @@ def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, Data
 
     Gives the taxonomy, the memberships (vec_id, node, weight) and a record for each round. Every query keeps a mass of one.
     """
+    queries = materialise(queries, "queries")  # read several times in every round
     tree, history, quiet = bootstrap(queries), [], 0
     members, hits = routed(queries, tree, s)
     members = materialise(members, "members")

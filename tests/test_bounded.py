@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyrank import storage
-from canopyrank.operators import graph, labels, ratings
+from canopyrank.operators import graph, labels, proposals, ratings, taxonomy
 from canopyrank.plans import registry
 from tests.test_graph import plain
 
@@ -94,3 +94,28 @@ def test_texts_are_counted_once_for_all_levels(spark, monkeypatch):
     nodes = spark.createDataFrame([("a", "r", 1), ("b", "r", 1), ("r", None, 0)], "node string, parent string, depth int")
     assert labels.top_terms(texts.select("node", read.asNondeterministic()("text").alias("text")), nodes).count() > 0
     assert "counts" in tags and seen.value == 2
+
+
+def test_cells_are_summed_by_task_before_rows_are_shuffled(spark):
+    rng = np.random.default_rng(9)
+    x, w, node = rng.normal(size=(400, 6)), rng.random(400), rng.choice(list("abc"), 400)
+    members = spark.createDataFrame([(n, v.tolist(), float(u)) for n, v, u in zip(node, x, w)], "node string, v array<double>, weight double")
+    got = proposals.cell_sums(members.repartition(3))
+    assert set(got) == set("abc")
+    for n, (mass, total) in got.items():
+        assert np.isclose(mass, w[node == n].sum()) and np.allclose(total, w[node == n] @ x[node == n])
+    assert proposals.cell_sums(members.filter("node = 'z'")) == {}
+
+
+def test_evolution_derives_the_queries_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        read.add(1)
+        return k
+
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, i % 2, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "vec_id long, category int, v array<double>")
+    taxonomy.evolve(rows.select(seen.asNondeterministic()("vec_id").alias("vec_id"), "category", "v"), taxonomy.Settings(rounds=1, least=10))
+    assert read.value == 60
