@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyrank.llm.common import discard, map_texts, materialise, nothing_kept
@@ -53,6 +53,10 @@ SKETCH, WIDE = 8, 64
 OFFSETS, KEY_BITS = (0, 16, 32, 48), 16
 #: Rows of a bucket up to which all its pairs are compared, many buckets at a time.
 SMALL_BUCKET = 32
+#: Links that a forest may have for each node that has a lesser one, and the part of them that a further step may leave.
+SPARE, GAIN = 1.1, 0.95
+#: Links that are joined at once, and pieces that they may come in.
+LINKS, PIECES = 1 << 20, 1 << 13
 #: Rows of a block of a bucket of sketches, and crowded buckets (24 bytes each) that one broadcast may name.
 BUCKET_ROWS, LEAST_HEAVY = 1 << 15, 100_000
 
@@ -329,9 +333,30 @@ def near_pairs(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return fps.mapInPandas(run, "u long, v long")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links (u, v), u the lesser, that connect what the given links connect, about as many as there are linked nodes.
+
+    A node's links to lesser ones are handed to the least of these: a node keeps one, the others become links between
+    the lesser nodes, where most are alike. So no step adds a link. It ends when few nodes have a second lesser one,
+    or little is gained.
+    """
+    least = F.min("u").over(Window.partitionBy("v"))
+    rows, before = materialise(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links"), None
+    while True:
+        n, nodes = rows.groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        if n <= SPARE * nodes or (before is not None and n > GAIN * before):
+            return rows
+        handed = rows.withColumn("least", least).select(F.col("least").alias("u"), F.when(F.col("u") == F.col("least"), F.col("v")).otherwise(F.col("u")).alias("v"))
+        fewer = materialise(handed.distinct(), "links")
+        discard(rows)
+        rows, before = fewer, n
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (u, v): fp, root, for every linked node. Labels halve their paths each round."""
-    both = materialise(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    links = forest(links)
+    both = materialise(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    discard(links)
     label = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "fp"), "labels")
     while True:
         seen = both.join(label.select(F.col("fp").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
@@ -369,52 +394,58 @@ def key_bits(_total: int | None = None) -> int:
     return KEY_BITS
 
 
-def _across(words: np.ndarray, leader: list[int], taken: list[np.ndarray], wide: int) -> Iterator[tuple[int, int]]:
-    """Links between clusters of a bucket that no leader has joined, one for each pair of components that meet.
+def _crowd(words: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) that connect what lies within reach in one bucket, fewer than it has texts.
 
-    Members within `wide` of each other lie within 3 * wide by their leaders, and each within 2 * wide of the
-    other's leader; only such members of clusters not joined yet are compared.
+    The first text that no other has taken leads: it is compared with all, takes those within reach that are free, and
+    of the others' within reach one for each component. Then texts of different leaders are compared where no link has
+    joined these: what lies within `wide` of each other lies within 3 * wide by their leaders, and each within
+    2 * wide of the other's leader.
     """
-    many = [k for k in range(len(leader)) if len(taken[k])]
-    if len(many) < 2:
-        return
-    root = list(range(len(leader)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
     apart = lambda x, y: np.bitwise_count(words[x] ^ words[y]).sum(axis=-1)
-    owner: dict[int, int] = {}
-    for k, members in enumerate(taken):
-        for m in members.tolist():
-            root[top(k)] = top(owner.setdefault(m, k))
-    heads = np.array([leader[k] for k in many], dtype=np.int64)
-    for i, a in enumerate(many):
-        for j in np.flatnonzero(apart(heads[i + 1 :], leader[a]) <= 3 * wide) + i + 1:
-            b = many[j]
-            if top(a) == top(b):
+    owner = np.full(len(words), -1)
+    label = np.arange(len(words))  # of each leader's cluster: its component
+    leader: list[int] = []
+    for i in range(len(words)):
+        if owner[i] >= 0:
+            continue
+        near, k = np.flatnonzero(np.bitwise_count(words ^ words[i]).sum(axis=1) <= wide), len(leader)
+        taken = owner[near] >= 0
+        met, fresh = near[taken], near[~taken]
+        owner[fresh] = k
+        leader.append(i)
+        if len(met):
+            of, first = np.unique(label[owner[met]], return_index=True)
+            met = met[first]
+            label[:k][np.isin(label[:k], of)] = k
+        to = np.concatenate([fresh[fresh != i], met])
+        yield np.full(len(to), i), to
+    owner[leader] = -1  # these have met all others
+    members = np.flatnonzero(owner >= 0)
+    members = members[np.argsort(owner[members], kind="stable")]
+    many, start = np.unique(owner[members], return_index=True)
+    taken, heads, label = np.split(members, start[1:]), np.array(leader)[many], label[many]
+    for a in range(len(many)):
+        rest = np.flatnonzero(label[a + 1 :] != label[a]) + a + 1
+        for b in rest[apart(heads[rest], heads[a]) <= 3 * wide]:
+            if label[a] == label[b]:
                 continue
-            x = taken[a][apart(taken[a], leader[b]) <= 2 * wide]
-            y = taken[b][apart(taken[b], leader[a]) <= 2 * wide]
+            x = taken[a][apart(taken[a], heads[b]) <= 2 * wide]
+            y = taken[b][apart(taken[b], heads[a]) <= 2 * wide]
             if not len(x):
                 continue
             for m in y:
                 hit = np.flatnonzero(apart(x, m) <= wide)
                 if len(hit):
-                    root[top(a)] = top(b)
-                    yield int(x[hit[0]]), int(m)
+                    label[label == label[b]] = label[a]
+                    yield x[hit[:1]], np.array([m])
                     break
 
 
 def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, part: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (places) that connect what lies within reach in the buckets of equal band, key and part.
 
-    In a small bucket all pairs are compared. In a larger one the first text that no other has been linked to leads: it
-    is compared with all and linked to those within reach. Texts that different leaders took are then compared where
-    the leaders' distance allows a link.
+    In a small bucket all pairs are compared, and those within reach given; for a larger one see _crowd.
     """
     order = np.lexsort((part, key, band))
     cut = np.flatnonzero((np.diff(band[order]) != 0) | (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)) + 1
@@ -431,19 +462,22 @@ def _close(words: np.ndarray, band: np.ndarray, key: np.ndarray, part: np.ndarra
     large = end - start > SMALL_BUCKET
     for lo, hi in zip(start[large], end[large]):
         at = order[lo:hi]
-        own = words[at]
-        free = np.ones(len(at), dtype=bool)
-        leader, taken = [], []
-        for i in range(len(at)):
-            if free[i]:
-                hit = np.bitwise_count(own ^ own[i]).sum(axis=1) <= wide
-                free &= ~hit
-                hit[i] = False
-                leader.append(i)
-                taken.append(np.flatnonzero(hit))
-                yield np.full(hit.sum(), at[i]), at[hit]
-        more = np.array(list(_across(own, leader, taken, wide)), dtype=np.int64).reshape(-1, 2)
-        yield at[more[:, 0]], at[more[:, 1]]
+        for a, b in _crowd(words[at], wide):
+            yield at[a], at[b]
+
+
+def _gathered(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same links in fewer, bounded pieces."""
+    some, n = [], 0
+    for a, b in links:
+        if len(a):
+            some.append((a, b))
+            n += len(a)
+        if n >= LINKS or len(some) >= PIECES:
+            yield tuple(np.concatenate(x) for x in zip(*some))
+            some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(x) for x in zip(*some))
 
 
 def _parts(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -467,7 +501,10 @@ def _parts(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 
 def sketch_links(texts: DataFrame, wide: int = WIDE, most: int = BUCKET_ROWS) -> DataFrame:
-    """Links (u, v) that connect the texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key."""
+    """Links (u, v) that connect the texts (id, s0, s1, ...) whose sketches differ in at most `wide` bits and agree in a key.
+
+    A task links each of its texts at most once, to the least that it is connected with there.
+    """
     names = [f"s{k}" for k in range(SKETCH)]
     total = texts.count()
     bits = key_bits()
@@ -483,10 +520,10 @@ def sketch_links(texts: DataFrame, wide: int = WIDE, most: int = BUCKET_ROWS) ->
         t = pa.Table.from_batches(all_)
         col = lambda c: t.column(c).to_numpy()
         ids, words = col("id"), np.column_stack([col(n) for n in names]).view(np.uint64)
-        found = list(_close(words, col("band"), col("key"), col("part"), wide))
-        u, v = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
-        pair = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["u", "v"])
+        own, place = np.unique(ids, return_inverse=True)
+        links = ((place[a], place[b]) for a, b in _close(words, col("band"), col("key"), col("part"), wide))
+        v, u = spanning_links(own, _gathered(links))
+        yield pa.RecordBatch.from_arrays([pa.array(own[u], pa.int64()), pa.array(own[v], pa.int64())], ["u", "v"])
 
     return rows.repartition(count, "band", "key", "part").mapInArrow(run, "u long, v long").distinct()
 

@@ -339,6 +339,27 @@ def test_links_of_two_texts_do_not_depend_on_how_many_others_there_are(spark):
     assert found == [{(2, 5)}] * 2
 
 
+def test_crowded_buckets_connect_what_all_pairs_connect_with_fewer_links_than_texts():
+    """Buckets on both sides of the size up to which all pairs are compared; chains that only members of two leaders join."""
+    rng = np.random.default_rng(8)
+    for n, spread in ((40, 50), (150, 75), (300, 38)):
+        bits = np.tile(rng.integers(0, 2, (3, 512)), (n // 3 + 1, 1))[:n]
+        for row in bits:
+            row[rng.choice(512, rng.integers(1, spread), replace=False)] ^= 1
+        words = np.packbits(bits.astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+        for row, ones in zip(words, (0, 180, 60, 120)):  # a - x - y - b with steps of 60 bits
+            row[:] = np.packbits(np.arange(512) < ones).view(">u8").astype(np.uint64)
+        found = [p for u, v in simhash._crowd(words, 64) for p in zip(u.tolist(), v.tolist())]
+        root, want = np.arange(n), np.arange(n)
+        for i, j in found:
+            assert np.bitwise_count(words[i] ^ words[j]).sum() <= 64
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+        for i in range(n):
+            for j in np.flatnonzero(np.bitwise_count(words ^ words[i]).sum(axis=1) <= 64):
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+        assert root.tolist() == want.tolist() and len(found) == n - len(set(want.tolist()))
+
+
 def test_texts_of_different_leaders_are_linked():
     """A chain a - x - y - b with steps of 60 bits: a and b lead, x and y are only within reach of each other."""
     at = np.zeros((4, 512), dtype=np.uint8)
@@ -350,6 +371,39 @@ def test_texts_of_different_leaders_are_linked():
     assert found == {frozenset(p) for p in ((0, 2), (1, 3), (2, 3))}
 
 
+def test_links_of_near_copies_are_about_as_many_as_the_copies(spark):
+    """Sketches around one centre, within reach of many others each: links grow as the group does, not as its square."""
+    rng = np.random.default_rng(7)
+    centre, per_text = rng.integers(0, 2, 512), []
+    for n in (200, 800):
+        bits = np.tile(centre, (n, 1))
+        for row in bits:
+            row[rng.choice(512, rng.integers(20, 60), replace=False)] ^= 1
+        words = np.packbits(bits.astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+        table = spark.createDataFrame([(i, *(int(w) for w in row.view(np.int64))) for i, row in enumerate(words)], "id long, " + ", ".join(f"s{k} long" for k in range(8)))
+        links = simhash.sketch_links(table)
+        assert links.count() < 4 * n  # at most one for each text in each of the session's four tasks
+        thin = simhash.forest(links)
+        assert thin.count() <= 1.1 * n and thin.filter("u >= v").isEmpty()
+        per_text.append(thin.count() / n)
+    assert per_text[1] < 1.5 * per_text[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_forest_connects_what_its_links_connect(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(-40, 40, (70, 2)) if a != b}  # some stand alone
+    pairs |= {(int(v), 100 + int(u)) for v in range(200, 300) for u in rng.integers(0, 8, 5)}  # many ways to few
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame(sorted(pairs), "u long, v long")
+    thin = simhash.forest(links)
+    assert thin.count() < len(pairs) // 2 and thin.filter("u >= v").isEmpty()
+    assert {r.fp: r.root for r in simhash.components(thin).collect()} == {r.fp: r.root for r in simhash.components(links).collect()} == root
+
+
 def test_near_copies_are_one_class_and_other_texts_stay(spark):
     rng = random.Random(4)
     bank = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
