@@ -6,6 +6,7 @@ Both forms give the same sums; only those reach the driver.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,18 @@ from pyspark.sql import functions as F
 
 #: A mean and, below it, directions as rows; members are projected as (x - mean) @ directions.T, scaled to length one.
 Basis = tuple[np.ndarray, np.ndarray]
+#: Members of a node whose vectors a task holds in memory: 16 MB at 64 dimensions. Those of a larger node lie in a file of the task.
+HELD = 1 << 15
+#: Members that a step takes at a time, so that they stay in a processor's cache.
+BLOCK = 1 << 12
+
+
+def room(n: int, d: int) -> np.ndarray:
+    """An array for n vectors: up to HELD in memory, otherwise in a file without a name, which goes with the array."""
+    if n <= HELD:
+        return np.empty((n, d))
+    with tempfile.TemporaryFile() as file:
+        return np.memmap(file, float, "w+", shape=(n, d)).view(np.ndarray)
 
 
 def kappa_of(r: float, n: float, d: int) -> float:
@@ -41,10 +54,12 @@ def shares(x: np.ndarray, mu: np.ndarray, kappa: np.ndarray, weight: np.ndarray)
     z = kappa / nu
     root = np.sqrt(1 + z * z)
     log_c = nu * np.log(kappa) - (nu + 1) * np.log(2 * np.pi) - (nu * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * np.pi * nu * root))
-    logp = np.log(weight) + log_c + kappa * (x @ mu.T)
-    top = logp.max(axis=1, keepdims=True)
+    # a row for each part: sums over the few parts run along the rows
+    logp = (np.log(weight) + log_c)[:, None] + kappa[:, None] * (mu @ x.T)
+    top = logp.max(axis=0)
     p = np.exp(logp - top)
-    return p / p.sum(axis=1, keepdims=True), top[:, 0] + np.log(p.sum(axis=1))
+    whole = p.sum(axis=0)
+    return (p / whole).T, top + np.log(whole)
 
 
 def leading(n: float, total: np.ndarray, moment: np.ndarray, k: int) -> Basis:
@@ -68,30 +83,43 @@ class Held:
     """A node's members as arrays, in order of their ids; y are their projections, where the mixture is fitted."""
 
     def __init__(self, x: np.ndarray, w: np.ndarray | None = None, basis: Basis | None = None):
-        self.x, self.y = x, project(x, basis)
+        self.x = self.y = x
         self.w = np.ones(len(x)) if w is None else w
+        if basis is not None:
+            self.y = room(len(x), len(basis[1]))
+            for at in self._blocks():
+                self.y[at] = project(x[at], basis)
         self.count, self.n, self.d = len(x), float(self.w.sum()), self.y.shape[1]
         self.whole = self.w @ self.y
 
+    def _blocks(self) -> list[slice]:
+        return [slice(at, at + BLOCK) for at in range(0, max(1, len(self.x)), BLOCK)]
+
     def seen(self, basis: Basis) -> "Held":
         return Held(self.x, self.w, basis)
 
     def moments(self) -> tuple[float, np.ndarray, np.ndarray]:
-        return self.n, self.w @ self.x, (self.x * self.w[:, None]).T @ self.x
+        return self.n, self.w @ self.x, sum((self.x[at] * self.w[at][:, None]).T @ self.x[at] for at in self._blocks())
 
     def farthest(self, mu: np.ndarray) -> np.ndarray:
         return self.y[np.argmin(np.round((self.y @ mu.T).max(axis=1), 12))]
 
     def soft(self, parts: tuple) -> tuple[float, np.ndarray, np.ndarray]:
-        p, ll = shares(self.y, *parts)
-        p = p * self.w[:, None]
-        return float(self.w @ ll), p.sum(axis=0), p.T @ self.y
+        like, size, total = 0.0, 0.0, 0.0
+        for at in self._blocks():
+            p, ll = shares(self.y[at], *parts)
+            p = p * self.w[at][:, None]
+            like, size, total = like + float(self.w[at] @ ll), size + p.sum(axis=0), total + p.T @ self.y[at]
+        return like, size, total
 
     def hard(self, parts: tuple, raw: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Mass and sums of the members that a part takes, of the projections or (raw) of the members themselves."""
-        best, of = shares(self.y, *parts)[0].argmax(axis=1), self.x if raw else self.y
-        k = len(parts[0])
-        return np.bincount(best, self.w, minlength=k), np.stack([self.w[best == j] @ of[best == j] for j in range(k)])
+        of, k = self.x if raw else self.y, len(parts[0])
+        size, total = np.zeros(k), 0.0
+        for at in self._blocks():
+            mine = np.where(shares(self.y[at], *parts)[0].argmax(axis=1) == np.arange(k)[:, None], self.w[at], 0.0)
+            size, total = size + mine.sum(axis=1), total + mine @ of[at]
+        return size, total
 
 
 class Spread:

@@ -10,6 +10,7 @@ what each proposal would make of them; a rejected proposal has changed nothing.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.operators.mixtures import Held, Spread, fit_of, separation_of, split
+from canopyrank.operators.mixtures import HELD, Held, Spread, fit_of, room, separation_of, split  # noqa: F401
 from canopyrank.operators.routing import _dots, steps
 from canopyrank.operators.topology import Node, Settings, Taxonomy
 
-#: Members of a node up to which one task holds them all: 16 MB at 64 dimensions.
-HELD = 1 << 15
+#: Members of a node up to which one task takes them all, HELD of them in memory: about 0.1 s for a step of its mixture. A job for each step takes longer.
+ALONE = 1 << 18
 #: Cosine over which two leaves anywhere are redundant.
 REDUNDANT = 0.92
 
@@ -31,7 +32,7 @@ Cell = tuple[float, np.ndarray]
 
 
 def cell_sums(members: DataFrame) -> dict[str, Cell]:
-    """Mass and component sum of every node from (node, v, perhaps weight): each task adds up its rows as arrays, and a row for each task, node and component is shuffled."""
+    """Mass and component sum of every node from (node, v, perhaps weight): each task adds up its rows as arrays, and a row for each task and node is shuffled, once."""
     m = members.select("node", "v", (F.col("weight") if "weight" in members.columns else F.lit(1.0)).cast("double").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +48,7 @@ def cell_sums(members: DataFrame) -> dict[str, Cell]:
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array(list(map(list, got.values())), pa.list_(pa.float64()))], ["node", "r"])
 
-    each = m.mapInArrow(run, "node string, r array<double>").select("node", F.posexplode("r").alias("i", "x"))
+    each = m.mapInArrow(run, "node string, r array<double>").repartition("node").select("node", F.posexplode("r").alias("i", "x"))
     whole = each.groupBy("node", "i").agg(F.sum("x").alias("x")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
     return {r["node"]: (r["r"][0]["x"], np.array([c["x"] for c in r["r"][1:]])) for r in whole.collect()}
 
@@ -136,10 +137,10 @@ def gates(members: DataFrame, tree: Taxonomy, s: Settings, viable: Iterable[str]
     return mass.join(nodes, "node").select("node", "mass", "ess", "depth", "kappa", gate.alias("gate"))
 
 
-def viable_residuals(hits: DataFrame, queries: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) -> set[str]:
-    """Nodes whose residual queries are as many as the least and separate from what every sibling holds."""
+def viable(hits: dict[str, Cell], tree: Taxonomy, cells: Cells, s: Settings) -> set[str]:
+    """Nodes whose residual queries, of whom there are these counts and sums, are as many as the least and separate from what every sibling holds."""
     out = set()
-    for node, own in cell_sums(hits.join(queries.select("vec_id", "v"), "vec_id").select("node", "v")).items():
+    for node, own in hits.items():
         if own[0] >= s.least:
             parent = tree.nodes[node].parent
             beside = [cells.region(tree, k.name) for k in tree.children(parent) if k.name != node]
@@ -148,37 +149,73 @@ def viable_residuals(hits: DataFrame, queries: DataFrame, tree: Taxonomy, cells:
     return out
 
 
-def split_parts(members: DataFrame, s: Settings, most: int = HELD) -> dict[str, tuple[str, list[Cell], float]]:
+def viable_residuals(hits: DataFrame, queries: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) -> set[str]:
+    """The viable nodes of residual hits (vec_id, node)."""
+    return viable(cell_sums(hits.join(queries.select("vec_id", "v"), "vec_id").select("node", "v")), tree, cells, s)
+
+
+def shelves(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Which of `most` tasks takes a node: the largest first, each to the task that has least."""
+    load = [(0, k) for k in range(most)]
+    out = {}
+    for node in sorted(counts, key=lambda n: (-counts[n], n)):
+        had, out[node] = load[0]
+        heapq.heapreplace(load, (had + counts[node] + 1, out[node]))
+    return out
+
+
+def split_parts(members: DataFrame, s: Settings, most: int = ALONE) -> dict[str, tuple[str, list[Cell], float]]:
     """For every node: what the split came to ("split" or the gate that it failed), masses and sums of the parts, their separation.
 
-    The mixture sees all members of a node, by their weight. A node of at most `most` members is held by one task;
+    The mixture sees all members of a node, by their weight. A node of at most `most` members is one task's;
     a larger one stays spread, and each step of its mixture is a pass over it.
     """
-    d_of = lambda t: np.stack([np.asarray(v, dtype=float) for v in t])
+    spark = members.sparkSession
+    weight = F.col("weight") if "weight" in members.columns else F.lit(1.0)
+    rows = members.select("node", "vec_id", "v", weight.cast("double").alias("weight"))
+    counts = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}
+    few, large = {n: c for n, c in counts.items() if c <= most}, sorted(n for n, c in counts.items() if c > most)
+    names = ["node", "gate", "size", "total", "sep"]
 
-    def run(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas().sort_values("vec_id")
-        gate, size, total, sep = split(Held(d_of(pdf["v"]), pdf["weight"].to_numpy(dtype=float)), s.least, s.most_children, s.epsilon)
-        return pa.table({"node": [pdf["node"].iloc[0]], "gate": [gate], "size": [list(map(float, size))], "total": [[list(map(float, t)) for t in total]], "sep": [float(sep)]}, schema=kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for b in batches:
+            node = np.array(b.column("node").to_pylist(), dtype=object)
+            v = np.asarray(b.column("v").flatten(), dtype=float).reshape(len(b), -1) if len(b) else None
+            u = b.column("weight").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1), len(node)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if node[lo] != at:
+                    at, n = node[lo], 0
+                    x, w = room(few[at], v.shape[1]), np.empty(few[at])
+                x[n : n + hi - lo], w[n : n + hi - lo], n = v[lo:hi], u[lo:hi], n + hi - lo
+                if n == few[at]:
+                    gate, size, total, sep = split(Held(x, w), s.least, s.most_children, s.epsilon)
+                    row = [at, gate, list(map(float, size)), [list(map(float, t)) for t in total], float(sep)]
+                    kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names)
 
-    kind = pa.schema([("node", pa.string()), ("gate", pa.string()), ("size", pa.list_(pa.float64())), ("total", pa.list_(pa.list_(pa.float64()))), ("sep", pa.float64())])
-    weight = F.col("weight") if "weight" in members.columns else F.lit(1.0)
-    rows = members.select("node", "vec_id", "v", weight.alias("weight")).persist()
     found: dict[str, tuple[str, list[Cell], float]] = {}
-    try:
-        counts = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}
-        large = sorted(n for n, c in counts.items() if c > most)
-        few = rows.filter(~F.col("node").isin(large)) if large else rows
-        # by number, so that small nodes are not put into one task: each may take as long as all others
-        few = few.repartition(max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * len(counts)), "node")
-        for r in few.groupBy("node").applyInArrow(run, "node string, gate string, size array<double>, total array<array<double>>, sep double").orderBy("node").collect():
+    if few:
+        # a task's nodes come one after the other; small ones share a task, as each may take as long as all others
+        tasks = min(len(few), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        shelf = F.broadcast(spark.createDataFrame(sorted(shelves(few, tasks).items()), "node string, shelf int"))
+        mine = rows.join(shelf, "node").repartitionById(tasks, "shelf").sortWithinPartitions("node", "vec_id").select("node", "v", "weight")
+        for r in mine.mapInArrow(run, "node string, gate string, size array<double>, total array<array<double>>, sep double").collect():
             found[r["node"]] = (r["gate"], [(m, np.array(t)) for m, t in zip(r["size"], r["total"])], r["sep"])
-        for node in large:
-            gate, size, total, sep = split(Spread(rows.filter(F.col("node") == node)), s.least, s.most_children, s.epsilon)
-            found[node] = (gate, list(zip(map(float, size), total)), sep)
-    finally:
-        rows.unpersist()
-    return found
+        if len(found) < len(few):
+            raise RuntimeError("members changed between two reads of them")
+    if large:
+        rows = rows.filter(F.col("node").isin(large)).persist()
+        try:
+            for node in large:
+                gate, size, total, sep = split(Spread(rows.filter(F.col("node") == node)), s.least, s.most_children, s.epsilon)
+                found[node] = (gate, list(zip(map(float, size), total)), sep)
+        finally:
+            rows.unpersist()
+    return dict(sorted(found.items()))
 
 
 def shared_out(members: DataFrame, targets: dict[str, list[Node]], s: Settings, rows: bool) -> DataFrame:
@@ -249,7 +286,7 @@ def settle(cells: Cells, tree: Taxonomy, kind: str, site: str, change: dict[str,
     return (cells.put(change) if ok else cells), Record(kind, site, gain, limit, ok)
 
 
-def split_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings, *, viable: Iterable[str] = (), most: int = HELD) -> tuple[Taxonomy, Cells, DataFrame, list[Record]]:
+def split_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings, *, viable: Iterable[str] = (), most: int = ALONE) -> tuple[Taxonomy, Cells, DataFrame, list[Record]]:
     """Propose to split every node that the gates let through, deepest first: taxonomy, cells, members and records.
 
     A child that does not separate by epsilon from what a child that is already there holds spoils its split.
@@ -332,18 +369,23 @@ def starved_changes(members: DataFrame, tree: Taxonomy, cells: Cells, ways: dict
     return prunes, merges
 
 
+def starved(tree: Taxonomy, cells: Cells, s: Settings) -> dict[str | None, str]:
+    """For each parent of leaves under the least mass the lightest of them."""
+    out: dict[str | None, str] = {}
+    for x in tree.leaves():
+        n, mass = tree.nodes[x], cells.of.get(x, (0.0,))[0]
+        if n.depth > 1 and mass < s.least and (n.parent not in out or mass < cells.of.get(out[n.parent], (0.0,))[0]):
+            out[n.parent] = x
+    return out
+
+
 def prune_pass(members: DataFrame, tree: Taxonomy, cells: Cells, s: Settings) -> tuple[Taxonomy, Cells, DataFrame, list[Record]]:
     """For starved leaves keep, prune (siblings take the members, or the parent where there are none) or merge with the nearest sibling, whichever separates best.
 
     One leaf of a parent at a time, the lightest, as siblings are each other's targets; all such sites go in one pass
     over the members.
     """
-    starved: dict[str | None, str] = {}
-    for x in tree.leaves():
-        n, mass = tree.nodes[x], cells.of.get(x, (0.0,))[0]
-        if n.depth > 1 and mass < s.least and (n.parent not in starved or mass < cells.of.get(starved[n.parent], (0.0,))[0]):
-            starved[n.parent] = x
-    beside = {x: [k for k in tree.children(p) if k.name != x and k.mu] or [tree.nodes[p]] for p, x in starved.items()}
+    beside = {x: [k for k in tree.children(p) if k.name != x and k.mu] or [tree.nodes[p]] for p, x in starved(tree, cells, s).items()}
     # a lone target without a direction takes all
     ways = {x: [k if k.mu else replace(k, mu=tree.nodes[x].mu) for k in ks] for x, ks in beside.items()}
     prunes, merges = starved_changes(members, tree, cells, ways, s)

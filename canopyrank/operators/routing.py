@@ -143,10 +143,11 @@ def trace(x: np.ndarray, plan: Plan, s: Settings, training: bool) -> tuple[np.nd
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def walk(queries: DataFrame, tree: Taxonomy, s: Settings, training: bool = False) -> DataFrame:
+def walk(queries: DataFrame, tree: Taxonomy, s: Settings, training: bool = False, vectors: bool = False) -> DataFrame:
     """vec_id, node, weight, residual: memberships, whose weights sum to one for every query, and in training residual hits.
 
     In training every candidate with the floor's share of the query counts; otherwise `assignments` of them at most.
+    vectors: each row has the query's v as well.
     """
     plan = plan_of(tree)
     rows = queries.select("vec_id", "v")
@@ -159,9 +160,12 @@ def walk(queries: DataFrame, tree: Taxonomy, s: Settings, training: bool = False
                 some = b.slice(at, block)
                 x = np.asarray(some.column("v").flatten(), dtype=float).reshape(len(some), -1)
                 row, node, weight, residual = trace(x, plan, s, training)
-                yield pa.RecordBatch.from_arrays([some.column("vec_id").take(pa.array(row)), names.take(pa.array(node)), pa.array(weight, pa.float64()), pa.array(residual, pa.bool_())], ["vec_id", "node", "weight", "residual"])
+                out = [some.column("vec_id").take(pa.array(row)), names.take(pa.array(node)), pa.array(weight, pa.float64()), pa.array(residual, pa.bool_())]
+                more = [some.column("v").take(pa.array(row))] if vectors else []
+                yield pa.RecordBatch.from_arrays(out + more, ["vec_id", "node", "weight", "residual", *(["v"] if vectors else [])])
 
-    return rows.mapInArrow(run, f"vec_id {dict(rows.dtypes)['vec_id']}, node string, weight double, residual boolean")
+    kind = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"vec_id {kind['vec_id']}, node string, weight double, residual boolean" + (f", v {kind['v']}" if vectors else ""))
 
 
 def route(queries: DataFrame, tree: Taxonomy, s: Settings, training: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from canopyrank.functions.vectors import dot, sums
 from canopyrank.operators import proposals
 from canopyrank.operators.mixtures import fit_of, kappa_of  # noqa: F401
-from canopyrank.operators.proposals import HELD
+from canopyrank.operators.proposals import ALONE
 from canopyrank.operators.routing import residual_hits, route, walk  # noqa: F401
 from canopyrank.operators.topology import Node, Settings, Taxonomy
 from canopyrank.storage import discard, materialise
@@ -43,22 +43,25 @@ def separation(members: DataFrame, key: str = "node") -> float:
 def bootstrap(queries: DataFrame) -> Taxonomy:
     """A root and a node for each category, fitted."""
     t = Taxonomy({"root": Node("root", None, 0)})
-    for name, (n, mu, kappa) in fit(queries.withColumn("node", F.concat(F.lit("c"), F.col("category").cast("string")))).items():
-        t.nodes[name] = Node(name, "root", 1, tuple(mu), kappa, float(n))
+    for name, (n, total) in sorted(proposals.cell_sums(queries.select(F.concat(F.lit("c"), F.col("category").cast("string")).alias("node"), "v")).items()):
+        mu, kappa = fit_of(n, total)
+        t.nodes[name] = Node(name, "root", 1, tuple(mu), kappa, n)
     return t
 
 
-def splits(members: DataFrame, s: Settings, most: int = HELD) -> dict[str, list[tuple[np.ndarray, float]]]:
+def splits(members: DataFrame, s: Settings, most: int = ALONE) -> dict[str, list[tuple[np.ndarray, float]]]:
     """For every node that separates by epsilon at least: its parts' mean directions and concentrations."""
     found = proposals.split_parts(members, s, most)
     return {node: [fit_of(n, t) for n, t in parts] for node, (gate, parts, _) in found.items() if gate == "split"}
 
 
-def routed(queries: DataFrame, tree: Taxonomy, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Members with their vectors (vec_id, node, weight, v) and residual hits (vec_id, node, confidence), from one walk; the walk's rows are written."""
-    found = materialise(walk(queries, tree, s, True), "walk")
-    members = found.filter("NOT residual").select("vec_id", "node", "weight").join(queries.select("vec_id", "v"), "vec_id")
-    return members.select("vec_id", "node", "weight", "v"), found.filter("residual").selectExpr("vec_id", "node", "weight AS confidence")
+def routed(queries: DataFrame, tree: Taxonomy, s: Settings) -> tuple[DataFrame, proposals.Cells, dict[str, proposals.Cell]]:
+    """The walk with the queries' vectors (vec_id, node, weight, residual, v), written; cells of its members, and counts and sums of its residual hits, from one pass."""
+    found = materialise(walk(queries, tree, s, True, vectors=True), "walk")
+    hit = F.col("residual")
+    both = proposals.cell_sums(found.select(F.concat(F.when(hit, "h").otherwise("m"), "node").alias("node"), "v", F.when(hit, 1.0).otherwise(F.col("weight")).alias("weight")))
+    cells, hits = ({k[1:]: c for k, c in both.items() if k[0] == kind} for kind in "mh")
+    return found, proposals.Cells(cells), hits
 
 
 def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, DataFrame, list[dict]]:
@@ -68,26 +71,24 @@ def evolve(queries: DataFrame, s: Settings = Settings()) -> tuple[Taxonomy, Data
     """
     queries = materialise(queries, "queries")  # read several times in every round
     tree, history, quiet = bootstrap(queries), [], 0
-    members, hits = routed(queries, tree, s)
-    members = materialise(members, "members")
-    cells = proposals.Cells.read(members)
+    found, cells, hits = routed(queries, tree, s)
     for i in range(s.rounds):
         before = set(tree.nodes)
-        viable = proposals.viable_residuals(hits, queries, tree, cells, s) if s.residuals and any(n.kappa < s.diffuse_kappa for n in tree.nodes.values()) else ()
+        members = found.filter("NOT residual").select("vec_id", "node", "weight", "v")
+        viable = proposals.viable(hits, tree, cells, s) if s.residuals and any(n.kappa < s.diffuse_kappa for n in tree.nodes.values()) else ()
         tree, cells, grown, log = proposals.split_pass(members, tree, cells, s, viable=viable)
-        grown = materialise(grown, "grown") if any(r.accepted for r in log) else members
-        tree, cells, _, more = proposals.optimise(grown, tree, cells, s)
+        # members are read again only where leaves starve
+        stored = materialise(grown, "grown") if any(r.accepted for r in log) and proposals.starved(tree, cells, s) else None
+        tree, cells, _, more = proposals.optimise(grown if stored is None else stored, tree, cells, s)
         log += more
         tree = proposals.refit(tree, cells)
-        if grown is not members:
-            discard(grown)
-        discard(members)
-        members, hits = routed(queries, tree, s)
-        members = materialise(members, "members")
-        cells = proposals.Cells.read(members)
+        for done in (stored, found):
+            if done is not None:
+                discard(done)
+        found, cells, hits = routed(queries, tree, s)
         changed = len(before ^ set(tree.nodes))
         history.append({"round": i, "nodes": len(tree.nodes), "leaves": len(tree.leaves()), "edits": changed, "accepted": sum(r.accepted for r in log), "proposals": len(log), "objective": cells.objective()})
         quiet = quiet + 1 if not changed else 0
         if quiet >= s.quiet_rounds:
             break
-    return tree, members.select("vec_id", "node", "weight"), history
+    return tree, found.filter("NOT residual").select("vec_id", "node", "weight"), history

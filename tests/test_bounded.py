@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyrank import storage
-from canopyrank.operators import graph, labels, proposals, ratings, taxonomy
+from canopyrank.operators import graph, labels, mixtures, proposals, ratings, taxonomy
 from canopyrank.plans import registry
 from tests.test_graph import plain
 
@@ -119,3 +119,67 @@ def test_evolution_derives_the_queries_once(spark):
     rows = spark.createDataFrame([(i, i % 2, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)], "vec_id long, category int, v array<double>")
     taxonomy.evolve(rows.select(seen.asNondeterministic()("vec_id").alias("vec_id"), "category", "v"), taxonomy.Settings(rounds=1, least=10))
     assert read.value == 60
+
+
+def of_two(n, d=6):
+    """n members of a node that mixes two clusters, and what they are in."""
+    rng = np.random.default_rng(12)
+    x = np.eye(d)[np.arange(n) % 2] + 0.1 * rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_node_of_many_members_takes_few_jobs(spark):
+    n = 40_000
+    x = of_two(n)
+    members = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "node": "n", "v": x.tolist()}), "vec_id long, node string, v array<double>")
+    spark.sparkContext.setJobGroup("large node", "large node")
+    try:
+        gate, parts, _ = proposals.split_parts(members, taxonomy.Settings(least=10))["n"]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert gate == "split" and len(spark.sparkContext.statusTracker().getJobIdsForGroup("large node")) < 20
+    assert sorted(m for m, _ in parts) == [n / 2, n / 2] and np.allclose(sum(t for _, t in parts), x.sum(axis=0))
+
+
+def test_a_mixture_is_fitted_once_for_a_node(spark, monkeypatch):
+    seen, split = spark.sparkContext.accumulator(0), proposals.split
+
+    def counted(*args):
+        seen.add(1)
+        return split(*args)
+
+    monkeypatch.setattr(proposals, "split", counted)
+    x = of_two(210)
+    members = spark.createDataFrame([(i, f"n{i % 7}" if i < 140 else "n7", v.tolist()) for i, v in enumerate(x)], "vec_id long, node string, v array<double>")
+    assert len(proposals.split_parts(members, taxonomy.Settings(least=5))) == 8 and seen.value == 8
+
+
+def test_members_in_a_file_split_as_those_in_memory(monkeypatch):
+    x, w = of_two(700), np.random.default_rng(1).uniform(0.2, 1, 700)
+    one = mixtures.split(mixtures.Held(x, w), 10, 4, 0.02)
+    monkeypatch.setattr(mixtures, "HELD", 100)
+    monkeypatch.setattr(mixtures, "BLOCK", 64)
+    room = mixtures.room(*x.shape)
+    room[:] = x
+    assert isinstance(room.base, np.memmap)
+    two = mixtures.split(mixtures.Held(room, w), 10, 4, 0.02)
+    assert one[0] == two[0] == "split" and np.allclose(one[1], two[1]) and np.allclose(one[2], two[2]) and np.isclose(one[3], two[3])
+
+
+def test_nodes_are_shared_out_evenly():
+    counts = {"a": 100, "b": 60, "c": 50, "d": 40, **{f"s{i}": 1 for i in range(40)}}
+    load = {}
+    for node, k in proposals.shelves(counts, 3).items():
+        load[k] = load.get(k, 0) + counts[node]
+    assert sorted(load) == [0, 1, 2] and max(load.values()) <= 1.2 * sum(counts.values()) / 3
+
+
+def test_a_walk_carries_each_rows_own_vector(spark):
+    x = of_two(90)
+    q = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, category int, v array<double>")
+    found, cells, hits = taxonomy.routed(q, taxonomy.bootstrap(q), taxonomy.Settings())
+    rows = found.collect()
+    assert {r.vec_id for r in rows} == set(range(90)) and all(np.array_equal(r.v, x[r.vec_id]) for r in rows) and not hits
+    for node, (mass, total) in cells.of.items():
+        mine = [r for r in rows if r.node == node]
+        assert np.isclose(mass, sum(r.weight for r in mine)) and np.allclose(total, sum(r.weight * np.array(r.v) for r in mine))
