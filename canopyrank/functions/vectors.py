@@ -32,7 +32,8 @@ def unit(v, dims: int | None = None) -> Column:
     if dims is not None:
         v = F.slice(v, 1, dims)
     size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
+    # an expression within a lambda is worked out for every component; as an outer lambda's variable it is once for the vector
+    return F.when(size > 0, F.transform(F.array(size), lambda n: F.transform(v, lambda x: x / n))[0]).otherwise(v)
 
 
 def cosine(a, b) -> Column:

@@ -10,14 +10,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A mean and, below it, directions as rows; members are projected as (x - mean) @ directions.T, scaled to length one.
 Basis = tuple[np.ndarray, np.ndarray]
-#: Members of a node whose vectors a task holds in memory: 16 MB at 64 dimensions. Those of a larger node lie in a file of the task.
-HELD = 1 << 15
+#: Members of a node whose vectors a task holds in memory: 67 MB at 64 dimensions, and as much for their projections. Those of a larger node lie in files of the task.
+HELD = 1 << 17
 #: Members that a step takes at a time, so that they stay in a processor's cache.
 BLOCK = 1 << 12
 
@@ -126,7 +126,7 @@ class Spread:
     """A node's members as a DataFrame (vec_id, v, perhaps weight): what Held gives, from sums over all tasks."""
 
     def __init__(self, members: DataFrame, basis: Basis | None = None):
-        self.members, self.basis = members.select("vec_id", "v", *[c for c in ("weight",) if c in members.columns]), basis
+        self.members, self.basis = members.select("v", *[c for c in ("weight",) if c in members.columns]), basis
         got = self._sums(lambda h: np.concatenate([[h.count, h.n], h.whole]))
         self.count, self.n, self.whole = int(got[0]), float(got[1]), got[2:]
         self.d = len(self.whole)
@@ -135,21 +135,21 @@ class Spread:
         """one() of all batches of a task, merged: a row of numbers for each task."""
         basis = self.basis
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = None
-            for pdf in batches:
-                if len(pdf):
-                    pdf = pdf.sort_values("vec_id")
-                    new = one(Held(np.stack(pdf["v"].to_numpy()), pdf["weight"].to_numpy() if "weight" in pdf else None, basis))
+            for b in batches:
+                if len(b):
+                    x = np.asarray(b.column("v").flatten(), dtype=float).reshape(len(b), -1)
+                    new = one(Held(x, np.asarray(b.column("weight"), dtype=float) if "weight" in b.schema.names else None, basis))
                     got = new if got is None else merge(got, new)
             if got is not None:
-                yield pd.DataFrame({"r": [got]})
+                yield pa.RecordBatch.from_arrays([pa.array([list(got)], pa.list_(pa.float64()))], ["r"])
 
-        return self.members.mapInPandas(run, "r array<double>")
+        return self.members.mapInArrow(run, "r array<double>")
 
     def _sums(self, one: Callable[[Held], np.ndarray]) -> np.ndarray:
-        rows = self._each(one, lambda a, b: a + b).select(F.posexplode("r").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i")
-        return np.array([r["x"] for r in rows.collect()])
+        rows = self._each(one, lambda a, b: a + b).select(F.posexplode("r").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        return np.array([x for _, x in sorted(map(tuple, rows))])
 
     def seen(self, basis: Basis) -> "Spread":
         return Spread(self.members, basis)
@@ -162,7 +162,7 @@ class Spread:
     def farthest(self, mu: np.ndarray) -> np.ndarray:
         def one(h):
             c = np.round((h.y @ mu.T).max(axis=1), 12)
-            return np.concatenate([[c.min()], h.y[np.argmin(c)]])
+            return np.concatenate([[c.min()], min(map(tuple, h.y[c == c.min()]))])
 
         least = self._each(one, lambda a, b: min(a, b, key=tuple)).agg(F.min("r")).first()[0]
         return np.array(least)[1:]

@@ -23,16 +23,31 @@ from canopyrank.operators.mixtures import HELD, Held, Spread, fit_of, room, sepa
 from canopyrank.operators.routing import _dots, steps
 from canopyrank.operators.topology import Node, Settings, Taxonomy
 
-#: Members of a node up to which one task takes them all, HELD of them in memory: about 0.1 s for a step of its mixture. A job for each step takes longer.
-ALONE = 1 << 18
+#: Members of a node up to which one task takes them all, HELD of them in memory. A step of their mixture takes it half a second; a job for each step takes longer.
+ALONE = 1 << 20
 #: Cosine over which two leaves anywhere are redundant.
 REDUNDANT = 0.92
 
 Cell = tuple[float, np.ndarray]
 
 
+def added(each: DataFrame, *keys: str) -> DataFrame:
+    """keys and r: arrays added up by key, of which each task has given a row at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            r = np.asarray(b.column("r").flatten(), dtype=float).reshape(len(b), -1) if len(b) else []
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys)), r):
+                got[key] = got[key] + row if key in got else row
+        if got:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*got)), pa.array(list(map(list, got.values())), pa.list_(pa.float64()))], [*keys, "r"])
+
+    return each.repartition(*keys).mapInArrow(run, "".join(f"{k} string, " for k in keys) + "r array<double>")
+
+
 def cell_sums(members: DataFrame) -> dict[str, Cell]:
-    """Mass and component sum of every node from (node, v, perhaps weight): each task adds up its rows as arrays, and a row for each task and node is shuffled, once."""
+    """Mass and component sum of every node from (node, v, perhaps weight): each task adds up its rows as arrays, and a row for each task and node is shuffled."""
     m = members.select("node", "v", (F.col("weight") if "weight" in members.columns else F.lit(1.0)).cast("double").alias("weight"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,9 +63,7 @@ def cell_sums(members: DataFrame) -> dict[str, Cell]:
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array(list(map(list, got.values())), pa.list_(pa.float64()))], ["node", "r"])
 
-    each = m.mapInArrow(run, "node string, r array<double>").repartition("node").select("node", F.posexplode("r").alias("i", "x"))
-    whole = each.groupBy("node", "i").agg(F.sum("x").alias("x")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("r"))
-    return {r["node"]: (r["r"][0]["x"], np.array([c["x"] for c in r["r"][1:]])) for r in whole.collect()}
+    return {r["node"]: (r["r"][0], np.array(r["r"][1:])) for r in added(m.mapInArrow(run, "node string, r array<double>"), "node").collect()}
 
 
 @dataclass
@@ -222,7 +235,7 @@ def shared_out(members: DataFrame, targets: dict[str, list[Node]], s: Settings,
     """What becomes of the members of some nodes if these targets take them, each its share as in routing.
 
     rows: the members themselves (vec_id, node, weight, v), those of other nodes as they are; otherwise sums by site and
-    target as rows (site, node, i, x), with the mass at i = 0 and the components behind it.
+    target as rows (site, node, r), the mass and then the components.
     """
     plan = {site: ([k.name for k in kids], [np.array(k.mu) for k in kids], np.array([k.kappa for k in kids])) for site, kids in targets.items()}
     m = members.select("vec_id", "node", "weight", "v")
@@ -261,20 +274,16 @@ def shared_out(members: DataFrame, targets: dict[str, list[Node]], s: Settings,
 
     if rows:
         return m.mapInArrow(moved, m.schema)
-    each = m.filter(F.col("node").isin(list(plan))).mapInArrow(summed, "site string, node string, r array<double>")
-    return each.select("site", "node", F.posexplode("r").alias("i", "x")).groupBy("site", "node", "i").agg(F.sum("x").alias("x"))
+    return added(m.filter(F.col("node").isin(list(plan))).mapInArrow(summed, "site string, node string, r array<double>"), "site", "node")
 
 
 def outcomes(members: DataFrame, targets: dict[str, list[Node]], s: Settings) -> dict[str, dict[str, Cell]]:
     """Mass and sum that each target would take of each site, in one pass over the members."""
     if not targets:
         return {}
-    got: dict[tuple[str, str], dict[int, float]] = {}
-    for r in shared_out(members, targets, s, False).collect():
-        got.setdefault((r["site"], r["node"]), {})[r["i"]] = r["x"]
     out: dict[str, dict[str, Cell]] = {site: {} for site in targets}
-    for (site, node), x in sorted(got.items()):
-        out[site][node] = (x[0], np.array([x[i] for i in range(1, len(x))]))
+    for site, node, r in sorted(map(tuple, shared_out(members, targets, s, False).collect())):
+        out[site][node] = (r[0], np.array(r[1:]))
     return out
 
 
