@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyrank.operators.mixtures import HELD, Held, Spread, fit_of, room, separation_of, split  # noqa: F401
+from canopyrank.operators.mixtures import Held, Spread, fit_of, room, separation_of, split
 from canopyrank.operators.routing import _dots, steps
 from canopyrank.operators.topology import Node, Settings, Taxonomy
 
-#: Members of a node up to which one task takes them all, HELD of them in memory. A step of their mixture takes it half a second; a job for each step takes longer.
+#: Members of a node up to which one task takes them all, in files of the task where they are more than HELD. A step of their mixture takes it half a second; a job for each step takes longer.
 ALONE = 1 << 20
 #: Cosine over which two leaves anywhere are redundant.
 REDUNDANT = 0.92
@@ -212,7 +212,7 @@ def split_parts(members: DataFrame, s: Settings, most: int = ALONE) -> dict[str,
 
     found: dict[str, tuple[str, list[Cell], float]] = {}
     if few:
-        # a task's nodes come one after the other; small ones share a task, as each may take as long as all others
+        # a task takes its nodes one after the other: where there are more nodes than tasks, each gets about as many members
         tasks = min(len(few), int(spark.conf.get("spark.sql.shuffle.partitions")))
         shelf = F.broadcast(spark.createDataFrame(sorted(shelves(few, tasks).items()), "node string, shelf int"))
         mine = rows.join(shelf, "node").repartitionById(tasks, "shelf").sortWithinPartitions("node", "vec_id").select("node", "v", "weight")
